@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of all executors, where it may not be installed. Spark serves it to executors that join later, too."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sedimenta_shipped", False):
+        return
+    here = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="sedimenta-")) / "sedimenta.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent).as_posix())
+    sc.addPyFile(str(target))
+    sc._sedimenta_shipped = True
