@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.functions.chains import HOT_ROWS, chains
+from sedimenta.functions.chains import HOT_ROWS, MAX_HOT_KEYS, chains
 from sedimenta.functions.fields import fields, loads_of
 from sedimenta.session import cut
 
@@ -86,14 +86,31 @@ def declared(site_fields: DataFrame) -> DataFrame:
     ).withColumn("pattern", usable("pattern"))
 
 
+def by_load(item_loads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """site, load_run_id, data of the rows with both, the rows of a load together, so that their counts meet before they are shuffled.
+
+    Of the loads with so many rows that one task would be long, rows are dealt out by load_id; the threshold rises with the
+    table, so at most MAX_HOT_KEYS loads are told apart. Record texts are smaller than the rows their fields make.
+    """
+    rows = item_loads.filter(F.col("site").isNotNull() & F.col("load_run_id").isNotNull())
+    per_load = rows.groupBy("site", "load_run_id").agg(F.count(F.lit(1)).alias("_n"))
+    limit = max(hot_rows, rows.count() // MAX_HOT_KEYS)
+    hot = per_load.filter(F.col("_n") > limit).withColumn("_lanes", F.ceil(F.col("_n") / limit).cast("int")).collect()  # at most MAX_HOT_KEYS
+    if not hot:
+        return rows.select("site", "load_run_id", "data").repartition("site", "load_run_id")
+    few = rows.sparkSession.createDataFrame(hot, "site string, load_run_id bigint, _n bigint, _lanes int").drop("_n")
+    lanes = rows.select("site", "load_run_id", "data", "load_id").join(F.broadcast(few), ["site", "load_run_id"], "left")
+    lanes = lanes.withColumn("_lane", F.when(F.col("_lanes").isNotNull(), F.pmod(F.xxhash64("load_id"), F.col("_lanes"))).otherwise(0))
+    return lanes.repartition("site", "load_run_id", "_lane").select("site", "load_run_id", "data")
+
+
 def mask_counts(item_loads: DataFrame, site_fields: DataFrame) -> DataFrame:
     """site, run_id, field, mask, bucket, n, empty, strings, bad, numbers, outside, low, high: counts of the values of each load's field, by mask.
 
     empty: null, '' and []. strings: non-empty strings, bad: those that don't match the declared pattern. outside:
     numbers beyond the declared bounds. bucket: the first digits of a number; low and high: the range in the bucket.
     """
-    rows = item_loads.filter(F.col("site").isNotNull() & F.col("load_run_id").isNotNull())
-    each = fields(rows, "data", "site", "load_run_id").join(declared(site_fields), ["site", "field"], "left")
+    each = fields(by_load(item_loads), "data", "site", "load_run_id").join(declared(site_fields), ["site", "field"], "left")
     text = F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string"))
     number = F.when(F.col("kind") == "number", F.try_variant_get("value", "$", "double"))
     none = (F.col("kind") == "array") & (F.to_json("value") == "[]")
