@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -275,7 +276,7 @@ def flatten(df: DataFrame, key: str = "json_id", body: str = "body", with_json:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             block: list[int] = []
             size = 0
-            lengths = pa.compute.binary_length(texts).to_pylist()
+            lengths = pc.binary_length(texts).to_pylist()
             for i, n in enumerate(lengths):
                 if n is None:
                     continue
