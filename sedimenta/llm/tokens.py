@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,7 +183,7 @@ def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[list[int]]:
     """Places of texts that aren't null, in groups of at most so many bytes."""
     group: list[int] = []
     size = 0
-    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         if n is None:
             continue
         if group and size + n > most:
@@ -211,7 +212,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
         bpe = loaded(content.value)
         for batch in batches:
             texts = batch.column(1)
-            special = np.flatnonzero(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False) == 0)
+            special = np.flatnonzero(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) == 0)
             if len(special):
                 rows = [list(empty if texts[i].is_valid else null) for i in special.tolist()]
                 columns = [batch.column(0).take(pa.array(special)), pa.array(rows, pa.list_(pa.int32()))]
