@@ -68,3 +68,60 @@ def p6_masks(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_table, p2_versions, p3_found, p3_history, p4_found, p4_nodes, p5_found, p6_found, p6_profile, p6_masks)}
+
+
+_LOADS = """f AS (SELECT l.load_run_id AS run_id, l.site, l.load_id, l.natural_key, coalesce(l.gone_at, l.last_seen) AS moment, l.loaded_at, e.key AS field, e.value AS value,
+        CASE WHEN e.type = 'VARCHAR' THEN 'string' WHEN e.type = 'BOOLEAN' THEN 'boolean' WHEN e.type = 'ARRAY' THEN 'array' WHEN e.type = 'OBJECT' THEN 'object' WHEN e.type = 'NULL' THEN NULL ELSE 'number' END AS kind
+        FROM item_loads l, json_each(l.data) e),
+    loads AS (SELECT l.site, l.load_run_id AS run_id, l.n, lag(l.load_run_id) OVER (PARTITION BY l.site ORDER BY r.started_at, l.load_run_id) AS prev_run
+        FROM (SELECT site, load_run_id, count(*) AS n FROM item_loads GROUP BY ALL HAVING count(*) >= 20) l LEFT JOIN (SELECT id, min(started_at) AS started_at FROM runs GROUP BY id) r ON r.id = l.load_run_id),
+    kinds AS (SELECT site, run_id, field, kind, count(*) AS n FROM f GROUP BY ALL),
+    held AS (SELECT k.site, k.run_id, k.field, any_value(l.n) AS rows, any_value(l.prev_run) AS prev_run, sum(k.n) AS present, arg_max(k.kind, k.n) FILTER (WHERE k.kind IS NOT NULL) AS top, max(k.n) FILTER (WHERE k.kind IS NOT NULL) AS top_n, coalesce(sum(k.n) FILTER (WHERE k.kind IS NOT NULL), 0) AS filled
+        FROM kinds k JOIN loads l USING (site, run_id) GROUP BY k.site, k.run_id, k.field HAVING 2 * sum(k.n) >= any_value(l.n))"""
+
+ORACLES = {
+    "p2_found": f"""WITH {_LOADS},
+    gone AS (SELECT l.site, l.run_id, l.prev_run, h.field FROM loads l JOIN held h ON h.site = l.site AND h.run_id = l.prev_run WHERE NOT EXISTS (SELECT 1 FROM held x WHERE x.site = l.site AND x.run_id = l.run_id AND x.field = h.field)),
+    fresh AS (SELECT h.site, h.run_id, h.prev_run, h.field FROM held h WHERE h.prev_run IS NOT NULL AND NOT EXISTS (SELECT 1 FROM held x WHERE x.site = h.site AND x.run_id = h.prev_run AND x.field = h.field)),
+    last_rows AS (SELECT load_id FROM item_loads QUALIFY row_number() OVER (PARTITION BY site, load_run_id, natural_key ORDER BY coalesce(gone_at, last_seen) DESC, loaded_at DESC, load_id DESC) = 1),
+    v AS (SELECT f.* FROM f SEMI JOIN last_rows USING (load_id)),
+    pairs AS (SELECT g.site, g.run_id, g.field, n.field AS new_field, count(*) AS n, count(*) FILTER (WHERE a.value = b.value) AS same FROM gone g JOIN fresh n USING (site, run_id)
+        JOIN v a ON a.site = g.site AND a.run_id = g.prev_run AND a.field = g.field AND a.kind IS NOT NULL JOIN v b ON b.site = g.site AND b.run_id = g.run_id AND b.field = n.field AND b.natural_key = a.natural_key GROUP BY ALL),
+    renamed AS (SELECT site, run_id, field, new_field FROM pairs WHERE 2 * same > n)
+    SELECT site, run_id, 'renamed' AS change_kind, field, new_field FROM renamed
+    UNION ALL SELECT site, run_id, 'removed', field, '' FROM gone ANTI JOIN renamed USING (site, run_id, field)
+    UNION ALL SELECT site, run_id, 'added', field, '' FROM fresh WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.site = fresh.site AND r.run_id = fresh.run_id AND r.new_field = fresh.field)
+    UNION ALL SELECT h.site, h.run_id, 'retyped', h.field, '' FROM held h JOIN held p ON p.site = h.site AND p.run_id = h.prev_run AND p.field = h.field WHERE 2 * h.top_n > h.filled AND 2 * p.top_n > p.filled AND h.top <> p.top""",
+    "p3_found": """WITH st AS (SELECT l.load_id, string_agg(t.fullkey || ':' || t.type || ':' || coalesce(t.atom::VARCHAR, ''), chr(1) ORDER BY t.fullkey) AS state FROM item_loads l, json_tree(l.data) t GROUP BY l.load_id),
+    o AS (SELECT site, natural_key, load_id, coalesce(gone_at, last_seen) AS m, gone_at IS NOT NULL AS gone, state FROM item_loads JOIN st USING (load_id)),
+    w AS (SELECT *, lag(gone) OVER c AS prev_gone, lag(state) OVER c AS prev_state FROM o WINDOW c AS (PARTITION BY site, natural_key ORDER BY m, gone, load_id))
+    SELECT site, natural_key, strftime(m, '%Y-%m-%d %H:%M:%S') AS valid_from FROM w WHERE NOT gone AND (prev_gone IS NULL OR prev_gone OR prev_state <> state)""",
+    "p4_found": """WITH RECURSIVE d AS (SELECT json_id, ltrim(body, chr(65279)) AS body FROM json_docs WHERE json_valid(ltrim(body, chr(65279)))),
+    t AS (SELECT d.json_id, t.id, t.parent, t.key, t.type, t.value FROM d, json_tree(d.body) t),
+    named AS (SELECT t.json_id, t.id, t.parent, t.value, t.type, CASE WHEN p.type = 'ARRAY' THEN p.key ELSE t.key END AS level FROM t LEFT JOIN t p ON p.json_id = t.json_id AND p.id = t.parent),
+    nodes AS (SELECT json_id, id, parent, level, coalesce(json_extract_string(value, '$.' || CASE level WHEN 'diario' THEN 'numero' WHEN 'epigrafe' THEN 'nombre' WHEN 'item' THEN 'identificador' WHEN 'anexo' THEN 'ref' ELSE 'codigo' END), '') AS name
+        FROM named WHERE type = 'OBJECT' AND level IN ('diario', 'seccion', 'departamento', 'epigrafe', 'item', 'anexo')),
+    up AS (SELECT json_id, id AS node, level, name AS path, parent AS above FROM nodes
+        UNION ALL SELECT up.json_id, up.node, up.level, CASE WHEN n.id IS NULL THEN up.path ELSE n.name || ' > ' || up.path END, t.parent FROM up JOIN t ON t.json_id = up.json_id AND t.id = up.above LEFT JOIN nodes n ON n.json_id = up.json_id AND n.id = up.above)
+    SELECT DISTINCT json_id, level AS node_level, path AS node_path FROM up WHERE above IS NULL""",
+    "p5_found": """WITH s AS (SELECT site, natural_key, coalesce(last_changed, fetched_at) AS changed, min(loaded_at) AS known FROM item_loads GROUP BY ALL),
+    r AS (SELECT site, id, min(finished_at) AS finished FROM runs WHERE lower(trim(status)) IN ('ok', 'degraded') AND finished_at IS NOT NULL GROUP BY ALL)
+    SELECT DISTINCT r.id AS run_id, s.site, s.natural_key FROM s ASOF JOIN r ON s.site = r.site AND s.known <= r.finished""",
+    "p6_found": f"""WITH {_LOADS},
+    figures AS (SELECT h.site, h.run_id, h.field, h.rows, h.prev_run, h.rows - count(*) FILTER (WHERE f.kind IS NOT NULL AND NOT (f.kind = 'string' AND json_extract_string(f.value, '$') = '') AND NOT (f.kind = 'array' AND json_array_length(f.value) = 0)) AS empty,
+        count(*) FILTER (WHERE f.kind = 'string' AND json_extract_string(f.value, '$') <> '') AS strings, count(*) FILTER (WHERE f.kind = 'string' AND json_extract_string(f.value, '$') <> '' AND NOT regexp_matches(json_extract_string(f.value, '$'), s.pattern)) AS bad,
+        count(*) FILTER (WHERE f.kind = 'number') AS numbers, count(*) FILTER (WHERE f.kind = 'number' AND (TRY_CAST(f.value AS DOUBLE) < s.min_value OR TRY_CAST(f.value AS DOUBLE) > s.max_value)) AS outside, median(CASE WHEN f.kind = 'number' THEN TRY_CAST(f.value AS DOUBLE) END) AS med
+        FROM held h JOIN f USING (site, run_id, field) LEFT JOIN site_fields s ON s.site = h.site AND s.field = h.field GROUP BY h.site, h.run_id, h.field, h.rows, h.prev_run),
+    pairs AS (SELECT a.*, b.rows AS p_rows, b.empty AS p_empty, b.numbers AS p_numbers, b.med AS p_med FROM figures a LEFT JOIN figures b ON b.site = a.site AND b.run_id = a.prev_run AND b.field = a.field)
+    SELECT site, run_id, field, 'null_rate' AS finding FROM pairs WHERE 4 * (empty * p_rows - p_empty * rows) >= rows * p_rows
+    UNION ALL SELECT site, run_id, field, 'pattern' FROM pairs WHERE bad > 0 AND bad * 10 >= strings
+    UNION ALL SELECT site, run_id, field, 'range' FROM pairs WHERE outside > 0 AND outside * 10 >= numbers
+    UNION ALL SELECT site, run_id, field, 'shift' FROM pairs WHERE numbers >= 10 AND p_numbers >= 10 AND med > 0 AND p_med > 0 AND (med > 3 * p_med OR 3 * med < p_med)
+    UNION ALL (SELECT DISTINCT site, id, 'status', 'domain' FROM runs WHERE status IS NULL OR status NOT IN ('running', 'ok', 'degraded', 'aborted', 'error', 'interrupted', 'dry-run'))
+    UNION ALL (SELECT DISTINCT site, run_id, e.field, 'report' FROM (SELECT site, run_id, items_seen - items_skipped AS most, unnest(map_keys(empty_fields)) AS field, unnest(map_values(empty_fields)) AS n FROM run_reports) e WHERE n < 0 OR n > most)""",
+}
+ORACLES["p3_history"] = """WITH st AS (SELECT l.load_id, string_agg(t.fullkey || ':' || t.type || ':' || coalesce(t.atom::VARCHAR, ''), chr(1) ORDER BY t.fullkey) AS state FROM item_loads l, json_tree(l.data) t GROUP BY l.load_id),
+    o AS (SELECT site, natural_key, load_id, coalesce(gone_at, last_seen) AS m, gone_at IS NOT NULL AS gone, state FROM item_loads JOIN st USING (load_id)),
+    w AS (SELECT *, lag(gone) OVER c AS prev_gone, lag(state) OVER c AS prev_state FROM o WINDOW c AS (PARTITION BY site, natural_key ORDER BY m, gone, load_id)),
+    b AS (SELECT *, lead(m) OVER (PARTITION BY site, natural_key ORDER BY m, gone, load_id) AS valid_to FROM w WHERE (gone AND NOT prev_gone) OR (NOT gone AND (prev_gone IS NULL OR prev_gone OR prev_state <> state)))
+    SELECT site, natural_key, m AS valid_from, valid_to, valid_to IS NULL AS is_current FROM b WHERE NOT gone"""
