@@ -49,3 +49,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p7_ids, p7_offsets, p8_mix, p8_shares, p9_found, p9_shares)}
+
+_WHITE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_STRETCHES = rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}{_WHITE}]', '', 'g'), '[{_WHITE}]+'), lambda x: x <> '') AS ws FROM documents),
+    g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS stretch FROM w, unnest(generate_series(1, len(ws) - 7)) AS t(i)),
+    d AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, stretch ORDER BY i) > 1),
+    c AS (SELECT doc_id, count(DISTINCT i + k) AS again FROM d, unnest(generate_series(0, 7)) AS t(k) GROUP BY doc_id),
+    s AS (SELECT w.doc_id, len(ws) AS words, coalesce(again, 0) AS repeated_words FROM w LEFT JOIN c USING (doc_id))"""
+ORACLES = {
+    "p9_found": f"{_STRETCHES} SELECT doc_id FROM s WHERE repeated_words > 0 AND repeated_words * 10 >= words * 3",
+    "p9_shares": f"{_STRETCHES} SELECT doc_id, words, repeated_words, repeated_words / greatest(words, 1) AS share FROM s",
+}
