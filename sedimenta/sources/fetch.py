@@ -1,0 +1,147 @@
+"""Responses over HTTP as a Spark data source: one partition per host, so one task keeps a host's pace.
+
+    spark.dataSource.register(HttpSource)
+    spark.read.format("http_pages").option("urls_json", json.dumps(urls)).option("delay_seconds", 2).load()
+
+A page that can't be had comes out with a null status and what went wrong in error; so do pages that robots.txt
+forbids. Responses with an error status come out with it. Redirects to another origin are checked against its
+robots.txt before they count. Bodies are read by the header's charset, else the meta tag's, else as UTF-8.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+import re
+import time
+import urllib.error
+import urllib.request
+from collections import defaultdict
+from urllib.parse import unquote, urlparse
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from sedimenta.sources.pages import rule_regex, rules_for
+
+SCHEMA = "url string, final_url string, status int, html string, etag string, last_modified string, elapsed_ms int, from_cache boolean, fetched_at timestamp_ntz, error string"
+AGENT = "sedimenta/0.1"
+RETRY = (408, 429, 500, 502, 503, 504)
+
+
+class Host(InputPartition):
+    def __init__(self, urls: list[str]):
+        self.urls = urls
+
+
+def text_of(body: bytes, header: str | None) -> str:
+    """A body as text: by the charset of the Content-Type header, else of a meta tag in the first 4096 bytes, else UTF-8."""
+    named = re.search(r"charset=[\"']?([\w-]+)", header or "", re.I) or re.search(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([\w-]+)", body[:4096], re.I)
+    name = named[1] if named else "utf-8"
+    name = name.decode("ascii") if isinstance(name, bytes) else name
+    try:
+        return body.decode(name, "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+def wait_after(attempt: int, told: str | None) -> float:
+    """Seconds before the next attempt: a numeric Retry-After up to 120, else, and for 0, 2 to the power of attempt up to 30."""
+    seconds = min(float(told), 120.0) if told and re.fullmatch(r"\d+(\.\d+)?", told.strip()) else 0.0
+    return seconds or min(2.0**attempt, 30.0)
+
+
+class Fetcher:
+    """Fetches one host's URLs in turn."""
+
+    def __init__(self, options: dict[str, str]):
+        get = options.get
+        self.delay, self.timeout, self.tries = float(get("delay_seconds", "2")), float(get("timeout_seconds", "20")), int(get("max_retries", "3"))
+        self.robots = get("respect_robots", "true").lower() == "true"
+        self.headers = {"User-Agent": get("user_agent", AGENT), "Accept-Language": get("accept_language", "es-ES,es;q=0.9,en;q=0.5")} | json.loads(get("headers_json", "{}"))
+        self.known = json.loads(get("validators_json", "{}"))  # url -> {etag, last_modified} of responses that may be asked for again
+        self.rules: dict[str, tuple[list, float | None]] = {}
+        self.next = 0.0
+
+    def _rules(self, url: str) -> tuple[list, float | None]:
+        origin = "{0.scheme}://{0.netloc}".format(urlparse(url))
+        if origin not in self.rules:
+            status, text = None, ""
+            try:
+                with urllib.request.urlopen(urllib.request.Request(f"{origin}/robots.txt", headers=self.headers), timeout=self.timeout) as r:
+                    status, text = r.status, r.read().decode("utf-8", "replace")
+            except urllib.error.HTTPError as e:
+                status = e.code
+            except OSError:
+                pass
+            self.rules[origin] = rules_for(text, status, self.headers["User-Agent"])
+        return self.rules[origin]
+
+    def allowed(self, url: str) -> bool:
+        if not self.robots:
+            return True
+        parts = urlparse(url)
+        path = unquote(parts.path or "/") + (f"?{unquote(parts.query)}" if parts.query else "")
+        hits = [(len(p), allow) for allow, p in self._rules(url)[0] if re.match(rule_regex(p), path)]
+        return max(hits)[1] if hits else True
+
+    def fetch(self, url: str) -> tuple:
+        def row(status=None, final=None, html=None, headers=None, ms=None, cached=False, error=None):
+            h = headers or {}
+            return (url, final, status, html, h.get("ETag"), h.get("Last-Modified"), ms, cached, dt.datetime.now(), error)
+
+        if not self.allowed(url):
+            return row(error="robots: forbidden by robots.txt")
+        gap = max(self.delay, (self._rules(url)[1] or 0) if self.robots else 0)
+        headers = dict(self.headers)
+        seen = self.known.get(url) or {}
+        headers |= {n: seen[k] for k, n in (("etag", "If-None-Match"), ("last_modified", "If-Modified-Since")) if seen.get(k)}
+        error = "fetch: no attempt"
+        for attempt in range(1, self.tries + 1):
+            time.sleep(max(0.0, self.next - time.monotonic()))
+            self.next = time.monotonic() + gap
+            began = time.monotonic()
+            try:
+                with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=self.timeout) as r:
+                    if r.url != url and not self.allowed(r.url):
+                        return row(error=f"robots: redirected to {r.url}, forbidden by robots.txt")
+                    return row(r.status, r.url, text_of(r.read(), r.headers.get("Content-Type")), r.headers, int((time.monotonic() - began) * 1000))
+            except urllib.error.HTTPError as e:
+                ms = int((time.monotonic() - began) * 1000)
+                if e.code == 304:
+                    return row(304, url, None, e.headers, ms, True)
+                if e.code not in RETRY or attempt == self.tries:
+                    return row(e.code, e.url or url, text_of(e.read(), e.headers.get("Content-Type")), e.headers, ms)
+                self.next = time.monotonic() + max(gap, wait_after(attempt, e.headers.get("Retry-After")))
+            except (OSError, ValueError) as e:
+                error = f"fetch: {type(e).__name__}: {e}"
+                if attempt < self.tries:
+                    self.next = time.monotonic() + max(gap, wait_after(attempt, None))
+        return row(error=error)
+
+
+class HttpReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.options = dict(options)
+
+    def partitions(self) -> list[Host]:
+        hosts: dict[str, list[str]] = defaultdict(list)
+        for url in dict.fromkeys(json.loads(self.options["urls_json"])):
+            hosts[urlparse(url).netloc].append(url)
+        return [Host(urls) for urls in hosts.values()] or [Host([])]
+
+    def read(self, partition: Host):
+        fetcher = Fetcher(self.options)
+        for url in partition.urls:
+            yield fetcher.fetch(url)
+
+
+class HttpSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "http_pages"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> HttpReader:
+        return HttpReader(self.options)
