@@ -25,13 +25,12 @@ def fill_rate(empty: Column, extracted: Column) -> Column:
     return F.coalesce(1 - empty / F.nullif(extracted, F.lit(0)), F.lit(1.0))
 
 
-def circuit_breaker(fetches: DataFrame, group: list[str], order: list[str], outcome: str, limit: int, lane_rows: int = 1_000_000) -> DataFrame:
+def circuit_breaker(fetches: DataFrame, group: list[str], order: list[str], outcome: str, limit: int) -> DataFrame:
     """fetches with failures, how many in a row failed up to each, and aborted: whether limit was reached at or before it.
 
     outcome: 'ok' resets, 'fail' counts, anything else does neither. limit 0 never aborts. A group is one run of one site,
     whose fetches are sequential by nature; its rows are narrow and Spark's window spills.
     """
-    del lane_rows
     w = Window.partitionBy(*group).orderBy(*order)
     island = F.count_if(F.col(outcome) == "ok").over(w.rowsBetween(Window.unboundedPreceding, 0))
     marked = fetches.withColumn("_island", island)

@@ -88,7 +88,7 @@ def datetime_formats(spark: SparkSession, d: str) -> DataFrame:
 )
 def relative_dates(spark: SparkSession, d: str) -> DataFrame:
     n = (F.col("c_custkey") % 40).cast("string")
-    text = F.get(F.array(F.concat(F.lit("hace "), n, F.lit(" horas")), F.lit("Visto ayer"), F.concat(n, F.lit(" weeks ago")), F.concat(F.lit("Hace "), n, F.lit(" meses")), F.lit("Hoyos de Pinares")), (F.col("c_custkey") % 5).cast("int"))
+    text = F.get(F.array(F.concat(F.lit("hace "), n, F.lit(" horas")), F.lit("Visto ayer"), F.concat(n, F.lit(" weeks ago")), F.concat(F.lit("Hace "), n, F.lit(" meses")), F.lit("Ayerbe y Hoya")), (F.col("c_custkey") % 5).cast("int"))
     return table(spark, d, "customer").select("c_custkey", C.relative_datetime(text, C.moment(NOW))["moment"].alias("moment"))
 
 
@@ -373,11 +373,11 @@ def cache_freshness(spark: SparkSession, d: str) -> DataFrame:
     return on.join(offline, "url")
 
 
-@query("SELECT s_suppkey, strftime(day, '%Y%m%d') AS seed FROM supplier, (SELECT unnest(generate_series(DATE '2026-01-01', DATE '2026-02-15', INTERVAL 1 DAY)) AS day) WHERE isodow(day) NOT IN (6, 7) AND s_suppkey <= 5")
+@query("SELECT n_nationkey, '/' || n_nationkey || '/' || strftime(day, '%Y%m%d') || '.json' AS seed FROM nation, (SELECT unnest(generate_series(DATE '2026-01-01', DATE '2026-02-15', INTERVAL 1 DAY)) AS day) WHERE isodow(day) NOT IN (6, 7)")
 def date_seeds(spark: SparkSession, d: str) -> DataFrame:
-    days = pages.date_seeds(spark, "{date:%Y%m%d}", dt.date(2026, 1, 1), dt.date(2026, 2, 15), [5, 6])
-    sites = table(spark, d, "supplier").filter("s_suppkey <= 5").select("s_suppkey", F.lit(1).alias("one"))
-    return sites.join(days.select(F.col("url").alias("seed"), F.lit(1).alias("one")), "one").select("s_suppkey", "seed")
+    sites = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("/"), F.col("n_nationkey").cast("string"), F.lit("/")).alias("folder"))
+    days = pages.date_seeds(sites, "{date:%Y%m%d}.json", dt.date(2026, 1, 1), dt.date(2026, 2, 15), [5, 6])
+    return days.select("n_nationkey", F.concat("folder", "url").alias("seed"))
 
 
 @query("SELECT n_nationkey, p AS page_no, CASE WHEN p = 1 THEN 'https://x/' || n_nationkey ELSE 'https://x/' || n_nationkey || '?p=' || (p + 2) END AS url FROM nation, (SELECT unnest(generate_series(1, 10)) AS p)")

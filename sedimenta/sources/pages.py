@@ -6,7 +6,7 @@ import datetime as dt
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,16 +30,17 @@ def java_date_format(pattern: str) -> str:
     return out + (f"'{literal}'" if literal else "")
 
 
-def date_seeds(spark: SparkSession, template: str, first: dt.date, last: dt.date, skip_weekdays: list[int] = ()) -> DataFrame:
-    """day, url for each day from first to last, both included, but for weekdays to skip (0 is Monday)."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day")) if first <= last else spark.createDataFrame([], "day date")
+def date_seeds(sites: DataFrame, template: str, first: dt.date, last: dt.date, skip_weekdays: list[int] = ()) -> DataFrame:
+    """sites with day and url for each day from first to last, both included, but for weekdays to skip (0 is Monday)."""
+    span = F.sequence(F.lit(first), F.lit(last)) if first <= last else F.array().cast("array<date>")
+    days = sites.withColumn("day", F.explode(span))
     if skip_weekdays:
         days = days.filter(~F.weekday("day").isin(list(skip_weekdays)))
     url = F.lit("")
     for piece in re.split(r"(\{date[^}]*\})", template):
         m = re.fullmatch(r"\{date(?::(.*))?\}", piece)
         url = F.concat(url, F.date_format("day", java_date_format(m[1] or "%Y-%m-%d")) if m else F.lit(piece))
-    return days.select("day", url.alias("url"))
+    return days.withColumn("url", url)
 
 
 def template_pages(seeds: DataFrame, template: Column, start_page: int, max_pages: int) -> DataFrame:

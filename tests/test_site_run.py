@@ -24,11 +24,11 @@ def cita(t, a, link=None, extra=""):
 
 
 def site_pages(first="Uno", invalid=True):
-    p1 = cita(first, "Ana", "/a/ana", "<a class=tag>x</a><a class=tag>y z</a><i class=p>1.234,56 €</i>") + cita("Dos", "Luis", "/a/luis") + "<li class=sig><a href='/p/2'>&gt;</a></li>"
+    p1 = cita(first, "Ana", "/a/ana", "<a class=tag>x</a><a class=tag>y z</a><i class=p>7.081,35 €</i>") + cita("Dos", "Luis", "/a/luis") + "<li class=sig><a href='/p/2'>&gt;</a></li>"
     p2 = cita("Tres", "Ana", "/a/ana") + (cita("", "Nadie") if invalid else "") + "<li class=sig><a href='/p/3'>&gt;</a></li>"
     u = "https://c.example"
     return [(f"{u}/", f"{u}/", 200, p1), (f"{u}/p/2", f"{u}/p/2", 200, p2), (f"{u}/p/3", f"{u}/p/3", 200, "<p>fin</p>"),
-            (f"{u}/a/ana", f"{u}/a/ana", 200, "<span class=n>12 de marzo de 1980</span><span class=l>in Soria</span><p class=tel>955 12 34 56</p>"), (f"{u}/a/luis", f"{u}/a/luis2", 200, "<p>nada</p>")]
+            (f"{u}/a/ana", f"{u}/a/ana", 200, "<span class=n>7 de noviembre de 1964</span><span class=l>in Soria</span><p class=tel>976 40 50 60</p>"), (f"{u}/a/luis", f"{u}/a/luis2", 200, "<p>nada</p>")]
 
 
 def frame(spark, rows):
@@ -47,7 +47,7 @@ def test_runs_over_time(spark, tmp_path):
     assert r.empty_fields == {"texto": 1, "tags": 3, "precio": 3, "nacido": 2, "lugar": 2, "tel": 2} and r.fill_rate("precio") == 0.25
     one = {i["natural_key"]: i for i in store.items().collect()}
     d = json.loads(one["Uno|Ana"]["data"])
-    assert d == {"texto": "Uno", "autor": "Ana", "tags": ["x", "y z"], "precio": 1234.56, "nacido": "1980-03-12", "lugar": "Soria", "tel": "+34955123456"}
+    assert d == {"texto": "Uno", "autor": "Ana", "tags": ["x", "y z"], "precio": 7081.35, "nacido": "1964-11-07", "lugar": "Soria", "tel": "+34976405060"}
     assert one["Dos|Luis"]["source_url"] == "https://c.example/a/luis2" and [one[k]["id"] for k in ("Uno|Ana", "Dos|Luis", "Tres|Ana")] == [1, 2, 3]
     r = run(site_pages(), 2)
     assert (r.items_new, r.items_unchanged, r.items_updated, r.items_gone) == (0, 3, 0, 0)

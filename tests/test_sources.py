@@ -54,9 +54,9 @@ def test_cache(spark):
 
 
 def test_seeds_and_charsets(spark):
-    days = pages.date_seeds(spark, "/d/{date:%Y/%m/%d}.json?x={y}", dt.date(2026, 1, 2), dt.date(2026, 1, 5), [5, 6])
+    days = pages.date_seeds(spark.range(1), "/d/{date:%Y/%m/%d}.json?x={y}", dt.date(2026, 1, 2), dt.date(2026, 1, 5), [5, 6])
     assert [r["url"] for r in days.orderBy("day").collect()] == ["/d/2026/01/02.json?x={y}", "/d/2026/01/05.json?x={y}"]
-    assert pages.date_seeds(spark, "{date}", dt.date(2026, 1, 2), dt.date(2026, 1, 1)).count() == 0
+    assert pages.date_seeds(spark.range(1), "{date}", dt.date(2026, 1, 2), dt.date(2026, 1, 1)).count() == 0
     with pytest.raises(ValueError):
         pages.java_date_format("%q")
     body = '<meta charset="ISO-8859-1">ñ'.encode("latin-1")
