@@ -104,11 +104,12 @@ def by_load(item_loads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return lanes.repartition("site", "load_run_id", "_lane").select("site", "load_run_id", "data")
 
 
-def mask_counts(item_loads: DataFrame, site_fields: DataFrame) -> DataFrame:
+def mask_counts(item_loads: DataFrame, site_fields: DataFrame, distinct: bool = False) -> DataFrame:
     """site, run_id, field, mask, bucket, n, empty, strings, bad, numbers, outside, low, high: counts of the values of each load's field, by mask.
 
     empty: null, '' and []. strings: non-empty strings, bad: those that don't match the declared pattern. outside:
     numbers beyond the declared bounds. bucket: the first digits of a number; low and high: the range in the bucket.
+    With distinct also about how many values differ. Values of different masks differ, so these add up over masks.
     """
     each = fields(by_load(item_loads), "data", "site", "load_run_id").join(declared(site_fields), ["site", "field"], "left")
     text = F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string"))
@@ -119,7 +120,9 @@ def mask_counts(item_loads: DataFrame, site_fields: DataFrame) -> DataFrame:
     bucket = F.when(F.col("number") == 0, F.lit(0.0)).otherwise(F.floor(F.col("number") / scale) * scale)
     full = F.col("text").isNotNull() & (F.col("text") != "")
     shape = F.when(F.col("text").isNotNull(), mask(F.col("text"))).when(F.col("number").isNotNull(), number_mask(F.col("number"))).otherwise(F.col("kind"))
+    each = each.withColumn("seen", F.coalesce("text", F.col("number").cast("string"), "kind")) if distinct else each
     return each.groupBy("site", "run_id", "field", shape.alias("mask"), bucket.alias("bucket")).agg(
+        *([F.approx_count_distinct("seen").alias("distinct")] if distinct else []),
         F.count(F.lit(1)).alias("n"),
         F.count_if((F.col("kind") == "null") | (F.col("text") == "") | F.col("none")).alias("empty"),
         F.count_if(full).alias("strings"),
@@ -142,7 +145,7 @@ def field_profile(counts: DataFrame, item_loads: DataFrame, runs: DataFrame, hot
     by_field = counts.groupBy("site", "run_id", "field").agg(
         F.sum("n").alias("present"),
         F.sum("empty").alias("blank"),
-        *(F.sum(c).alias(c) for c in ("strings", "bad", "numbers", "outside")),
+        *(F.sum(c).alias(c) for c in ("strings", "bad", "numbers", "outside", "distinct") if c in counts.columns),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
         middle("low").alias("low_median"),
@@ -158,6 +161,22 @@ def field_profile(counts: DataFrame, item_loads: DataFrame, runs: DataFrame, hot
     return held.join(before, ["site", "prev_run", "field"], "left")
 
 
+def column_profile(df: DataFrame, table_name: str) -> DataFrame:
+    """One row per column of any table: table_name, column, type, rows, nulls, null_rate, distinct (about), low and high as text.
+
+    One pass of aggregates that combine before they are shuffled; nothing is exploded. Maps have neither distinct values
+    nor a range; arrays and structs have those of their JSON text. An empty table has a null null_rate.
+    """
+    parts = []
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        plain = F.lit(None).cast("string") if kind.startswith("map") else F.to_json(F.struct(c.alias("v"))) if kind.startswith(("array", "struct")) else c
+        figures = [F.count(F.lit(1)).alias("rows"), F.count_if(c.isNull()).alias("nulls"), F.approx_count_distinct(plain).alias("distinct"), F.min(plain).cast("string").alias("low"), F.max(plain).cast("string").alias("high")]
+        parts.append(F.struct(F.lit(f.name).alias("column"), F.lit(kind).alias("type"), *figures))
+    each = df.agg(F.array(*parts).alias("each")).select(F.explode("each").alias("e")).select("e.*")
+    return each.select(F.lit(table_name).alias("table_name"), "column", "type", "rows", "nulls", (F.col("nulls") / F.nullif("rows", F.lit(0))).alias("null_rate"), "distinct", "low", "high")
+
+
 def findings(profile: DataFrame, item_loads: DataFrame) -> DataFrame:
     """site, run_id, field, finding (null_rate, pattern, range, shift) of a field_profile."""
     p = F.col("prev")

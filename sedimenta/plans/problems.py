@@ -58,8 +58,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:
     loads, runs = table(spark, d, "item_loads"), table(spark, d, "runs")
-    seen = profile.field_profile(profile.mask_counts(loads, table(spark, d, "site_fields")), loads, runs)
-    return seen.select("site", "run_id", "field", "rows", "present", "empty", (F.col("empty") / F.col("rows")).alias("null_rate"), "strings", "bad", "numbers", "outside", "low", "high")
+    seen = profile.field_profile(profile.mask_counts(loads, table(spark, d, "site_fields"), distinct=True), loads, runs)
+    return seen.select("site", "run_id", "field", "rows", "present", "empty", (F.col("empty") / F.col("rows")).alias("null_rate"), "distinct", "strings", "bad", "numbers", "outside", "low", "high")
+
+
+def p6_columns(spark: SparkSession, d: str) -> DataFrame:
+    found = None
+    for name in ("item_loads", "runs", "run_reports"):
+        part = profile.column_profile(table(spark, d, name), name)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def p6_masks(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +75,7 @@ def p6_masks(spark: SparkSession, d: str) -> DataFrame:
     return profile.mask_report(profile.mask_counts(loads, table(spark, d, "site_fields")), loads, runs)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_table, p2_versions, p3_found, p3_history, p4_found, p4_nodes, p5_found, p6_found, p6_profile, p6_masks)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_table, p2_versions, p3_found, p3_history, p4_found, p4_nodes, p5_found, p6_found, p6_profile, p6_masks, p6_columns)}
 
 
 _LOADS = """f AS (SELECT l.load_run_id AS run_id, l.site, l.load_id, l.natural_key, coalesce(l.gone_at, l.last_seen) AS moment, l.loaded_at, e.key AS field, e.value AS value,

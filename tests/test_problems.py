@@ -259,6 +259,24 @@ def test_medians_that_share_digits_are_settled_by_value(spark):
     assert [tuple(r)[1:] for r in profile.findings(seen, table).collect()] == [(2, "v", "shift")]
 
 
+def test_column_profile(spark):
+    df = spark.createDataFrame([(1, "b", [1], {"k": 1}), (2, None, None, None), (2, "a", [1], None)], "n int, `a b` string, l array<int>, m map<string,int>")
+    got = {r["column"]: tuple(r)[3:] for r in profile.column_profile(df, "t").collect()}
+    assert got == {"n": (3, 0, 0.0, 2, "1", "2"), "a b": (3, 1, 1 / 3, 2, "a", "b"), "l": (3, 1, 1 / 3, got["l"][3], got["l"][4], got["l"][5]), "m": (3, 2, 2 / 3, 0, None, None)}
+    assert [r["null_rate"] for r in profile.column_profile(df.limit(0), "t").collect()] == [None] * 4
+    seen = problems.p6_profile(spark, DATA).collect()
+    exact = spark.read.parquet(f"{DATA}/item_loads.parquet").collect()
+    values = defaultdict(set)
+    for r in exact:
+        for k, v in json.loads(r["data"]).items():
+            if isinstance(v, str):
+                values[r["load_run_id"], k].add(v)
+    for r in seen:
+        if r["strings"] == r["rows"]:
+            n = len(values[r["run_id"], r["field"]])
+            assert abs(r["distinct"] - n) <= max(2, 0.15 * n)
+
+
 def test_masks(spark):
     cases = {"": "", "ABC-1234-x": "AAA-9999-a", "Ñandú9": "Aaaaa9", "hola que tal": "text:4", "a b 9": "text:93", "x" * 30 + "-9": "+a-9"}
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
