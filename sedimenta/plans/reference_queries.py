@@ -152,7 +152,17 @@ def url_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_pages").select("page_id", join_rooted(F.col("url"), rel).alias("rooted"), any_join(F.col("url"), rel).alias("general"), origin(F.col("url")).alias("origin"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT json_id, body FROM json_docs WHERE json_valid(body)),
+    t AS (SELECT d.json_id, t.id, t.parent, t.key, t.type, t.value FROM d, json_tree(d.body) t),
+    spots AS (SELECT t.json_id, t.id, t.parent, t.type, t.value, CASE WHEN p.type = 'ARRAY' THEN p.key ELSE t.key END AS level FROM t LEFT JOIN t p ON p.json_id = t.json_id AND p.id = t.parent),
+    nodes AS (SELECT * FROM spots WHERE type = 'OBJECT'),
+    up AS (SELECT json_id, id AS node, value AS own, parent AS above, 0 AS k, NULL::VARCHAR AS level, NULL::JSON AS value FROM spots WHERE level = 'item' AND type <> 'ARRAY'
+        UNION ALL SELECT up.json_id, up.node, up.own, t.parent, up.k + 1, n.level, n.value FROM up JOIN t ON t.json_id = up.json_id AND t.id = up.above LEFT JOIN nodes n ON n.json_id = up.json_id AND n.id = up.above),
+    it AS (SELECT json_id, node, any_value(own) AS own, arg_min(value, k) FILTER (WHERE level = 'seccion') AS s, arg_min(value, k) FILTER (WHERE level = 'departamento') AS dep, arg_min(value, k) FILTER (WHERE level = 'diario') AS dia FROM up GROUP BY json_id, node HAVING count(*) FILTER (WHERE level = 'item') = 0)
+    SELECT json_id, row_number() OVER (PARTITION BY json_id ORDER BY node) - 1 AS item_pos, nullif(json_extract_string(own, '$.identificador'), '') AS id, nullif(trim(regexp_replace(json_extract_string(own, '$.titulo'), 'W+', ' ', 'g')), '') AS titulo, nullif(json_extract_string(s, '$.codigo'), '') AS seccion,
+        nullif(trim(regexp_replace(json_extract_string(dep, '$.nombre'), 'W+', ' ', 'g')), '') AS departamento, CAST(coalesce(try_strptime(coalesce(json_extract_string(body, '$.data.sumario.metadatos.fecha_publicacion'), json_extract_string(body, '$.data.sumario[0].metadatos.fecha_publicacion')), '%Y%m%d'), try_strptime(replace(coalesce(json_extract_string(body, '$.data.sumario.metadatos.fecha_publicacion'), json_extract_string(body, '$.data.sumario[0].metadatos.fecha_publicacion')), '/', '-'), '%Y-%m-%d')) AS DATE) AS fecha, TRY_CAST(json_extract_string(dia, '$.numero') AS BIGINT) AS diario FROM it JOIN d USING (json_id)""".replace("W+", WHITE + "+")
+)
 def json_listing(spark: SparkSession, d: str) -> DataFrame:
     fields = {"id": {"selector": "json:identificador"}, "titulo": {"selector": "json:titulo"}, "seccion": {"selector": "json:@seccion.codigo"}, "departamento": {"selector": "json:@departamento.nombre"}, "fecha": {"selector": "json:$.data.sumario.metadatos.fecha_publicacion", "type": "date"}, "diario": {"selector": "json:@diario.numero", "type": "int"}}
     site = parse_site({"name": "t", "base_url": "https://x", "start_urls": ["/"], "fetch": {"format": "json"}, "list": {"item_selector": "..item", "fields": fields}})
