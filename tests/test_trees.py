@@ -79,5 +79,5 @@ def test_jsonld(path, want):
 def test_meta_and_labels():
     root = dom.parse(LD)
     assert structured.meta(root, "og:title") == ["T", "U"] and structured.meta(root, "x") == []
-    assert structured.labelled(root, "ref.") == ["R 1"] and structured.labelled(root, "Precio:") == ["9"]
+    assert structured.labelled(root, "ref.") == ["R  1"] and structured.labelled(root, "Precio:") == ["9"]
     assert structured.labelled(root, "Vacío") == [] and structured.labelled(root, "Sin") == []
