@@ -50,6 +50,7 @@ def boundaries(sightings: DataFrame, source: DataFrame | None = None, hot_rows:
 
 def intervals(bounds: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions from boundaries: valid_from, valid_to (exclusive; null while valid), is_current, and the load_id that began each."""
+    bounds = cut(bounds)  # it is read three times: to find long chains, their threshold, and the intervals
     after = chains(bounds, ENTITY, "moment", ["gone", "load_id"], ["moment"], None, hot_rows, backwards=True).linked()
     return after.filter("begins").select(
         *ENTITY, "load_id", F.col("moment").alias("valid_from"), F.col("_prev.moment").alias("valid_to"), F.col("_prev").isNull().alias("is_current"), F.hex("state").alias("state")

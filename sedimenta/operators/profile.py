@@ -104,14 +104,14 @@ def by_load(item_loads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return lanes.repartition("site", "load_run_id", "_lane").select("site", "load_run_id", "data")
 
 
-def mask_counts(item_loads: DataFrame, site_fields: DataFrame, distinct: bool = False) -> DataFrame:
+def mask_counts(item_loads: DataFrame, site_fields: DataFrame, distinct: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """site, run_id, field, mask, bucket, n, empty, strings, bad, numbers, outside, low, high: counts of the values of each load's field, by mask.
 
     empty: null, '' and []. strings: non-empty strings, bad: those that don't match the declared pattern. outside:
     numbers beyond the declared bounds. bucket: the first digits of a number; low and high: the range in the bucket.
     With distinct also about how many values differ. Values of different masks differ, so these add up over masks.
     """
-    each = fields(by_load(item_loads), "data", "site", "load_run_id").join(declared(site_fields), ["site", "field"], "left")
+    each = fields(by_load(item_loads, hot_rows), "data", "site", "load_run_id").join(declared(site_fields), ["site", "field"], "left")
     text = F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string"))
     number = F.when(F.col("kind") == "number", F.try_variant_get("value", "$", "double"))
     none = (F.col("kind") == "array") & (F.to_json("value") == "[]")

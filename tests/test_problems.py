@@ -236,8 +236,8 @@ def test_profile_awkward(spark):
     table, runs, _, _ = drift_of(spark, rows)
     declared = spark.createDataFrame([("s", "code", "str", True, r"^[A-Z]{2}-\d$", None, None), ("s", "v", "int", False, None, 0.0, 100.0), ("s", "t", "str", False, "(", None, None), (None, "v", None, None, None, None, None)], "site string, field string, field_type string, required boolean, pattern string, min_value double, max_value double")
     for hot in (profile.HOT_ROWS, 5):
-        counts = profile.mask_counts(table, declared) if hot == profile.HOT_ROWS else profile.mask_counts(table, declared)
-        seen = profile.field_profile(counts, table, runs)
+        counts = profile.mask_counts(table, declared, hot_rows=hot)
+        seen = profile.field_profile(counts, table, runs, hot_rows=hot)
         got = sorted(tuple(r)[1:] for r in profile.findings(seen, table).collect())
         assert got == [(2, "code", "pattern"), (2, "v", "shift"), (3, "code", "null_rate"), (4, "v", "range"), (4, "v", "shift")]
     lanes = profile.by_load(table, hot_rows=5)
