@@ -89,7 +89,10 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
 
 
 def _iso_date(s: Column) -> Column:
-    day = F.regexp_extract(s, ISO, 1)
+    return _let(F.regexp_extract(s, ISO, 1), _iso_day)
+
+
+def _iso_day(day: Column) -> Column:
     week = F.regexp_extract(day, r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?$", 2).try_cast("int")
     year = F.substring(day, 1, 4).try_cast("int")
     weekday = F.coalesce(F.regexp_extract(day, r"W\d{2}-?([1-7])$", 1).try_cast("int"), F.lit(1))
