@@ -25,6 +25,8 @@ STATUSES = ["running", "ok", "degraded", "aborted", "error", "interrupted", "dry
 RARE = 0.01
 #: ... if the field's most frequent mask has at least this share.
 DOMINANT = 0.9
+#: From so many values a load's most frequent mask is a format of the load's own, however few they are among the site's: fewer can't show DOMINANT beside another mask.
+OWN_VALUES = 10
 #: Words and codes up to this length keep their length in the mask.
 EXACT_LENGTH = 24
 #: Numbers are counted by their first digits; where that leaves a median's comparison open, by value.
@@ -230,16 +232,29 @@ def run_findings(runs: DataFrame, reports: DataFrame) -> DataFrame:
 def mask_report(counts: DataFrame, item_loads: DataFrame, runs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per load, field and mask: n, share, dominant (the field's most frequent mask in the load), rare, and divergence.
 
+    rare works at any size of a load: beside another mask with at least DOMINANT in the load, a share under RARE in the load;
+    beside one with at least DOMINANT in the load or in all loads of the site, a share under RARE in all loads, or just one
+    value in them. The load's own dominant mask is not rare if it has at least OWN_VALUES values.
     divergence is the total variation distance, 0 to 1, between the field's masks in the load and in the load before;
     null where that doesn't have the field. Ties for dominant go to the mask that sorts first.
     """
-    by_mask = counts.groupBy("site", "run_id", "field", "mask").agg(F.sum("n").alias("n"))
+    by_mask = cut(counts.groupBy("site", "run_id", "field", "mask").agg(F.sum("n").alias("n")))
+    at_site = by_mask.groupBy("site", "field", "mask").agg(F.sum("n").alias("site_n"))
+    site_totals = at_site.groupBy("site", "field").agg(F.sum("site_n").alias("site_total"), F.min(F.struct((-F.col("site_n")).alias("m"), "mask")).alias("site_top"))
+    at_site = at_site.join(site_totals, ["site", "field"])
     order = chains(cut(loads_of(item_loads, runs).drop("rows")), ["site"], "started_at", ["run_id"], ["run_id"], None, hot_rows).linked()
     by_mask = by_mask.join(order.select("site", "run_id", F.col("_prev.run_id").alias("prev_run")), ["site", "run_id"])
     totals = by_mask.groupBy("site", "run_id", "field").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("m"), "mask")).alias("top"))
-    shares = cut(by_mask.join(totals, ["site", "run_id", "field"]).select("site", "run_id", "prev_run", "field", "mask", "n", (F.col("n") / F.col("total")).alias("share"), F.col("top.mask").alias("dominant"), (-F.col("top.m") / F.col("total")).alias("top_share")))
+    both = by_mask.join(totals, ["site", "run_id", "field"]).join(at_site, ["site", "field", "mask"])
+    share, dominant = F.col("n") / F.col("total"), F.col("top.mask")
+    other = lambda top, total: (F.col(f"{top}.mask") != F.col("mask")) & (-F.col(f"{top}.m") >= DOMINANT * F.col(total))
+    in_load, in_site = other("top", "total"), other("site_top", "site_total")
+    few_in_site = (F.col("site_n") < RARE * F.col("site_total")) | (F.col("site_n") == 1)
+    own = (F.col("mask") == dominant) & (F.col("n") >= OWN_VALUES)
+    rare = ((in_load & (share < RARE)) | ((in_load | in_site) & few_in_site)) & ~own
+    shares = cut(both.select("site", "run_id", "prev_run", "field", "mask", "n", share.alias("share"), dominant.alias("dominant"), rare.alias("rare")))
     before = shares.select("site", F.col("run_id").alias("prev_run"), "field", "mask", F.col("share").alias("was"))
     common = shares.join(before, ["site", "prev_run", "field", "mask"]).groupBy("site", "run_id", "field").agg(F.sum(F.least("share", "was")).alias("common"))
     had = before.select("site", "prev_run", "field").distinct().withColumn("had", F.lit(True))
     joined = shares.join(common, ["site", "run_id", "field"], "left").join(had, ["site", "prev_run", "field"], "left")
-    return joined.select("site", "run_id", "field", "mask", "n", "share", "dominant", ((F.col("share") < RARE) & (F.col("top_share") >= DOMINANT)).alias("rare"), F.when(F.col("had"), F.round(1 - F.coalesce("common", F.lit(0.0)), 6)).alias("divergence"))
+    return joined.select("site", "run_id", "field", "mask", "n", "share", "dominant", "rare", F.when(F.col("had"), F.round(1 - F.coalesce("common", F.lit(0.0)), 6)).alias("divergence"))

@@ -282,3 +282,24 @@ def test_masks(spark):
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
     got = {r["t"]: r["m"] for r in df.select("t", profile.mask(F.col("t")).alias("m")).collect()}
     assert {k: got[k] for k in cases} == cases
+
+
+def masks_of(spark, by_run):
+    table, runs, _, _ = drift_of(spark, by_run)
+    nothing = spark.createDataFrame([], "site string, field string, pattern string, min_value double, max_value double")
+    return {(r["run_id"], r["field"], r["mask"]): r for r in profile.mask_report(profile.mask_counts(table, nothing), table, runs).collect()}
+
+
+def test_rare_masks_in_loads_of_any_size(spark):
+    code = lambda n, odd=(), base="AB-1": [{"code": base}] * (n - len(odd)) + [{"code": o} for o in odd]
+    rare = lambda by_run: sorted(k[::2] for k, r in masks_of(spark, by_run).items() if r["rare"])
+    assert rare({1: code(40, ["zz"])}) == [(1, "aa")]
+    assert rare({1: code(200, ["zz"])}) == [(1, "aa")]
+    # by all loads of the site: two odd values in a load of 20; a mask that each load has is not rare
+    assert rare({1: code(20, ["zz", "yy", "xx"]), 2: code(400)}) == [(1, "aa")]
+    assert rare({r: code(40, ["zz", "yy"]) for r in (1, 2)}) == []
+    # a new format of a load's own is no rare mask, what is left of the old one in it is
+    assert rare({1: code(2000), 2: code(20, base="7")}) == []
+    assert rare({1: code(200), 2: code(300, ["AB-2"], base="7")}) == [(2, "AA-9")]
+    # without a dominant mask nothing is rare
+    assert rare({1: code(20, ["zz"] * 9 + ["7"])}) == []
