@@ -27,20 +27,23 @@ RARE = 0.01
 DOMINANT = 0.9
 #: From so many values a load's most frequent mask is a format of the load's own, however few they are among the site's: fewer can't show DOMINANT beside another mask.
 OWN_VALUES = 10
-#: Words and codes up to this length keep their length in the mask.
+#: Texts up to this length keep their length in the mask.
 EXACT_LENGTH = 24
+#: Texts with white space beyond this length are prose, with a coarse mask.
+PROSE = 120
 #: Numbers are counted by their first digits; where that leaves a median's comparison open, by value.
 DIGITS = 5
 
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
 
 
-def mask(text: Column) -> Column:
+def mask(text: Column, spaced: bool = False) -> Column:
     """The character classes of a string: A upper, a lower, 9 digit, others as they are.
 
-    A single word of up to EXACT_LENGTH characters keeps its length. Longer words are told by their runs, and text
-    with white space by whether it has digits and other signs and by the power of two of its length, so masks of long
-    texts stay few. Each value takes one branch, whose expressions appear once: nothing is computed twice.
+    A single word of up to EXACT_LENGTH characters keeps its length, longer ones are told by their runs. Text with white
+    space is told, with spaced, in the same way with each blank kept, up to PROSE characters; without spaced, and beyond
+    PROSE, by whether it has digits and other signs and by the power of two of its length, so masks of long texts stay
+    few. Each value takes one branch, whose expressions appear once: nothing is computed twice.
     """
     words = F.concat(
         F.lit("text:"),
@@ -52,9 +55,10 @@ def mask(text: Column) -> Column:
     exact = F.translate(text, _LATIN.upper() + _LATIN + "0123456789", "A" * 26 + "a" * 26 + "9" * 10)
     wide = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Nd}", "9"), r"\p{Lu}", "A"), r"[\p{L}&&[^A]]", "a")
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Nd}+", "9"), r"\p{Lu}+", "A"), r"[\p{L}&&[^A]]+", "a")
+    blank = text.contains(" ") | text.rlike(r"\s")
     return (
         F.when(text == "", "")
-        .when(text.contains(" ") | text.rlike(r"\s"), words)
+        .when((F.length(text) > PROSE) & blank if spaced else blank, words)
         .when(F.length(text) > EXACT_LENGTH, F.concat(F.lit("+"), runs))
         .when(ascii_only, exact)
         .otherwise(wide)
@@ -106,12 +110,13 @@ def by_load(item_loads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return lanes.repartition("site", "load_run_id", "_lane").select("site", "load_run_id", "data")
 
 
-def mask_counts(item_loads: DataFrame, site_fields: DataFrame, distinct: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mask_counts(item_loads: DataFrame, site_fields: DataFrame, distinct: bool = False, hot_rows: int = HOT_ROWS, spaced: bool = False) -> DataFrame:
     """site, run_id, field, mask, bucket, n, empty, strings, bad, numbers, outside, low, high: counts of the values of each load's field, by mask.
 
     empty: null, '' and []. strings: non-empty strings, bad: those that don't match the declared pattern. outside:
     numbers beyond the declared bounds. bucket: the first digits of a number; low and high: the range in the bucket.
     With distinct also about how many values differ. Values of different masks differ, so these add up over masks.
+    With spaced, texts with white space have masks of their own: for reports of masks, as no other figure needs them.
     """
     each = fields(by_load(item_loads, hot_rows), "data", "site", "load_run_id").join(declared(site_fields), ["site", "field"], "left")
     text = F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string"))
@@ -121,7 +126,7 @@ def mask_counts(item_loads: DataFrame, site_fields: DataFrame, distinct: bool =
     scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.col("number")))) - (DIGITS - 1))
     bucket = F.when(F.col("number") == 0, F.lit(0.0)).otherwise(F.floor(F.col("number") / scale) * scale)
     full = F.col("text").isNotNull() & (F.col("text") != "")
-    shape = F.when(F.col("text").isNotNull(), mask(F.col("text"))).when(F.col("number").isNotNull(), number_mask(F.col("number"))).otherwise(F.col("kind"))
+    shape = F.when(F.col("text").isNotNull(), mask(F.col("text"), spaced)).when(F.col("number").isNotNull(), number_mask(F.col("number"))).otherwise(F.col("kind"))
     each = each.withColumn("seen", F.coalesce("text", F.col("number").cast("string"), "kind")) if distinct else each
     return each.groupBy("site", "run_id", "field", shape.alias("mask"), bucket.alias("bucket")).agg(
         *([F.approx_count_distinct("seen").alias("distinct")] if distinct else []),

@@ -303,3 +303,20 @@ def test_rare_masks_in_loads_of_any_size(spark):
     assert rare({1: code(200), 2: code(300, ["AB-2"], base="7")}) == [(2, "AA-9")]
     # without a dominant mask nothing is rare
     assert rare({1: code(20, ["zz"] * 9 + ["7"])}) == []
+
+
+def test_masks_of_spaced_texts(spark):
+    cases = {
+        "427 427 121": "999 999 999", "12 3456 789": "99 9999 999", "10 de agosto de 2019": "99 aa aaaaaa aa 9999", "2019 agosto 10 de de": "9999 aaaaaa 99 aa aa",
+        "2024-05-01 10:30": "9999-99-99 99:99", "Ñandú  a\t9": "Aaaaa  a\t9", "Servicio de Caminos, n. 12 de 2019": "+Aa a Aa, a. 9 a 9", "": "", "ABC-1": "AAA-9",
+        "ab " * 40: "+" + "a " * 40, "ab 9" + " ab" * 39: "text:97",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["m"] for r in df.select("t", profile.mask(F.col("t"), spaced=True).alias("m")).collect()} == cases
+
+
+def test_masks_of_spaced_texts_tell_loads_apart(spark):
+    table, runs, _, _ = drift_of(spark, {1: [{"tel": "427 427 121"}] * 40, 2: [{"tel": "42 7427 121"}] * 40})
+    nothing = spark.createDataFrame([], "site string, field string, pattern string, min_value double, max_value double")
+    got = {r["run_id"]: r for r in profile.mask_report(profile.mask_counts(table, nothing, spaced=True), table, runs).collect()}
+    assert got[1]["mask"] == "999 999 999" and got[2]["mask"] == "99 9999 999" and got[2]["divergence"] == 1.0
