@@ -71,6 +71,17 @@ def number_mask(number: Column) -> Column:
     return F.concat(F.lit("#"), F.when(number < 0, "-").otherwise(""), F.coalesce(size.cast("string"), F.lit("0")), F.when(number != F.floor(number), ".").otherwise(""))
 
 
+def nested_mask(value: Column, kind: Column) -> Column:
+    """Of variants that are neither strings nor numbers: true or false, arrays by their schema and how many values they hold, objects by their schema, null as null.
+
+    Numbers of any size and precision have one schema, NUMBER; lists of more than 9 values are told by the power of two of their length.
+    """
+    schema = F.regexp_replace(F.schema_of_variant(value), r"\b(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>])", "NUMBER")
+    size = F.size(F.try_variant_get(value, "$", "array<variant>"))
+    many = F.when(size > 9, F.concat(F.lit("2^"), (F.length(F.bin(size)) - 1).cast("string"))).otherwise(size.cast("string"))
+    return F.when(kind == "boolean", F.to_json(value)).when(kind == "array", F.concat(schema, F.lit(":"), many)).when(kind == "object", schema).otherwise(kind)
+
+
 @F.pandas_udf(T.StringType())
 def usable(patterns: pd.Series) -> pd.Series:
     """Patterns that compile, in the dialect of rlike; null for others."""
@@ -110,24 +121,26 @@ def by_load(item_loads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return lanes.repartition("site", "load_run_id", "_lane").select("site", "load_run_id", "data")
 
 
-def mask_counts(item_loads: DataFrame, site_fields: DataFrame, distinct: bool = False, hot_rows: int = HOT_ROWS, spaced: bool = False) -> DataFrame:
+def mask_counts(item_loads: DataFrame, site_fields: DataFrame, distinct: bool = False, hot_rows: int = HOT_ROWS, spaced: bool = False, nested: bool = False) -> DataFrame:
     """site, run_id, field, mask, bucket, n, empty, strings, bad, numbers, outside, low, high: counts of the values of each load's field, by mask.
 
     empty: null, '' and []. strings: non-empty strings, bad: those that don't match the declared pattern. outside:
     numbers beyond the declared bounds. bucket: the first digits of a number; low and high: the range in the bucket.
-    With distinct also about how many values differ. Values of different masks differ, so these add up over masks.
-    With spaced, texts with white space have masks of their own: for reports of masks, as no other figure needs them.
+    With distinct also about how many values differ, null left out; arrays, objects and booleans by their canonical
+    JSON. Values of different masks differ, so these add up over masks. With spaced, texts with white space, and with
+    nested, arrays, objects and booleans have masks of their own: for reports of masks, as no other figure needs them.
     """
     each = fields(by_load(item_loads, hot_rows), "data", "site", "load_run_id").join(declared(site_fields), ["site", "field"], "left")
     text = F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string"))
     number = F.when(F.col("kind") == "number", F.try_variant_get("value", "$", "double"))
     none = (F.col("kind") == "array") & (F.to_json("value") == "[]")
-    each = each.select("site", F.col("load_run_id").alias("run_id"), "field", "kind", text.alias("text"), number.alias("number"), none.alias("none"), "pattern", "min_value", "max_value")
+    other = nested_mask(F.col("value"), F.col("kind")) if nested else F.col("kind")
+    each = each.select("site", F.col("load_run_id").alias("run_id"), "field", "kind", "value", text.alias("text"), number.alias("number"), none.alias("none"), "pattern", "min_value", "max_value")
     scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.col("number")))) - (DIGITS - 1))
     bucket = F.when(F.col("number") == 0, F.lit(0.0)).otherwise(F.floor(F.col("number") / scale) * scale)
     full = F.col("text").isNotNull() & (F.col("text") != "")
-    shape = F.when(F.col("text").isNotNull(), mask(F.col("text"), spaced)).when(F.col("number").isNotNull(), number_mask(F.col("number"))).otherwise(F.col("kind"))
-    each = each.withColumn("seen", F.coalesce("text", F.col("number").cast("string"), "kind")) if distinct else each
+    shape = F.when(F.col("text").isNotNull(), mask(F.col("text"), spaced)).when(F.col("number").isNotNull(), number_mask(F.col("number"))).otherwise(other)
+    each = each.withColumn("seen", F.coalesce("text", F.col("number").cast("string"), F.when(F.col("kind") != "null", F.to_json("value")))) if distinct else each
     return each.groupBy("site", "run_id", "field", shape.alias("mask"), bucket.alias("bucket")).agg(
         *([F.approx_count_distinct("seen").alias("distinct")] if distinct else []),
         F.count(F.lit(1)).alias("n"),

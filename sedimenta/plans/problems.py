@@ -72,7 +72,7 @@ def p6_columns(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_masks(spark: SparkSession, d: str) -> DataFrame:
     loads, runs = table(spark, d, "item_loads"), table(spark, d, "runs")
-    return profile.mask_report(profile.mask_counts(loads, table(spark, d, "site_fields"), spaced=True), loads, runs)
+    return profile.mask_report(profile.mask_counts(loads, table(spark, d, "site_fields"), spaced=True, nested=True), loads, runs)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_table, p2_versions, p3_found, p3_history, p4_found, p4_nodes, p5_found, p6_found, p6_profile, p6_masks, p6_columns)}

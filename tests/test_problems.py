@@ -320,3 +320,23 @@ def test_masks_of_spaced_texts_tell_loads_apart(spark):
     nothing = spark.createDataFrame([], "site string, field string, pattern string, min_value double, max_value double")
     got = {r["run_id"]: r for r in profile.mask_report(profile.mask_counts(table, nothing, spaced=True), table, runs).collect()}
     assert got[1]["mask"] == "999 999 999" and got[2]["mask"] == "99 9999 999" and got[2]["divergence"] == 1.0
+
+
+def test_profile_of_lists_objects_and_booleans(spark):
+    rows = [{"l": [i % 7, "x"], "b": i % 2 == 0, "o": {"p": i % 5, "q": 1} if i % 2 else {"q": 1, "p": i % 5}, "nul": None, "mix": [None, True, "true", ["true"]][i % 4]} for i in range(40)]
+    table, runs, _, _ = drift_of(spark, {1: rows})
+    nothing = spark.createDataFrame([], "site string, field string, pattern string, min_value double, max_value double")
+    seen = profile.field_profile(profile.mask_counts(table, nothing, distinct=True), table, runs)
+    got = {r["field"]: r["distinct"] for r in seen.collect()}
+    assert got["nul"] == 0 and abs(got["l"] - 7) <= 1 and abs(got["o"] - 5) <= 1 and got["b"] == 2 and got["mix"] == 3  # counts are approximate
+
+
+def test_masks_of_lists_objects_and_booleans(spark):
+    rows = {1: [{"l": ["a"], "b": True, "o": {"p": 1}, "s": "array"}] * 40, 2: [{"l": ["a", "b"], "b": False, "o": {"p": 2.5, "q": None}, "s": "true"}] * 39 + [{"l": [1, 2.5] * 6, "b": None, "o": {"p": 3, "q": None}, "s": None}]}
+    table, runs, _, _ = drift_of(spark, rows)
+    nothing = spark.createDataFrame([], "site string, field string, pattern string, min_value double, max_value double")
+    got = {(r["run_id"], r["field"], r["mask"]): r["divergence"] for r in profile.mask_report(profile.mask_counts(table, nothing, nested=True), table, runs).collect()}
+    assert got == {
+        (1, "l", "ARRAY<STRING>:1"): None, (1, "b", "true"): None, (1, "o", "OBJECT<p: NUMBER>"): None, (1, "s", "aaaaa"): None,
+        (2, "l", "ARRAY<STRING>:2"): 1.0, (2, "l", "ARRAY<NUMBER>:2^3"): 1.0, (2, "b", "false"): 1.0, (2, "b", "null"): 1.0, (2, "o", "OBJECT<p: NUMBER, q: VOID>"): 1.0, (2, "s", "aaaa"): 1.0, (2, "s", "null"): 1.0,
+    }
