@@ -2,16 +2,17 @@
 
 Each load has a fingerprint of the fields it holds and their types. Loads with the fingerprint of the load
 before need nothing; between others a migration step lists fields added, removed, renamed and retyped. The
-renames of a site, chained, give each field of each load its latest name, under which its rows come out.
+renames of a site, chained, give each field of each load its latest name, under which its rows come out; the
+type it had last and a default are rules by which values of other loads are cast and fields they lack are filled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.chains import HOT_ROWS, chains
-from sedimenta.functions.fields import fields, loads_of
+from sedimenta.functions.fields import fields, kind_of, loads_of
 from sedimenta.session import cut
 
 KINDS = ["string", "number", "boolean", "array", "object"]
@@ -107,24 +108,81 @@ def latest_names(prints: DataFrame, found: DataFrame) -> DataFrame:
         hop = cut(jumped.select("site", "field", F.coalesce("to.name2", "name").alias("name"), "since", F.coalesce("to.until2", "until").alias("until")))
 
 
-def conform(item_loads: DataFrame, runs: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
-    """All rows in one shape: load_id, site, natural_key, run_id, file_name, fields.
+def targets(prints: DataFrame, found: DataFrame) -> DataFrame:
+    """site, field, type, default: cast and default rules of each field that a load of the site holds, under its latest name.
+
+    type is that of the latest load that gives the field one (string, number, boolean, array, object; null if none does).
+    default is null, as no step tells a value for the rows before it: other defaults as text can be put in its place.
+    """
+    names = latest_names(prints, found)
+    held = prints.select("site", "run_id", "started_at", F.explode("held").alias("h")).select("site", "run_id", "started_at", "h.field", "h.type")
+    later = held.join(names, ["site", "field"]).filter(F.col("started_at") < F.col("since"))
+    later = later.groupBy("site", "run_id", "field").agg(F.min_by("name", "since").alias("name"))
+    held = held.join(later, ["site", "run_id", "field"], "left").withColumn("field", F.coalesce("name", "field"))
+    last = F.max_by("type", F.when(F.col("type").isNotNull(), F.struct("started_at", "run_id", "type")))
+    return cut(held.groupBy("site", "field").agg(last.alias("type")).withColumn("default", F.lit(None).cast("string")))
+
+
+def cast_text(value: Column, text: Column, kind: Column, target: Column) -> Column:
+    """A value (variant, its text and kind) as text of the target type, null where it can't be: casts lose nothing.
+
+    Strings and JSON texts of numbers and booleans stand for each other if they read as such. A list of one value, or an
+    object of one entry, stands for that value, and a value for a list of it. Where target is null, or the kind already
+    is the target, the text stays.
+    """
+    elements = F.try_variant_get(value, "$", "array<variant>")
+    entries = F.try_variant_get(value, "$", "map<string,variant>")
+    only = F.when((kind == "array") & (F.size(elements) == 1), F.get(elements, F.lit(0))).when((kind == "object") & (F.size(entries) == 1), F.get(F.map_values(entries), F.lit(0)))
+    inner = F.when(kind.isin("array", "object"), only).otherwise(value)
+    inner_kind = F.when(inner.isNotNull(), kind_of(inner))
+    plain = F.when(inner_kind == "string", F.try_variant_get(inner, "$", "string")).otherwise(F.to_json(inner))
+    scalar = inner_kind.isin("string", "number", "boolean")
+    number = plain.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
+    return (
+        F.when(target.isNull() | (kind == target), text)
+        .when((target == "string") & scalar, plain)
+        .when((target == "number") & scalar & number, plain)
+        .when((target == "boolean") & scalar & plain.isin("true", "false"), plain)
+        .when((target == "array") & (kind != "array"), F.concat(F.lit("["), F.to_json(value), F.lit("]")))
+        .when((target == "object") & (kind == "array") & (inner_kind == "object"), plain)
+    )
+
+
+def conform(item_loads: DataFrame, runs: DataFrame, prints: DataFrame, found: DataFrame, rules_of: DataFrame | None = None) -> DataFrame:
+    """All rows in one shape: load_id, site, natural_key, run_id, file_name, fields, and with rules_of (targets()) failed.
 
     fields maps each field's latest name to its value as text (strings as they are, others as JSON), so a field that
     changes its type reads the same everywhere; null values are kept. If two keys of a row end under one name, the one
     that has that name already counts, unless it is null. data that is no JSON object gives an empty map.
+
+    With rules_of each value is cast to its field's type, and fields that a row lacks have their default. What can't be
+    cast is null in fields, and failed maps the field to its text. Data that is no JSON object gives defaults only.
     """
     names = latest_names(prints, found)
     began = runs.groupBy(F.col("site"), F.col("id").alias("load_run_id")).agg(F.min("started_at").alias("started_at"))
     ruled = began.join(names, "site").filter(F.col("started_at") < F.col("since"))
     ruled = ruled.groupBy("site", "load_run_id", "field").agg(F.min_by("name", "since").alias("name"))
     rules = ruled.groupBy("site", "load_run_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("rules"))
-    rows = item_loads.select("load_id", "site", "natural_key", "load_run_id", "file_name", F.from_json("data", "map<string,string>").alias("had")).join(rules, ["site", "load_run_id"], "left")
+    rows = item_loads.select("load_id", "site", "natural_key", "load_run_id", "file_name", F.from_json("data", "map<string,string>").alias("had"), *([] if rules_of is None else [F.try_variant_get(F.try_parse_json("data"), "$", "map<string,variant>").alias("values")])).join(rules, ["site", "load_run_id"], "left")
     entry = F.map_entries(F.coalesce("had", F.create_map().cast("map<string,string>")))
     to = lambda k: F.coalesce(F.try_element_at("rules", k), k)
     rank = lambda e: e["value"].isNull().cast("int") * 2 + (to(e["key"]) != e["key"]).cast("int")
-    named = F.transform(entry, lambda e: F.struct(to(e["key"]).alias("key"), rank(e).alias("rank"), e["key"].alias("was"), e["value"].alias("value")))
+    place = lambda e: (to(e["key"]).alias("key"), rank(e).alias("rank"), e["key"].alias("was"))
+    if rules_of is None:
+        named = F.transform(entry, lambda e: F.struct(*place(e), e["value"].alias("value")))
+    else:
+        per_site = rules_of.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("field", "type"))).alias("types"), F.map_from_entries(F.collect_list(F.struct("field", "default"))).alias("defaults"))
+        rows = rows.join(cut(per_site), "site", "left")  # fields in half of a load's rows: few
+        typed = F.transform(entry, lambda e: F.struct(*place(e), e["value"].alias("text"), F.try_element_at("values", e["key"]).alias("value"), F.try_element_at("types", to(e["key"])).alias("type")))
+        typed = F.transform(typed, lambda e: F.struct(e.alias("e"), F.when(e["value"].isNotNull(), kind_of(e["value"])).alias("kind")))
+        named = F.transform(typed, lambda t: F.struct(*(t["e"][c].alias(c) for c in ("key", "rank", "was")), cast_text(t["e"]["value"], t["e"]["text"], t["kind"], t["e"]["type"]).alias("value"), t["e"]["text"].alias("text")))
     rows = rows.withColumn("best", F.sort_array(named))
     keys = F.array_distinct(F.transform("best", lambda e: e["key"]))
-    first = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter("best", lambda e: e["key"] == k), 1)["value"].alias("value")))
-    return rows.select("load_id", "site", "natural_key", F.col("load_run_id").alias("run_id"), "file_name", F.map_from_entries(first).alias("fields"))
+    rows = rows.withColumn("first", F.transform(keys, lambda k: F.element_at(F.filter("best", lambda e: e["key"] == k), 1)))
+    had = F.map_from_entries(F.transform("first", lambda e: F.struct(e["key"], e["value"])))
+    out = ["load_id", "site", "natural_key", F.col("load_run_id").alias("run_id"), "file_name"]
+    if rules_of is None:
+        return rows.select(*out, had.alias("fields"))
+    lacking = F.map_filter(F.coalesce("defaults", F.create_map().cast("map<string,string>")), lambda k, v: ~F.exists("first", lambda e: e["key"] == k))
+    failed = F.filter("first", lambda e: e["value"].isNull() & e["text"].isNotNull())
+    return rows.select(*out, F.map_concat(had, lacking).alias("fields"), F.map_from_entries(F.transform(failed, lambda e: F.struct(e["key"], e["text"]))).alias("failed"))

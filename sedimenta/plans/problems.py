@@ -20,7 +20,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     loads, runs = table(spark, d, "item_loads"), table(spark, d, "runs")
     prints = drift.fingerprints(loads, runs)
-    return drift.conform(loads, runs, prints, drift.steps(prints, loads))
+    found = drift.steps(prints, loads)
+    return drift.conform(loads, runs, prints, found, drift.targets(prints, found))
 
 
 def p2_versions(spark: SparkSession, d: str) -> DataFrame:

@@ -340,3 +340,26 @@ def test_masks_of_lists_objects_and_booleans(spark):
         (1, "l", "ARRAY<STRING>:1"): None, (1, "b", "true"): None, (1, "o", "OBJECT<p: NUMBER>"): None, (1, "s", "aaaaa"): None,
         (2, "l", "ARRAY<STRING>:2"): 1.0, (2, "l", "ARRAY<NUMBER>:2^3"): 1.0, (2, "b", "false"): 1.0, (2, "b", "null"): 1.0, (2, "o", "OBJECT<p: NUMBER, q: VOID>"): 1.0, (2, "s", "aaaa"): 1.0, (2, "s", "null"): 1.0,
     }
+
+
+def test_drift_casts_and_defaults(spark):
+    n = range(20)
+    odd = [{"lugar": ["a", "b"], "n": "1.234,5", "l": 7, "ok": "yes", "o": "x"}, None, "no json"]
+    by_run = {
+        1: [{"lugar": ["a"], "n": "5", "l": "x", "ok": "true", "o": [{"p": 1}], "viejo": i, "solo": "s"} for i in n] + odd,
+        2: [{"lugar": {"texto": "a"}, "n": {"v": 5}, "l": {"k": 1}, "ok": False, "o": {"p": 1}, "nuevo": i} for i in n],
+        3: [{"lugar": "a", "n": 5, "l": ["x"], "ok": True, "o": {"p": 1}, "nuevo": i, "tarde": None} for i in n],
+    }
+    table, runs, prints, found = drift_of(spark, by_run)
+    rules = drift.targets(prints, found)
+    assert {r["field"]: r["type"] for r in rules.collect()} == {"lugar": "string", "n": "number", "l": "array", "ok": "boolean", "o": "object", "nuevo": "number", "solo": "string", "tarde": None}
+    rows = {r["load_id"]: r for r in drift.conform(table, runs, prints, found, rules).collect()}
+    assert len(rows) == table.count()
+    none = dict.fromkeys(["lugar", "n", "l", "ok", "o", "nuevo", "solo", "tarde"])
+    assert rows[103]["fields"] == {"lugar": "a", "n": "5", "l": '["x"]', "ok": "true", "o": '{"p":1}', "nuevo": "3", "solo": "s", "tarde": None} and rows[103]["failed"] == {}
+    assert rows[203]["fields"] == none | {"lugar": "a", "n": "5", "l": '[{"k":1}]', "ok": "false", "o": '{"p":1}', "nuevo": "3"}
+    assert rows[303]["fields"] == none | {"lugar": "a", "n": "5", "l": '["x"]', "ok": "true", "o": '{"p":1}', "nuevo": "3"}
+    assert rows[120]["fields"] == none | {"l": "[7]"} and rows[120]["failed"] == {"lugar": '["a","b"]', "n": "1.234,5", "ok": "yes", "o": "x"}
+    assert rows[121]["fields"] == none and rows[122]["fields"] == none and rows[122]["failed"] == {}
+    given = rules.withColumn("default", F.when(F.col("field") == "solo", "?"))
+    assert {r["load_id"]: r["fields"]["solo"] for r in drift.conform(table, runs, prints, found, given).collect()}.items() >= {103: "s", 203: "?"}.items()
