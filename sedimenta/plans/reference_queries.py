@@ -12,6 +12,7 @@ from sedimenta.functions.urls import any_join, join_rooted, origin
 from sedimenta.operators import extract, lifecycle, report
 from sedimenta.plans.problems import table
 from sedimenta.sources import export, pages
+from sedimenta.sources.store import cut_messages
 from sedimenta.spec import parse_site
 
 NOW = dt.datetime(2026, 5, 1, 12, 0, 0)
@@ -440,4 +441,11 @@ def schema_evolution(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, run_id, url, kind, substr(message, 1, 30) AS message FROM errors")
 def error_log(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "errors").select("id", "run_id", "url", "kind", F.substring("message", 1, 30).alias("message"))
+    """The store's cut of messages, at a limit that these short messages reach."""
+    return cut_messages(table(spark, d, "errors").select("id", "run_id", "url", "kind", "message"), 30)
+
+
+@query("SELECT id, run_id, url, kind, substr(message, 1, 4000) AS message FROM errors")
+def error_log_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The error log as the store keeps it, with its own limit."""
+    return cut_messages(table(spark, d, "errors").select("id", "run_id", "url", "kind", "message"))

@@ -59,13 +59,18 @@ class Store:
             state["items"][site] = f"{self.root}/items/{mark}"
         for name, df in logs.items():
             if name == "errors":
-                df = df.withColumn("message", F.substring("message", 1, MESSAGE))
+                df = cut_messages(df)
             conform(df, LOGS[name]).write.parquet(f"{self.root}/{name}/{mark}")
             state[name] = [*state[name], f"{self.root}/{name}/{mark}"]
         state["run_id"] = max(state["run_id"], run_id)
         self.pointer.swap(state)
 
 
+def cut_messages(errors: DataFrame, most: int = MESSAGE) -> DataFrame:
+    """errors with messages of at most so many signs."""
+    return errors.withColumn("message", F.substring("message", 1, most))
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """df with the columns of schema, those it lacks as null, those beyond left out."""
     from pyspark.sql import types as T

@@ -10,8 +10,10 @@ from sedimenta import cli
 from sedimenta.functions.cleaners import moment
 from sedimenta.functions.urls import any_join, join_rooted, path_and_query
 from sedimenta.operators import extract, lifecycle, report
+from sedimenta.plans import reference_queries
 from sedimenta.sources import fetch, pages
 from sedimenta.sources.pointer import Pointer
+from sedimenta.sources.store import Store
 from sedimenta.spec import SpecError, java
 
 ROBOTS = "# rules\nUser-agent: a\nUser-agent: B/2\nDisallow: /x # no\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /\nAllow: /ok\nAllow: /o%20k*$\nDisallow:\nCrawl-delay: x\nnonsense\nUser-agent: a\nAllow: /x/y\nCrawl-delay: 5\n"
@@ -156,3 +158,14 @@ def test_commands(spark, tmp_path, capsys):
     assert (tmp_path / "o.csv").read_text("utf-8-sig").splitlines()[1].startswith("T;3.5;;https://www.example.org/d;")
     assert cli.main([*store, "dry-run", site, "--pages", str(tmp_path / "p")], spark) == 0
     assert "stored 1, active 1" in capsys.readouterr().out
+
+
+def test_error_messages_are_cut_at_the_stores_limit(spark, tmp_path):
+    texts = {"short": "a" * 31, "full": "ñ" * 4000, "over": "ñ" * 4000 + "z", "none": None}
+    errors = spark.createDataFrame([(1, k, "fetch", m) for k, m in texts.items()], "run_id bigint, url string, kind string, message string")
+    store = Store(spark, str(tmp_path / "s"))
+    store.commit("s", 1, None, {"errors": errors})
+    assert {r["url"]: r["message"] for r in store.log("errors").collect()} == texts | {"over": "ñ" * 4000}
+    errors.withColumn("id", F.lit(1)).write.parquet(str(tmp_path / "errors.parquet"))
+    for name, most in (("error_log", 30), ("error_log_whole", 4000)):
+        assert {r["url"]: r["message"] for r in reference_queries.QUERIES[name](spark, str(tmp_path)).collect()} == {k: m and m[:most] for k, m in texts.items()}
