@@ -12,7 +12,7 @@ from sedimenta.functions.cleaners import moment
 from sedimenta.functions.urls import any_join
 from sedimenta.operators import extract, lifecycle, report
 from sedimenta.session import cut, ship
-from sedimenta.sources.pages import fetch_outcome
+from sedimenta.sources.pages import best_capture, fetch_outcome
 from sedimenta.sources.store import Store
 from sedimenta.spec import Dates, Site
 
@@ -48,7 +48,9 @@ class RunReport:
 
 
 class SiteRun:
-    """pages: url, final_url, status, html and, if known, from_cache and elapsed_ms; of several rows of a URL the last final_url in order counts.
+    """pages: url, final_url, status, html and, if known, from_cache, elapsed_ms and fetched_at.
+
+    Of several captures of a URL the latest usable one counts (sources.pages.best_capture), an error only where there is no usable one.
 
     A URL that pages lacks is a failed fetch. Without a store, or dry, nothing is written and every valid item is new.
     """
@@ -58,11 +60,10 @@ class SiteRun:
         self.spark, self.site, self.store, self.dry = spark, site, store, dry_run
         self.limit, self.dates, self.now = limit, dates, now or dt.datetime.now().replace(microsecond=0)
         self.at = moment(self.now)
-        for name, kind in (("from_cache", "boolean"), ("elapsed_ms", "int"), ("final_url", "string")):
+        for name, kind in (("from_cache", "boolean"), ("elapsed_ms", "int"), ("final_url", "string"), ("fetched_at", "timestamp_ntz")):
             if name not in pages.columns:
                 pages = pages.withColumn(name, F.lit(None).cast(kind))
-        one = F.max(F.struct("final_url", "status", "html", "from_cache", "elapsed_ms"))
-        self.pages = pages.filter(F.col("url").isNotNull()).groupBy("url").agg(one.alias("p")).select("url", "p.*")
+        self.pages = best_capture(pages.filter(F.col("url").isNotNull()), ["final_url", "status", "html", "from_cache", "elapsed_ms"])
 
     @property
     def writes(self) -> bool:

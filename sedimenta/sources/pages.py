@@ -93,6 +93,18 @@ def cache_after(cache: DataFrame, responses: DataFrame, now: Column) -> DataFram
     return both.select("url", "r.status", "r.html", F.when(F.col("renewed"), now).otherwise(F.col("r.fetched_at")).alias("fetched_at"))
 
 
+def best_capture(captures: DataFrame, columns: list[str]) -> DataFrame:
+    """url and columns of one capture of each URL (url, status, html, fetched_at and columns): the latest usable one, else the latest.
+
+    Usable as in cache_after: a status under 400 that is not 304. One with a body counts before one without. A capture
+    without a date is older than all others; ties go by the columns' order.
+    """
+    usable = F.coalesce((F.col("status") < 400) & (F.col("status") != 304), F.lit(False))
+    body = usable & (F.coalesce(F.length("html"), F.lit(0)) > 0)
+    best = F.max(F.struct(body.alias("_body"), usable.alias("_usable"), "fetched_at", *columns))
+    return captures.groupBy("url").agg(best.alias("p")).select("url", *(F.col(f"p.{c}").alias(c) for c in columns))
+
+
 def meta_charset(content: Column) -> Column:
     """The charset a page's first 4096 bytes declare in a meta tag, in lower case, else utf-8. content: binary."""
     head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")

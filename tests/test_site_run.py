@@ -124,3 +124,22 @@ def test_spec_faults(tmp_path):
         with pytest.raises(SpecError):
             parse_site(HTML | change)
     assert parse_site(HTML).base_url == "https://c.example"
+
+
+def test_latest_usable_capture_counts(spark):
+    u = "https://c.example/a/ana"
+    page = lambda born: f"<span class=n>{born}</span>"
+    captures = {
+        "error after good": [(200, page("1 de mayo de 1964"), 1), (200, page("2 de mayo de 1964"), 2), (503, "z", 3), (404, "z", None)],
+        "later is smaller": [(200, page("9 de mayo de 1964"), 1), (200, page("2 de mayo de 1964"), 2)],
+        "no body, not modified": [(200, page("2 de mayo de 1964"), 1), (200, None, 2), (200, "", 3), (304, None, 4), (None, None, 5)],
+    }
+    rest = [(*r, at(1)) for r in site_pages(invalid=False) if r[0] != u]
+    for rows in captures.values():
+        given = rest + [(u, u, status, html, day and at(day)) for status, html, day in rows]
+        pages = spark.createDataFrame(given, "url string, final_url string, status int, html string, fetched_at timestamp_ntz")
+        r = SiteRun(spark, parse_site(HTML), pages, now=at(9)).run()
+        assert (r.items_seen, r.items_new, r.errors) == (3, 3, 0) and {str(i["nacido"]) for i in r.sample if i["autor"] == "Ana"} == {"1964-05-02"}
+    failed = rest + [(u, u, 503, "z", at(1)), (u, u, 404, "a", at(2))]
+    r = SiteRun(spark, parse_site(HTML), spark.createDataFrame(failed, "url string, final_url string, status int, html string, fetched_at timestamp_ntz"), now=at(9)).run()
+    assert (r.items_new, r.errors) == (1, 1)
