@@ -25,10 +25,10 @@ TIME = r"(?U)\b(\d{1,2}):(\d{2})(?::(\d{2}))?\b"
 AGO_ES = r"(?U)\bhace\s+(un|una|\d+)\s+(segundo|minuto|hora|d[ií]a|semana|mes|a[ñn]o)(?:s|es)?\b"
 AGO_EN = r"(?U)\b(a|an|\d+)\s+(second|minute|hour|day|week|month|year)s?\s+ago\b"
 # Names of the months, Spanish before English; any beginning of three letters or more will do.
-MONTHS = [
-    ("enero", 1), ("febrero", 2), ("marzo", 3), ("abril", 4), ("mayo", 5), ("junio", 6), ("julio", 7), ("agosto", 8), ("septiembre", 9), ("setiembre", 9), ("octubre", 10), ("noviembre", 11), ("diciembre", 12),
-    ("january", 1), ("february", 2), ("march", 3), ("april", 4), ("may", 5), ("june", 6), ("july", 7), ("august", 8), ("september", 9), ("october", 10), ("november", 11), ("december", 12),
-]
+MONTHS = {
+    "enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "septiembre": 9, "setiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12,
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
+}
 # Units of time, in seconds or months.
 SECONDS = {"segundo": 1, "second": 1, "minuto": 60, "minute": 60, "hora": 3600, "hour": 3600, "día": 86400, "dia": 86400, "day": 86400, "semana": 604800, "week": 604800}
 IN_MONTHS = {"mes": 1, "month": 1, "año": 12, "ano": 12, "year": 12}
@@ -47,14 +47,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _month_prefixes() -> dict[str, int]:
-    out: dict[str, int] = {}
-    for name, n in MONTHS:
-        out[name] = n
-    for name, n in MONTHS:
-        for k in range(3, len(name)):
-            out.setdefault(name[:k], n)
-    return out
+def month_number(name: Column) -> Column:
+    """1 to 12 for a month's name or its beginning of three letters or more; null for other words. Three letters tell the month, one search in all names whether the rest fits."""
+    names = F.lit("|" + "|".join(MONTHS))
+    return F.when((F.length(name) >= 3) & names.contains(F.concat(F.lit("|"), name)), F.try_element_at(_table({n[:3]: m for n, m in MONTHS.items()}), F.substring(name, 1, 3)))
 
 
 def clean_str(v: Column) -> Column:
@@ -152,15 +148,26 @@ def _date(s: Column, now: Column) -> Column:
 
 
 def _date_by_pattern(low: Column, now: Column) -> Column:
-    part = lambda p, i: F.regexp_extract(low, p, i)
-    month = lambda c: F.try_element_at(_table(_month_prefixes()), c)
-    return (
-        F.when(low.rlike(YMD), _ymd(part(YMD, 1), part(YMD, 2), part(YMD, 3)))
-        .when(low.rlike(DMY), _ymd(part(DMY, 3), part(DMY, 2), part(DMY, 1)))
-        .when(low.rlike(D_MONTH_Y), F.when(month(part(D_MONTH_Y, 2)).isNotNull(), _ymd(part(D_MONTH_Y, 3), month(part(D_MONTH_Y, 2)), part(D_MONTH_Y, 1))))
-        .when(low.rlike(MONTH_D_Y), F.when(month(part(MONTH_D_Y, 1)).isNotNull(), _ymd(part(MONTH_D_Y, 3), month(part(MONTH_D_Y, 1)), part(MONTH_D_Y, 2))))
-        .otherwise(_relative(low, now)["moment"].cast("date"))
-    )
+    """Each pattern looks through the text once; its groups are taken from the short match."""
+    group = lambda m, p, i: F.regexp_extract(m, p, i)
+    forms = [
+        (YMD, lambda m: _ymd(group(m, YMD, 1), group(m, YMD, 2), group(m, YMD, 3))),
+        (DMY, lambda m: _ymd(group(m, DMY, 3), group(m, DMY, 2), group(m, DMY, 1))),
+        (D_MONTH_Y, lambda m: _named(group(m, D_MONTH_Y, 3), group(m, D_MONTH_Y, 2), group(m, D_MONTH_Y, 1))),
+        (MONTH_D_Y, lambda m: _named(group(m, MONTH_D_Y, 3), group(m, MONTH_D_Y, 1), group(m, MONTH_D_Y, 2))),
+    ]
+    out = _relative(low, now)["moment"].cast("date")
+    for pattern, day in reversed(forms):
+        out = _if_found(low, pattern, day, out)
+    return out
+
+
+def _if_found(text: Column, pattern: str, body: Callable[[Column], Column], other: Column) -> Column:
+    return _let(F.regexp_substr(text, F.lit(pattern)), lambda m: F.when(m.isNotNull(), body(m)).otherwise(other))
+
+
+def _named(year: Column, month: Column, day: Column) -> Column:
+    return _let(month_number(month), lambda n: F.when(n.isNotNull(), _ymd(year, n, day)))
 
 
 def _at(day: Column, h: Column, m: Column, s: Column) -> Column:

@@ -132,41 +132,41 @@ def _decode(content: pd.Series, charset: pd.Series) -> pd.Series:
 # --- robots rules ---
 
 
-def robots_groups(text: str) -> list[dict]:
-    """Groups of a robots.txt: agents, rules (allow, pattern) in order, delay. Agents in a row share a group; comments and unknown lines are skipped."""
-    groups: list[dict] = []
-    naming = False
-    for line in text.splitlines():
-        key, colon, value = line.partition("#")[0].partition(":")
-        key, value = key.strip().lower(), value.strip()
-        if not colon:
-            continue
-        if key == "user-agent":
-            if not naming:
-                groups.append({"agents": [], "rules": [], "delay": None})
-            groups[-1]["agents"].append(value.partition("/")[0].strip().lower())
-        elif groups and key in ("allow", "disallow"):
-            groups[-1]["rules"].append((key == "allow", value))
-        elif groups and key == "crawl-delay":
-            try:
-                groups[-1]["delay"] = float(value)
-            except ValueError:
-                pass
-        naming = key == "user-agent"
-    return groups
+# The lines of a robots.txt that count.
+AGENT, RULES, DELAY = "user-agent", ("allow", "disallow"), "crawl-delay"
+DIRECTIVE = re.compile(r"([^:#]*):([^#]*)")
+
+
+def _agent_token(name: str) -> str:
+    return name.split("/")[0].strip().lower()
+
+
+def robots_lines(text: str) -> pd.DataFrame:
+    """A robots.txt as a relation: agent, key, value, one row per directive and agent it is for, in order.
+
+    Each agent also has a row of its own, with the key user-agent. Agents of lines in a row are meant together; what comes
+    before the first of them is for nobody. Comments and lines without a colon are no directives.
+    """
+    found = [m.groups() for m in map(DIRECTIVE.match, text.splitlines()) if m]
+    lines = pd.DataFrame([(k.strip().lower(), v.strip()) for k, v in found], columns=["key", "value"], dtype=object)
+    names = lines["key"] == AGENT
+    # a block begins where a line names an agent and the one before doesn't
+    lines["block"] = (names & ~names.shift(fill_value=False)).cumsum()
+    agents = lines.loc[names, ["block", "value"]].rename(columns={"value": "agent"})
+    agents["agent"] = agents["agent"].map(_agent_token)
+    return agents.drop_duplicates().merge(lines, on="block")[["agent", "key", "value"]]
 
 
 def rules_for(text: str | None, status: int | None, agent: str) -> tuple[list[tuple[bool, str]], float | None]:
-    """Rules and delay for an agent: of its own groups, else of '*'. No answer or an error of the server denies all, 4xx allows all."""
+    """Rules (allow, pattern) and delay for an agent: those of its own blocks, else of '*'. No answer or an error of the server denies all, 4xx allows all."""
     if status is None or status >= 500:
         return [(False, "/")], None
-    if status >= 400:
-        return [], None
-    groups = robots_groups(text or "")
-    token = agent.partition("/")[0].strip().lower()
-    chosen = [g for g in groups if token and token in g["agents"]] or [g for g in groups if "*" in g["agents"]]
-    delays = [g["delay"] for g in chosen if g["delay"] is not None]
-    return [r for g in chosen for r in g["rules"] if r[1]], max(delays, default=None)
+    lines = robots_lines("" if status >= 400 else text or "")
+    own = _agent_token(agent)
+    lines = lines[lines["agent"] == (own if own and own in set(lines["agent"]) else "*")]
+    rules = lines[lines["key"].isin(RULES) & (lines["value"] != "")]
+    delays = pd.to_numeric(lines.loc[lines["key"] == DELAY, "value"], errors="coerce").dropna()
+    return [(k == RULES[0], v) for k, v in zip(rules["key"], rules["value"])], float(delays.max()) if len(delays) else None
 
 
 def rule_regex(pattern: str) -> str:
