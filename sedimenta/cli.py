@@ -43,7 +43,9 @@ def parser() -> argparse.ArgumentParser:
     for name in ("run", "dry-run"):
         c = sub.add_parser(name)
         c.add_argument("site")
-        c.add_argument("--pages", required=True, help="parquet of captured pages")
+        c.add_argument("--pages", help="parquet of captured pages; without it pages are fetched")
+        c.add_argument("--cache", action=argparse.BooleanOptionalAction, help="use the cache of pages; by default what the declaration says, and in a dry run")
+        c.add_argument("--offline", action="store_true", help="read pages from the cache alone")
         c.add_argument("--limit", type=int, default=10 if name == "dry-run" else None)
         c.add_argument("--from", dest="first", type=day)
         c.add_argument("--to", dest="last", type=day)
@@ -59,6 +61,7 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("init-site")
     c.add_argument("name")
     c.add_argument("--folder", default="sites")
+    p.add_argument("--cache-root", default=os.environ.get("SEDIMENTA_CACHE", "data/cache"))
     p.add_argument("--store", default=os.environ.get("SEDIMENTA_STORE", "data/store"))
     return p
 
@@ -92,6 +95,7 @@ def _do(a: argparse.Namespace, spark) -> int:
     from sedimenta.session import local_session
     from sedimenta.sources import export
     from sedimenta.sources.store import Store
+    from sedimenta.sources.web import Web
 
     spark = spark or local_session()
     store = Store(spark, a.store)
@@ -120,7 +124,9 @@ def _do(a: argparse.Namespace, spark) -> int:
         known = site.dates or Dates()
         dates = Dates(start=known.start if a.first is None else a.first, end=known.end if a.last is None else a.last, skip_weekdays=known.skip_weekdays)
     dry = a.command == "dry-run"
-    r = SiteRun(spark, site, spark.read.parquet(a.pages), None if dry else store, dry, a.limit, dates).run()
+    mode = "offline" if a.offline else {True: "on", False: "off"}.get(a.cache, "on" if dry else None)
+    source = spark.read.parquet(a.pages) if a.pages else Web(spark, site, a.cache_root, mode)
+    r = SiteRun(spark, site, source, None if dry else store, dry, a.limit, dates).run()
     print(f"{r.site}: {r.status}", *(f"{n.removeprefix('items_')} {getattr(r, n)}" for n in vars(r) if n.startswith("items_") or n in ("pages", "errors")), *r.warnings, sep="\n  ")
     for name, n in sorted(r.empty_fields.items(), key=lambda x: -x[1]):
         print(f"  empty {name}: {n / r.items_extracted:.0%}" if r.items_extracted else f"  empty {name}: {n}")
@@ -129,7 +135,7 @@ def _do(a: argparse.Namespace, spark) -> int:
             print(json.dumps({k: (str(v)[:120] if v is not None else None) for k, v in s.items()}, ensure_ascii=False))
     if a.export and not dry:
         return write(False, None, None)
-    return 0
+    return 1 if r.status == "error" else 0
 
 
 if __name__ == "__main__":

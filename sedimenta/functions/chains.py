@@ -1,14 +1,13 @@
 """The row before, in chains of any length.
 
 A plain ``lag() over (partition by key order by moment)`` puts the whole chain of one key into one task.
-Here chains longer than a threshold are cut into time slices first; each slice is sorted by itself, and only
-the first and last row of each slice of those keys go through a second window that links the slices.
+Here rows of keys with more than a threshold are range-partitioned by key and order first. The ranges are
+quantiles of the rows themselves, with ties broken by the whole order, so a slice is of even size however the
+moments lie. Each slice is linked by itself, and only the first and last row of each slice meet once more.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,38 +15,17 @@ from pyspark.sql import functions as F
 HOT_ROWS = 50_000
 #: At most so many keys are told to all tasks: the threshold rises with the number of rows, so more can't exist.
 MAX_HOT_KEYS = 10_000
-#: The slices of one key; their edges meet in one task.
-MAX_SLICES = 4_096
-
-
-def seconds(moment: Column) -> Column:
-    """Seconds of the wall clock since 1970, the same in every session time zone."""
-    days = F.datediff(F.to_date(moment), F.lit("1970-01-01").cast("date")).cast("bigint")
-    return days * 86400 + F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
-
-
-@dataclass(frozen=True)
-class Chains:
-    """rows: the input with _prev (struct of the values in the row before, null if unknown yet) and _edge."""
+#: Slices of all long chains together, each of about a fourth of the threshold; with this many keys at most there can't be more.
+MAX_SLICES = 4 * MAX_HOT_KEYS
 
-    rows: DataFrame
-    keys: list[str]
-    order: list[Column]
-    values: list[str]
-    sliced: bool
 
-    def linked(self, rows: DataFrame | None = None) -> DataFrame:
-        """_prev completed across slices. rows may be self.rows less any rows that aren't edges."""
-        rows = self.rows if rows is None else rows
-        if self.sliced:
-            lane = F.when(F.col("_edge"), F.lit(-1)).otherwise(F.col("_slice"))
-            w = Window.partitionBy(*self.keys, lane).orderBy(*self.order)
-            over = F.lag(F.struct(*self.values)).over(w)
-            rows = rows.withColumn("_prev", F.coalesce("_prev", F.when(F.col("_edge"), over)))
-        return rows.drop("_edge", "_slice")
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[list, int]:
+    """The keys with more rows than a threshold, with _n, and that threshold: hot_rows, or more in tables so large that over MAX_HOT_KEYS keys could pass it."""
+    limit = max(hot_rows, df.count() // MAX_HOT_KEYS)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).collect(), limit  # at most MAX_HOT_KEYS rows, by the limit
 
 
-def chains(
+def linked(
     df: DataFrame,
     keys: list[str],
     moment: str,
@@ -56,30 +34,32 @@ def chains(
     source: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     backwards: bool = False,
-) -> Chains:
-    """Chains of df by keys, in the order of moment, then ties (nulls first); backwards: from the end, so _prev is the row after.
+    kept: Column | None = None,
+) -> DataFrame:
+    """df with _prev, the struct of values in the row before, null in a chain's first row.
 
-    source: a cheaper table with the same keys and moment, to count from. Null keys form a chain of their own.
+    Chains are by keys, in the order of moment, then ties, nulls first; backwards: from the end, so _prev is the row after.
+    source: a cheaper table with the same rows' keys, to count from. kept: a condition on df and _prev; rows that fail it
+    don't come out. Null keys form a chain of their own. Rows of a long chain that are alike in the whole order may come
+    in any order, as in a window.
     """
     order = [F.col(c).desc_nulls_last() if backwards else F.col(c).asc_nulls_first() for c in [moment, *ties]]
-    counted = df if source is None else source
-    per_key = counted.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(seconds(F.col(moment))).alias("_lo"), F.max(seconds(F.col(moment))).alias("_hi")
-    )
-    limit = max(hot_rows, counted.count() // MAX_HOT_KEYS)
-    hot = per_key.filter(F.col("_n") > limit).collect()  # at most MAX_HOT_KEYS rows, by the limit
+    before = F.lag(F.struct(*values))
+    only = (lambda d: d) if kept is None else (lambda d: d.filter(kept))
+    hot, limit = hot_keys(df if source is None else source, keys, hot_rows)
     if not hot:
-        prev = F.lag(F.struct(*values)).over(Window.partitionBy(*keys).orderBy(*order))
-        return Chains(df.withColumn("_prev", prev).withColumn("_edge", F.lit(False)).withColumn("_slice", F.lit(0)), keys, order, values, False)
-    few = df.sparkSession.createDataFrame(hot, per_key.schema)
-    few = few.select(*(F.col(k).alias(f"_h_{i}") for i, k in enumerate(keys)), "_lo", "_hi", F.least(F.ceil(4 * F.col("_n") / limit), F.lit(MAX_SLICES)).alias("_many"))
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_h_{i}"))
-    place = F.floor((seconds(F.col(moment)) - F.col("_lo")) * F.col("_many") / (F.col("_hi") - F.col("_lo") + 1))
-    rows = df.join(F.broadcast(few), on, "left").withColumn("_hot", F.col("_many").isNotNull())
-    rows = rows.withColumn("_slice", F.coalesce(place, F.lit(0)).cast("int")).drop("_lo", "_hi", "_many", *(f"_h_{i}" for i in range(len(keys))))
-    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    rows = rows.withColumn("_prev", F.lag(F.struct(*values)).over(w)).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
-    rows = rows.withColumn("_edge", F.col("_hot") & (F.col("_prev").isNull() | F.col("_last"))).drop("_hot", "_last")
-    return Chains(rows, keys, order, values, True)
+        return only(df.withColumn("_prev", before.over(Window.partitionBy(*keys).orderBy(*order))))
+    shape = ", ".join(f"_h{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+    few = F.broadcast(df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], shape))
+    on = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
+    cold = df.join(few, on, "left_anti").withColumn("_prev", before.over(Window.partitionBy(*keys).orderBy(*order)))
+    many = min(sum(-(-4 * r["_n"] // limit) for r in hot), MAX_SLICES)
+    warm = df.join(few, on, "left_semi").repartitionByRange(many, *(F.col(k).asc_nulls_first() for k in keys), *order).withColumn("_slice", F.spark_partition_id())
+    own = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    warm = warm.withColumn("_prev", before.over(own)).withColumn("_edge", F.col("_prev").isNull() | F.lead(F.lit(1)).over(own).isNull())
+    if kept is not None:
+        warm = warm.filter(F.col("_edge") | kept)
+    lane = F.when(F.col("_edge"), F.lit(-1)).otherwise(F.col("_slice"))  # the edges of one key meet in one task: two of each slice
+    across = before.over(Window.partitionBy(*keys, lane).orderBy(*order))
+    warm = warm.withColumn("_prev", F.coalesce("_prev", F.when(F.col("_edge"), across))).drop("_edge", "_slice")
+    return only(cold).unionByName(only(warm))

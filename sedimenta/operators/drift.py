@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.functions.chains import HOT_ROWS, chains
+from sedimenta.functions.chains import HOT_ROWS, linked
 from sedimenta.functions.fields import fields, kind_of, loads_of
 from sedimenta.session import cut
 
@@ -34,8 +34,7 @@ def fingerprints(item_loads: DataFrame, runs: DataFrame, hot_rows: int = HOT_ROW
     held = F.when(F.col("present") * 2 >= F.col("rows"), F.struct("field", "type"))
     each = joined.groupBy("site", "run_id", "started_at").agg(F.sort_array(F.collect_list(held)).alias("held"))  # fields in half of a load's rows: few
     each = cut(each.withColumn("fingerprint", F.md5(F.to_json("held"))))
-    linked = chains(each, ["site"], "started_at", ["run_id"], ["run_id", "held", "fingerprint"], None, hot_rows).linked()
-    return linked.withColumnRenamed("_prev", "prev")
+    return linked(each, ["site"], "started_at", ["run_id"], ["run_id", "held", "fingerprint"], None, hot_rows).withColumnRenamed("_prev", "prev")
 
 
 def steps(prints: DataFrame, item_loads: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """History of changing records, rebuilt chain by chain.
 
 A chain is all rows of one record. Late or corrected rows can land anywhere in it, so the unit of work is
-the affected chain: an update fetches all raw rows of the records it touches, rebuilds all their intervals
-and replaces just those chains, in one pointer swap.
+the affected chain: an update fetches all sightings of the records it touches, rebuilds all their intervals
+and replaces just those chains, in one pointer swap. Sightings are kept beside the intervals, in the same
+buckets and with a digest in place of the record, so no raw row is read twice.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.functions.chains import HOT_ROWS, chains
+from sedimenta.functions.chains import HOT_ROWS, linked
 from sedimenta.functions.jsontext import digest
-from sedimenta.session import cut
+from sedimenta.session import cut, cuts
 from sedimenta.sources.pointer import Pointer
 
 ENTITY = ["site", "natural_key"]
@@ -39,73 +40,92 @@ def boundaries(sightings: DataFrame, source: DataFrame | None = None, hot_rows:
     """The sightings that begin a version (begins) or end one without beginning another (gone).
 
     Rows of one moment are taken in the order seen before gone, then load_id; a repeated row changes nothing.
+    source: a cheaper table with the records of the same rows.
     """
-    linked = chains(sightings, ENTITY, "moment", ["gone", "load_id"], ["state", "gone"], source, hot_rows)
     prev = F.col("_prev")
     begins = ~F.col("gone") & (prev.isNull() | prev["gone"] | (prev["state"] != F.col("state")))
     ends = F.col("gone") & prev.isNotNull() & ~prev["gone"]
-    kept = linked.rows.filter(F.col("_edge") | begins | ends)
-    return linked.linked(kept).withColumn("begins", begins).filter(begins | ends).drop("_prev")
+    found = linked(sightings, ENTITY, "moment", ["gone", "load_id"], ["state", "gone"], source, hot_rows, kept=begins | ends)
+    return found.withColumn("begins", begins).drop("_prev")
 
 
 def intervals(bounds: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions from boundaries: valid_from, valid_to (exclusive; null while valid), is_current, and the load_id that began each."""
     bounds = cut(bounds)  # it is read three times: to find long chains, their threshold, and the intervals
-    after = chains(bounds, ENTITY, "moment", ["gone", "load_id"], ["moment"], None, hot_rows, backwards=True).linked()
+    after = linked(bounds, ENTITY, "moment", ["gone", "load_id"], ["moment"], None, hot_rows, backwards=True)
     return after.filter("begins").select(
         *ENTITY, "load_id", F.col("moment").alias("valid_from"), F.col("_prev.moment").alias("valid_to"), F.col("_prev").isNull().alias("is_current"), F.hex("state").alias("state")
     )
 
 
-def rebuild(loads: DataFrame, touched: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Boundaries of the chains of the records in touched (site, natural_key), or of all records.
+def rebuild(loads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Boundaries of the chains of all records in loads."""
+    return boundaries(observations(loads), loads.select(*ENTITY), hot_rows)
 
-    All raw rows of a touched record are read again, whenever they came, so rows that arrive late or correct
-    earlier ones change every interval they should. Raw rows of other records are dropped before any sort.
-    """
-    if touched is not None:
-        keys = touched.select(*(F.col(c).alias(f"_t_{c}") for c in ENTITY)).distinct()
-        loads = loads.join(keys, [loads[c].eqNullSafe(keys[f"_t_{c}"]) for c in ENTITY], "left_semi")
-    return boundaries(observations(loads), observations(loads).select(*ENTITY, "moment"), hot_rows)
+
+VERSIONS = [*ENTITY, "load_id", "valid_from", "valid_to", "is_current", "state"]
+SIGHTINGS = [*ENTITY, "moment", "gone", "state", "load_id"]
 
 
 class HistoryStore:
-    """Versions on disk, in buckets of records; a manifest names the folder of each bucket.
+    """Versions and sightings on disk, in buckets of records; a manifest names the folders of each bucket.
 
-    update() writes new folders for the buckets that hold touched records, then swaps the manifest in one rename.
-    A run that dies before the swap leaves the old history in force; running it again gives the same result.
+    update() writes new folders for the buckets that hold touched records, then puts a new manifest in force. A run that
+    dies before that leaves the old history in force; running it again gives the same result. Of two updates at once the
+    second fails with Conflict and is to be run again. Of a bucket only rows of touched records are sorted; the others'
+    versions are copied. buckets is fixed when the store begins, in the manifest: a bucket should be some executors' work.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root, buckets
+        self.spark, self.root = spark, root
         self.pointer = Pointer(spark, f"{root}/MANIFEST")
+        self.buckets = (self.pointer.read() or {"of": buckets})["of"]
 
     def _bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(*ENTITY), F.lit(self.buckets)).cast("int"))
 
-    def read(self) -> DataFrame | None:
-        folders = (self.pointer.read() or {}).get("buckets", {})
+    def _write(self, df: DataFrame, what: str) -> dict[str, str]:
+        """The folder of each bucket of df; a large bucket is split over tasks by adaptive execution."""
+        folder = f"{self.root}/{what}-{uuid.uuid4().hex}"
+        self._bucket(df).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(folder)
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        names = [s.getPath().getName() for s in self.pointer.fs.listStatus(hadoop.Path(folder))]
+        return {n.removeprefix("bucket="): f"{folder}/{n}" for n in names if n.startswith("bucket=")}
+
+    def read(self) -> DataFrame:
+        folders = (self.pointer.read() or {}).get("versions", {})
         if not folders:
-            return None
-        return self.spark.read.parquet(*sorted(set(folders.values()))).select(*ENTITY, "load_id", "valid_from", "valid_to", "is_current", "state")
-
-    def update(self, loads: DataFrame, arrived: DataFrame) -> None:
-        """loads: all raw rows so far, those of arrived included. Repeating an update changes nothing."""
-        folders = dict((self.pointer.read() or {}).get("buckets", {}))
-        touched = cut(self._bucket(arrived.select(*ENTITY).distinct()))
-        hit = sorted(r["bucket"] for r in touched.select("bucket").distinct().collect())  # at most self.buckets
-        if not hit:
-            return
-        fresh = intervals(rebuild(loads, touched))
-        old = [folders[str(b)] for b in hit if str(b) in folders]
-        if old:
-            kept = self.spark.read.parquet(*old)
-            keys = touched.select(*(F.col(c).alias(f"_t_{c}") for c in ENTITY))
-            kept = kept.join(keys, [kept[c].eqNullSafe(keys[f"_t_{c}"]) for c in ENTITY], "left_anti")
-            fresh = fresh.unionByName(kept.select(fresh.columns))
-        folder = f"{self.root}/v-{uuid.uuid4().hex}"
-        self._bucket(fresh).write.partitionBy("bucket").parquet(folder)
+            return self.spark.createDataFrame([], "site string, natural_key string, load_id bigint, valid_from timestamp_ntz, valid_to timestamp_ntz, is_current boolean, state string")
+        return self.spark.read.parquet(*sorted(folders.values())).select(*VERSIONS)
+
+    def update(self, arrived: DataFrame, hot_rows: int = HOT_ROWS) -> None:
+        """arrived: raw rows, new, late or corrected. Repeating an update changes nothing, as rows already seen are left out by load_id."""
+        version, manifest = self.pointer.current()
+        manifest = manifest or {"of": self.buckets, "versions": {}, "sightings": {}}
+        with cuts(self.spark):
+            fresh = cut(self._bucket(observations(arrived).select(*SIGHTINGS)))
+            hit = [str(r["bucket"]) for r in fresh.select("bucket").distinct().collect()]  # at most self.buckets
+            if not hit:
+                return
+            touched = fresh.select(*(F.col(c).alias(f"_t_{c}") for c in ENTITY)).distinct()
+            same = lambda df: [df[c].eqNullSafe(F.col(f"_t_{c}")) for c in ENTITY]
+            seen = [f for b in hit for f in manifest["sightings"].get(b, [])]
+            whole = fresh = fresh.drop("bucket")
+            if seen:
+                had = self.spark.read.parquet(*seen).select(*SIGHTINGS)
+                had = cut(had.join(touched, same(had), "left_semi"))
+                known = had.select(F.col("load_id").alias("_load"), *(F.col(c).alias(f"_t_{c}") for c in ENTITY))
+                fresh = cut(fresh.join(known, [fresh["load_id"].eqNullSafe(F.col("_load")), *same(fresh)], "left_anti"))
+                whole = had.unionByName(fresh)
+            versions = intervals(boundaries(whole, whole.select(*ENTITY), hot_rows), hot_rows)
+            old = [manifest["versions"][b] for b in hit if b in manifest["versions"]]
+            if old:
+                kept = self.spark.read.parquet(*old).select(*VERSIONS)
+                versions = versions.unionByName(kept.join(touched, same(kept), "left_anti"))
+            written = self._write(versions, "versions")
+            added = self._write(fresh, "sightings")
         for b in hit:
-            folders[str(b)] = f"{folder}/bucket={b}"
-        present = {str(r["bucket"]) for r in self.spark.read.parquet(folder).select("bucket").distinct().collect()} if hit else set()
-        self.pointer.swap({"buckets": {b: f for b, f in folders.items() if int(b) not in hit or b in present}})
+            manifest["versions"].pop(b, None)
+            manifest["sightings"][b] = [*manifest["sightings"].get(b, []), *([added[b]] if b in added else [])]
+        manifest["versions"] |= written
+        self.pointer.swap(manifest, version)

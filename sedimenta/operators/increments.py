@@ -1,45 +1,45 @@
-"""Taking each new or changed record once, run by run.
-
-Every successful run of a site is a commit; its place in the order of finished_at is the commit sequence.
-A commit takes the states that became known after the watermark of the commit before it and up to its own
-finished_at, an upper limit that is fixed before anything is read. Rows that arrive later wait for the next
-commit, however old the moment they speak of.
+"""Taking each new or changed record once, landing by landing.
+
+Rows land in batches, and each batch gets the next number of a commit sequence. That number is the watermark: a
+run of process() fixes the highest number as its upper limit before it reads anything, reads the batches past the
+watermark up to there, and commits its output together with the new watermark. So a row is read once however late
+it lands and whatever moments it speaks of, and batches of the past are never read again. What a run must know of
+the past is kept by day: the states already seen, looked up on the days the new rows speak of, and the output,
+looked up only for runs that late rows belong to.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.functions.chains import HOT_ROWS, chains
-from sedimenta.session import cut
+from sedimenta.functions.chains import HOT_ROWS, linked
+from sedimenta.session import cut, cuts
 from sedimenta.sources.pointer import Pointer
 
 OK = ["ok", "degraded"]
+STATE = ["site", "natural_key", "changed"]
+#: Folders of one day that are joined into one, by the run that would add another.
+FRAGMENTS = 32
+
 
+def successful() -> Column:
+    return F.trim(F.lower("status")).isin(OK) & F.col("finished_at").isNotNull()
 
-def commits(runs: DataFrame, marks: DataFrame | None = None, upper: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+
+def commits(runs: DataFrame, upper: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """site, run_id, low, high: the window (low, high] of each successful run; low is null for a site's first.
 
     A run is successful if any of its rows has status ok or degraded, trimmed and in lower case, and a
     finished_at; the earliest such finished_at counts. Of runs that finish together the lowest id takes the
-    states: the window of the others is empty. Rows without site or id are no commits.
-
-    marks (site, mark): only runs that finished after the mark of their site, the first from the mark on.
-    upper: only runs that finished until then.
+    states: the window of the others is empty. Rows without site or id are no commits. upper: only runs that finished until then.
     """
-    good = F.trim(F.lower("status")).isin(OK) & F.col("finished_at").isNotNull()
-    won = runs.filter(good & F.col("site").isNotNull() & F.col("id").isNotNull()).groupBy("site", F.col("id").alias("run_id")).agg(F.min("finished_at").alias("high"))
+    won = runs.filter(successful() & F.col("site").isNotNull() & F.col("id").isNotNull()).groupBy("site", F.col("id").alias("run_id")).agg(F.min("finished_at").alias("high"))
     if upper is not None:
         won = won.filter(F.col("high") <= F.lit(upper).cast("timestamp_ntz"))
-    if marks is not None:
-        won = won.join(marks.select("site", "mark"), "site", "left").filter(F.col("mark").isNull() | (F.col("high") > F.col("mark")))
-    else:
-        won = won.withColumn("mark", F.lit(None).cast("timestamp_ntz"))
-    linked = chains(won, ["site"], "high", ["run_id"], ["high"], None, hot_rows).linked()
-    windows = linked.select("site", "run_id", F.coalesce("_prev.high", "mark").alias("low"), "high")
+    windows = linked(won, ["site"], "high", ["run_id"], ["high"], None, hot_rows).select("site", "run_id", F.col("_prev.high").alias("low"), "high")
     return windows.filter(F.col("low").isNull() | (F.col("low") < F.col("high")))
 
 
@@ -53,55 +53,136 @@ def states(loads: DataFrame) -> DataFrame:
     return known.groupBy("site", "natural_key", F.coalesce("last_changed", "fetched_at").alias("changed")).agg(F.min("loaded_at").alias("known_at"))
 
 
-def taken(loads: DataFrame, windows: DataFrame) -> DataFrame:
-    """run_id, site, natural_key: the records each commit of windows takes, once each.
+def owners(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """States (site, natural_key, changed, known_at) with run_id and high of the commit whose window they became known in; both null if there is none yet.
 
-    The as-of lookup is an equi-join: a commit is listed under each day its window touches and a state under the
-    day it became known, so a large site spreads over its days and no task holds a site. A site's first window
-    opens with the first day of loads.
+    The as-of lookup is an equi-join: a commit is listed under each day its window touches and a state under the day it
+    became known, so a large site spreads over its days and no task holds a site. A site's first window opens with the
+    first day of found.
     """
-    first = F.lit(loads.agg(F.to_date(F.min("loaded_at")).alias("d")).collect()[0]["d"]).cast("date")
+    first = found.agg(F.to_date(F.min("known_at")).alias("d")).collect()[0]["d"]
+    first = F.lit(first).cast("date")
     opens = F.greatest(F.coalesce(F.to_date("low"), first), first)
-    listed = windows.filter(F.to_date("high") >= opens).withColumn("day", F.explode(F.sequence(opens, F.to_date("high"))))
-    found = states(loads).withColumn("day", F.to_date("known_at")).join(listed, ["site", "day"])
-    found = found.filter((F.col("low").isNull() | (F.col("known_at") > F.col("low"))) & (F.col("known_at") <= F.col("high")))
-    return found.select("run_id", "site", "natural_key").distinct()
+    listed = windows.filter(F.to_date("high") >= opens).select(F.col("site").alias("_site"), "run_id", "low", "high", F.explode(F.sequence(opens, F.to_date("high"))).alias("_day"))
+    inside = (F.col("low").isNull() | (F.col("known_at") > F.col("low"))) & (F.col("known_at") <= F.col("high"))
+    on = [F.col("site") == F.col("_site"), F.to_date("known_at") == F.col("_day"), inside]
+    return found.join(listed, on, "left").drop("_site", "_day", "low")
 
 
-class IncrementalReader:
-    """Takes what is new since the last commit of each site and writes it together with the new watermarks.
+class Days:
+    """A table that only grows, in folders by day; what a manifest knows of it is {day: [folder]}."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: str, folders: dict[str, list[str]]):
+        self.spark, self.root, self.name, self.schema, self.folders = spark, root, name, schema, folders
+
+    def read(self, days: list[str] | None = None) -> DataFrame:
+        """All rows, or those of some days alone: other folders aren't opened."""
+        paths = [f for d, fs in self.folders.items() if days is None or d in days for f in fs]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def add(self, rows: DataFrame) -> dict[str, list[str]]:
+        """The manifest's entry once rows (the schema's columns and day) are added; the folders so far stay as they are."""
+        folders = {d: list(fs) for d, fs in self.folders.items()}
+        for day, path in self._write(rows).items():
+            folders[day] = [*folders.get(day, []), path]
+        if scattered := [d for d, fs in folders.items() if len(fs) > FRAGMENTS]:
+            again = self.read_paths({d: folders[d] for d in scattered})
+            folders |= {d: [path] for d, path in self._write(again).items()}
+        return folders
 
-    process() writes batch and watermarks into a folder of its own and then swaps the pointer to it. A run that
-    dies before the swap leaves an orphan folder that no reader sees, and its records are taken again; after the
-    swap they are never taken again. A successful run whose row turns up after a later run of its site was
-    committed is no commit any more: the later one took its states.
+    def read_paths(self, folders: dict[str, list[str]]) -> DataFrame:
+        out = None
+        for d, fs in folders.items():
+            part = self.spark.read.schema(self.schema).parquet(*fs).withColumn("day", F.lit(d))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _write(self, rows: DataFrame) -> dict[str, str]:
+        folder = f"{self.root}/{self.name}-{uuid.uuid4().hex}"
+        rows.hint("rebalance", "day").write.partitionBy("day").parquet(folder)
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        fs = hadoop.Path(folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(hadoop.Path(folder))]
+        return {n.removeprefix("day="): f"{folder}/{n}" for n in names if n.startswith("day=")}
+
+
+def _day(moment: str) -> Column:
+    return F.coalesce(F.date_format(moment, "yyyy-MM-dd"), F.lit("none"))
+
+
+class IncrementalReader:
+    """Takes what is new since the last commit and writes it together with the new watermark.
+
+    land() numbers a batch; process() takes the batches past the watermark. Each state goes to the successful run whose
+    window it became known in, also where it lands after that run was processed: then it comes out with the next
+    process(), under that run, unless that run has the record already. States that no run has taken yet wait. A run
+    that dies before its commit leaves folders that no reader sees, and the next one starts at the old watermark; after
+    the commit nothing is taken again. Of two processes at once the second fails with Conflict and takes nothing.
+    Runs whose rows turn up late take only states that no other run has taken.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self.landed = Pointer(spark, f"{root}/LANDED")
         self.pointer = Pointer(spark, f"{root}/WATERMARK")
 
-    def process(self, loads: DataFrame, runs: DataFrame) -> int:
-        """Commits all successful runs past the watermarks; the number of commits."""
-        seen = self.pointer.read() or {"marks": None, "batches": []}
-        upper = runs.filter(F.trim(F.lower("status")).isin(OK)).agg(F.max("finished_at").cast("string")).collect()[0][0]
-        if upper is None:
-            return 0
-        marks = self.spark.read.parquet(seen["marks"]) if seen["marks"] else None
-        windows = cut(commits(runs, marks, upper))
-        count = windows.count()
-        if not count:
-            return 0
-        folder = f"{self.root}/b-{uuid.uuid4().hex}"
-        taken(loads, windows).write.parquet(f"{folder}/records")
-        now = windows.groupBy("site").agg(F.max("high").alias("mark"))
-        if marks is not None:
-            now = now.unionByName(marks.join(now, "site", "left_anti"))
-        now.write.parquet(f"{folder}/marks")
-        self.pointer.swap({"marks": f"{folder}/marks", "batches": [*seen["batches"], f"{folder}/records"]})
+    def land(self, *paths: str) -> int:
+        """Numbers parquet files or folders, which must not change any more, as the next batch; a path that has a number keeps it. The highest number."""
+
+        def add(landed: dict | None) -> dict:
+            batches = (landed or {"batches": []})["batches"]
+            had = {p for b in batches for p in b}
+            new = [p for p in paths if p not in had]
+            return {"batches": [*batches, new] if new else batches}
+
+        return len(self.landed.change(add)["batches"])
+
+    def process(self, runs: DataFrame) -> int:
+        """Takes all batches past the watermark, and states that waited for a run; the number of rows written."""
+        version, seen = self.pointer.current()
+        seen = seen or {"mark": 0, "states": {}, "records": {}, "waiting": None}
+        batches = (self.landed.read() or {"batches": []})["batches"]
+        upper = len(batches)  # fixed before anything is read
+        last_end = runs.filter(successful()).agg(F.max("finished_at").cast("string")).collect()[0][0]
+        index = Days(self.spark, self.root, "states", "site string, natural_key string, changed timestamp_ntz", seen["states"])
+        output = Days(self.spark, self.root, "records", "run_id bigint, site string, natural_key string", seen["records"])
+        with cuts(self.spark):
+            paths = [p for b in batches[seen["mark"] : upper] for p in b]
+            waiting = self.spark.read.parquet(seen["waiting"]) if seen["waiting"] else None
+            if not paths and waiting is None:
+                return 0
+            pool = waiting
+            if paths:
+                new = states(self.spark.read.option("mergeSchema", True).parquet(*paths)).withColumn("day", _day("changed"))
+                if seen["states"]:
+                    new = cut(new)
+                    days = [r["day"] for r in new.select("day").distinct().collect()]  # days of the calendar
+                    had = index.read(days).select(*(F.col(c).alias(f"_{c}") for c in STATE))
+                    new = new.join(had, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in STATE], "left_anti")
+                fresh = cut(new)
+                pool = fresh.drop("day") if waiting is None else fresh.drop("day").unionByName(waiting)
+                seen["states"] = index.add(fresh.select(*STATE, "day"))
+            pool = cut(owners(pool, commits(runs, last_end)) if last_end is not None else pool.withColumns({"run_id": F.lit(None).cast("bigint"), "high": F.lit(None).cast("timestamp_ntz")}))
+            taken = pool.filter("run_id IS NOT NULL").select("run_id", "site", "natural_key", _day("high").alias("day")).distinct()
+            if seen["records"]:
+                taken = cut(taken)
+                days = [r["day"] for r in taken.select("day").distinct().collect()]  # days of the calendar
+                taken = taken.join(output.read(days), ["run_id", "site", "natural_key"], "left_anti")
+            taken = cut(taken.select("run_id", "site", "natural_key", "day"))
+            count = taken.count()
+            if count:
+                seen["records"] = output.add(taken)
+            seen["waiting"] = f"{self.root}/waiting-{uuid.uuid4().hex}"
+            pool.filter("run_id IS NULL").select(*STATE, "known_at").write.parquet(seen["waiting"])
+        self.pointer.swap(seen | {"mark": upper}, version)
         return count
 
-    def read(self) -> DataFrame | None:
-        """The records of all committed batches."""
-        batches = (self.pointer.read() or {"batches": []})["batches"]
-        return self.spark.read.parquet(*batches) if batches else None
+    def read(self) -> DataFrame:
+        """run_id, site, natural_key: the records of all committed batches, once per run."""
+        seen = self.pointer.read() or {"records": {}}
+        return Days(self.spark, self.root, "records", "run_id bigint, site string, natural_key string", seen["records"]).read()
+
+
+def replay(loads: DataFrame, runs: DataFrame) -> DataFrame:
+    """run_id, site, natural_key: what each successful run takes of loads that are all there, without a store."""
+    return owners(states(loads), commits(runs)).filter("run_id IS NOT NULL").select("run_id", "site", "natural_key").distinct()

@@ -50,12 +50,13 @@ def classify(records: DataFrame, stored: DataFrame, order: list[str]) -> DataFra
     return both.withColumn("result", F.when(earlier.isNull(), "new").when(earlier != F.col("content_hash"), "updated").otherwise("unchanged")).drop("stored_hash")
 
 
-def upsert(stored: DataFrame, classified: DataFrame, touched: DataFrame, run_id: int, now: Column, order: list[str], gone: bool) -> DataFrame:
+def upsert(stored: DataFrame, classified: DataFrame, touched: DataFrame, run_id: int, now: Column, order: list[str], gone: bool, after_id: int | None = None) -> DataFrame:
     """The next snapshot of items, by one full join of stored items with what the run saw.
 
     stored: id, site, natural_key, content_hash, data, source_url, first_seen, last_seen, last_changed, run_id, seen_run_id, fetched_at, gone_at.
     classified: as from classify(), with data and source_url. touched (site, natural_key): seen, but not fetched again. gone:
-    whether active items that weren't seen are marked. New ids follow the largest one, in the order of the run.
+    whether active items that weren't seen are marked. New ids follow after_id, in the order of the run; without it, the
+    largest one of stored, which must be all items then.
     """
     keys = ["site", "natural_key"]
     changes = classified.groupBy(*keys).agg(F.bool_or(F.col("result") != "unchanged").alias("changed"), F.max_by(F.struct("content_hash", "data", "source_url"), F.struct(*order)).alias("seen"), F.max_by(F.struct("content_hash", "data", "source_url"), F.when(F.col("result") != "unchanged", F.struct(*order))).alias("kept"), F.min(F.struct(*order)).alias("place"))
@@ -63,7 +64,7 @@ def upsert(stored: DataFrame, classified: DataFrame, touched: DataFrame, run_id:
     all_ = stored.join(changes, keys, "full").join(touch, keys, "left")
     is_new, hit, skip = F.col("id").isNull(), F.col("seen").isNotNull(), F.coalesce("touched", F.lit(False))
     moved = hit & F.col("changed")
-    first_id = stored.agg(F.coalesce(F.max("id"), F.lit(0))).collect()[0][0]
+    first_id = stored.agg(F.coalesce(F.max("id"), F.lit(0))).collect()[0][0] if after_id is None else after_id
     # new items are numbered by their place: ranks within ranges, then the ranges' offsets
     numbered = _numbered(all_.filter(is_new & hit).select(*keys, "place"), "place", first_id)
     all_ = all_.join(numbered, keys, "left")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.functions.chains import HOT_ROWS, MAX_HOT_KEYS, chains
+from sedimenta.functions.chains import HOT_ROWS, hot_keys, linked
 from sedimenta.functions.fields import fields, loads_of
 from sedimenta.session import cut
 
@@ -107,15 +107,13 @@ def by_load(item_loads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """site, load_run_id, data of the rows with both, the rows of a load together, so that their counts meet before they are shuffled.
 
     Of the loads with so many rows that one task would be long, rows are dealt out by load_id; the threshold rises with the
-    table, so at most MAX_HOT_KEYS loads are told apart. Record texts are smaller than the rows their fields make.
+    table, so at most chains.MAX_HOT_KEYS loads are told apart. Record texts are smaller than the rows their fields make.
     """
     rows = item_loads.filter(F.col("site").isNotNull() & F.col("load_run_id").isNotNull())
-    per_load = rows.groupBy("site", "load_run_id").agg(F.count(F.lit(1)).alias("_n"))
-    limit = max(hot_rows, rows.count() // MAX_HOT_KEYS)
-    hot = per_load.filter(F.col("_n") > limit).withColumn("_lanes", F.ceil(F.col("_n") / limit).cast("int")).collect()  # at most MAX_HOT_KEYS
+    hot, limit = hot_keys(rows, ["site", "load_run_id"], hot_rows)
     if not hot:
         return rows.select("site", "load_run_id", "data").repartition("site", "load_run_id")
-    few = rows.sparkSession.createDataFrame(hot, "site string, load_run_id bigint, _n bigint, _lanes int").drop("_n")
+    few = rows.sparkSession.createDataFrame([(r["site"], r["load_run_id"], -(-r["_n"] // limit)) for r in hot], "site string, load_run_id bigint, _lanes int")
     lanes = rows.select("site", "load_run_id", "data", "load_id").join(F.broadcast(few), ["site", "load_run_id"], "left")
     lanes = lanes.withColumn("_lane", F.when(F.col("_lanes").isNotNull(), F.pmod(F.xxhash64("load_id"), F.col("_lanes"))).otherwise(0))
     return lanes.repartition("site", "load_run_id", "_lane").select("site", "load_run_id", "data")
@@ -172,7 +170,7 @@ def field_profile(counts: DataFrame, item_loads: DataFrame, runs: DataFrame, hot
         middle("high").alias("high_median"),
     )
     loads = loads_of(item_loads, runs)
-    order = chains(cut(loads), ["site"], "started_at", ["run_id"], ["run_id"], None, hot_rows).linked()
+    order = linked(cut(loads), ["site"], "started_at", ["run_id"], ["run_id"], None, hot_rows)
     held = by_field.join(order, ["site", "run_id"]).filter(F.col("present") * 2 >= F.col("rows"))
     held = held.withColumn("empty", F.col("rows") - F.col("present") + F.col("blank")).withColumn("prev_run", F.col("_prev.run_id")).drop("_prev", "blank")
     held = cut(held)
@@ -260,7 +258,7 @@ def mask_report(counts: DataFrame, item_loads: DataFrame, runs: DataFrame, hot_r
     at_site = by_mask.groupBy("site", "field", "mask").agg(F.sum("n").alias("site_n"))
     site_totals = at_site.groupBy("site", "field").agg(F.sum("site_n").alias("site_total"), F.min(F.struct((-F.col("site_n")).alias("m"), "mask")).alias("site_top"))
     at_site = at_site.join(site_totals, ["site", "field"])
-    order = chains(cut(loads_of(item_loads, runs).drop("rows")), ["site"], "started_at", ["run_id"], ["run_id"], None, hot_rows).linked()
+    order = linked(cut(loads_of(item_loads, runs).drop("rows")), ["site"], "started_at", ["run_id"], ["run_id"], None, hot_rows)
     by_mask = by_mask.join(order.select("site", "run_id", F.col("_prev.run_id").alias("prev_run")), ["site", "run_id"])
     totals = by_mask.groupBy("site", "run_id", "field").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("m"), "mask")).alias("top"))
     both = by_mask.join(totals, ["site", "run_id", "field"]).join(at_site, ["site", "field", "mask"])

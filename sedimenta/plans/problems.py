@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.operators import drift, history, increments, nesting, profile
+from sedimenta.session import scratch
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,12 +31,21 @@ def p2_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    bounds = history.rebuild(table(spark, d, "item_loads"))
-    return bounds.filter("begins").select("site", "natural_key", F.date_format("moment", "yyyy-MM-dd HH:mm:ss").alias("valid_from"))
+    """All rows in one update of a history."""
+    store = history.HistoryStore(spark, scratch(spark, "history"))
+    store.update(table(spark, d, "item_loads"))
+    return store.read().select("site", "natural_key", F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss").alias("valid_from"))
 
 
 def p3_history(spark: SparkSession, d: str) -> DataFrame:
-    return history.intervals(history.rebuild(table(spark, d, "item_loads"))).select("site", "natural_key", "valid_from", "valid_to", "is_current")
+    """All rows in two updates, as they arrived: the second, rows that arrived from the middle of the period on, rebuilds the chains it touches."""
+    loads = table(spark, d, "item_loads")
+    ends = loads.agg(F.min("loaded_at").alias("a"), F.max("loaded_at").alias("z")).collect()[0]
+    store = history.HistoryStore(spark, scratch(spark, "history"))
+    late = F.coalesce(F.col("loaded_at") >= F.lit(ends["a"] + (ends["z"] - ends["a"]) / 2 if ends["a"] else None).cast("timestamp_ntz"), F.lit(False))
+    for part in (loads.filter(~late), loads.filter(late)):
+        store.update(part)
+    return store.read().select("site", "natural_key", "valid_from", "valid_to", "is_current")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +57,11 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return increments.taken(table(spark, d, "item_loads"), increments.commits(table(spark, d, "runs")))
+    """The table lands as one batch and is processed up to it."""
+    reader = increments.IncrementalReader(spark, scratch(spark, "increments"))
+    reader.land(f"{d}/item_loads.parquet")
+    reader.process(table(spark, d, "runs"))
+    return reader.read()
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import pathlib
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -19,6 +21,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -42,15 +45,59 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+
+class _Open(threading.local):
+    """Folders that cut() made within cuts() in this thread, innermost last."""
+
+    def __init__(self):
+        self.folders: list[list[str]] = []
+
+
+_OPEN = _Open()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def cuts(spark: SparkSession):
+    """What cut() writes within is deleted at the end; for work whose results are stored or on the driver by then."""
+    _OPEN.folders.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.folders.pop():
+            _delete(spark, path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one, deleted at the end of cuts(), else when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN.folders:
+        _OPEN.folders[-1].append(path)
+    else:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once into a table in the shared folder, without its lineage: lost executors take nothing with them."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch(df.sparkSession, "cut")
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers of all executors, where it may not be installed. Spark serves it to executors that join later, too."""
+    """Gives this package to the Python workers of all executors, where it may not be installed. Spark serves it to executors that join later, too.
+
+    Also settles for the session that a JSON object that repeats a key has its last value, as Python and SQL engines read it.
+    """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     sc = spark.sparkContext
     if getattr(sc, "_sedimenta_shipped", False):
         return

@@ -6,21 +6,26 @@ import datetime as dt
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedimenta.functions.urls import origin, path_and_query
+from sedimenta.spec import Dates, Site
 
 # The codes of strftime that date patterns of URLs use, as Java writes them.
-STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%y": "yy", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
+STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%y": "yy", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%B": "MMMM", "%b": "MMM", "%A": "EEEE", "%a": "EEE", "%-d": "d", "%-m": "M"}
+# How a page declares its charset.
+META_CHARSET = r"(?i)<meta[^>]+charset\s*=\s*[\"']?\s*([\w-]+)"
 
 
 def java_date_format(pattern: str) -> str:
     """A strftime pattern for date_format; ValueError for codes it lacks."""
     out, literal = "", ""
-    for piece in re.split(r"(%.)", pattern):
-        if piece.startswith("%"):
+    for piece in re.split(r"(%-?.)", pattern):
+        if piece == "%%":
+            literal += "%"
+        elif piece.startswith("%"):
             if piece not in STRFTIME:
                 raise ValueError(f"date code {piece} isn't supported")
             out += (f"'{literal}'" if literal else "") + STRFTIME[piece]
@@ -43,23 +48,31 @@ def date_seeds(sites: DataFrame, template: str, first: dt.date, last: dt.date, s
     return days.withColumn("url", url)
 
 
-def template_pages(seeds: DataFrame, template: Column, start_page: int, max_pages: int) -> DataFrame:
-    """seeds with page_no 1..max_pages and url: that of the seed, then the template with {page} = start_page + page_no - 1."""
-    numbered = seeds.withColumn("page_no", F.explode(F.sequence(F.lit(1), F.lit(max_pages))))
-    return numbered.withColumn("url", F.when(F.col("page_no") == 1, F.col("url")).otherwise(F.replace(template, F.lit("{page}"), (F.col("page_no") + (start_page - 1)).cast("string"))))
+def seeds(spark: SparkSession, site: Site, today: dt.date, dates: Dates | None = None) -> DataFrame:
+    """start_pos, url, by_date: the URLs a run of site starts from, absolute, in the order declared; those with {date...} once per day. dates overrides the declared ones."""
+    declared = list(enumerate(site.start_urls))
+    span = dates or site.dates
+    if span is None:
+        return spark.createDataFrame([(i, site.absolute(u), False) for i, u in declared], "start_pos int, url string, by_date boolean")
+    first, last = span.ends(today)
+    out = spark.createDataFrame([(i, site.absolute(u)) for i, u in declared if "{date" not in u], "_no int, url string").select("_no", F.lit(first).alias("day"), "url", F.lit(False).alias("by_date"))
+    for i, u in declared:
+        if "{date" in u:
+            days = date_seeds(spark.createDataFrame([(i,)], "_no int"), site.absolute(u), first, last, span.skip_weekdays)
+            out = out.unionByName(days.select("_no", "day", "url", F.lit(True).alias("by_date")))
+    numbered = F.row_number().over(Window.orderBy("_no", "day")) - 1  # days of one declaration: few
+    return out.select(numbered.cast("int").alias("start_pos"), "url", "by_date")
 
 
-def stop_at_first(pages: DataFrame, listing: list[str], terminal: Column) -> DataFrame:
-    """pages up to the first terminal one of each listing, that one included. A listing has at most max_pages pages."""
-    from pyspark.sql import Window
+def page_url(template: Column, start_page: int, page_no: Column) -> Column:
+    """The URL of a listing's page_no-th page by its template, in which {page} is a number that is start_page on the first page."""
+    return F.replace(template, F.lit("{page}"), (page_no + (start_page - 1)).cast("string"))
 
-    w = Window.partitionBy(*listing).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.withColumn("_done", F.coalesce(F.bool_or(terminal).over(w), F.lit(False))).filter(~F.col("_done")).drop("_done")
 
-
-def fetch_outcome(status: Column, tolerated: Column) -> Column:
-    """ok, fail, or end: a 404 or 410 where the end of a listing may show so. A null status is a failure."""
-    return F.when(status < 400, "ok").when(status.isin(404, 410) & tolerated, "end").otherwise("fail")
+def fetch_outcome(status: Column, tolerated: Column, error: Column | None = None) -> Column:
+    """ok, fail, or end: a 404 or 410 where the end of a listing may show so. A null status is a failure, unless error says that robots rules forbade the page (robots) or that it wasn't asked for (stopped)."""
+    told = F.lit(None) if error is None else F.when(error.startswith("robots: "), "robots").when(error.startswith("stopped: "), "stopped")
+    return F.coalesce(told, F.when(status < 400, "ok").when(status.isin(404, 410) & tolerated, "end").otherwise("fail"))
 
 
 def fresh(fetched_at: Column, now: Column, ttl_hours: float) -> Column:
@@ -67,30 +80,41 @@ def fresh(fetched_at: Column, now: Column, ttl_hours: float) -> Column:
     return fetched_at > now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_hours * 3600).cast("decimal(18,6)"))
 
 
-def cached(requests: DataFrame, cache: DataFrame, mode: str, now: Column, ttl_hours: float = 24) -> DataFrame:
-    """requests (url, ...) with source: cache, network or offline_miss, and the cached response's columns.
+#: What a cache keeps of a response, if it has it.
+KEPT = ["final_url", "status", "html", "etag", "last_modified", "fetched_at"]
+
+
+def cached(requests: DataFrame, cache: DataFrame, mode: str, now: Column, ttl_hours: float = 24, revalidate: bool = False) -> DataFrame:
+    """requests (url, ...) with source: cache, network or offline_miss, and the cached response's columns as cached_*.
 
-    mode off never looks, offline takes whatever is there, on takes what is fresh and else offers it for revalidation. Of several
-    responses to one URL the latest counts.
+    mode off never looks, offline takes whatever is there, on takes what is fresh, unless it is to be revalidated, and leaves
+    the rest to the network. Of several responses to one URL the latest counts.
     """
     if mode not in ("off", "on", "offline"):
         raise ValueError(f"cache mode {mode!r}")
-    latest = cache.groupBy("url").agg(F.max_by(F.struct("status", "html", "fetched_at"), "fetched_at").alias("hit"))
+    kept = [c for c in KEPT if c in cache.columns]
+    latest = cache.groupBy("url").agg(F.max_by(F.struct(*kept), "fetched_at").alias("hit"))
     both = requests.join(latest, "url", "left")
-    usable = F.col("hit").isNotNull() & {"off": F.lit(False), "offline": F.lit(True), "on": fresh(F.col("hit.fetched_at"), now, ttl_hours)}[mode]
+    on = F.lit(False) if revalidate else fresh(F.col("hit.fetched_at"), now, ttl_hours)
+    usable = F.col("hit").isNotNull() & {"off": F.lit(False), "offline": F.lit(True), "on": on}[mode]
     missed = F.lit("offline_miss" if mode == "offline" else "network")
-    both = both.withColumn("source", F.when(usable, "cache").otherwise(missed))
+    both = both.withColumn("source", F.when(F.coalesce(usable, F.lit(False)), "cache").otherwise(missed))
     keep = F.col("source") == "cache"
-    return both.select(*requests.columns, "source", *(F.when(keep, F.col(f"hit.{c}")).alias(f"cached_{c}") for c in ("status", "html", "fetched_at")))
+    return both.select(*requests.columns, "source", *(F.when(keep, F.col(f"hit.{c}")).alias(f"cached_{c}") for c in kept))
 
 
 def cache_after(cache: DataFrame, responses: DataFrame, now: Column) -> DataFrame:
-    """The cache after responses (url, status, html, fetched_at): errors aren't stored, a 304 renews the date of what is there, else the latest counts."""
-    stored = cache.select("url", "status", "html", "fetched_at").unionByName(responses.filter(F.col("status") < 400).filter(F.col("status") != 304).select("url", "status", "html", "fetched_at"))
-    latest = stored.groupBy("url").agg(F.max_by(F.struct("status", "html", "fetched_at"), "fetched_at").alias("r"))
-    renewed = responses.filter(F.col("status") == 304).select("url").distinct().withColumn("renewed", F.lit(True))
+    """The cache after responses (url, status, html, fetched_at and others of KEPT): errors aren't stored, the latest counts.
+
+    A 304 renews the date of what is there: to now, or its own where now is null.
+    """
+    kept = [c for c in KEPT if c in cache.columns and c in responses.columns]
+    stored = cache.select("url", *kept).unionByName(responses.filter(F.col("status") < 400).filter(F.col("status") != 304).select("url", *kept))
+    latest = stored.groupBy("url").agg(F.max_by(F.struct(*kept), "fetched_at").alias("r"))
+    renewed = responses.filter(F.col("status") == 304).groupBy("url").agg(F.max("fetched_at").alias("renewed"), F.lit(True).alias("is_renewed"))
     both = latest.join(renewed, "url", "left")
-    return both.select("url", "r.status", "r.html", F.when(F.col("renewed"), now).otherwise(F.col("r.fetched_at")).alias("fetched_at"))
+    date = F.when(F.col("is_renewed"), F.coalesce(now, F.greatest("renewed", F.col("r.fetched_at")))).otherwise(F.col("r.fetched_at"))
+    return both.select("url", *((date if c == "fetched_at" else F.col(f"r.{c}")).alias(c) for c in kept))
 
 
 def best_capture(captures: DataFrame, columns: list[str]) -> DataFrame:
@@ -100,6 +124,7 @@ def best_capture(captures: DataFrame, columns: list[str]) -> DataFrame:
     without a date is older than all others; ties go by the columns' order.
     """
     usable = F.coalesce((F.col("status") < 400) & (F.col("status") != 304), F.lit(False))
+    columns = [c for c in columns if c != "url"]
     body = usable & (F.coalesce(F.length("html"), F.lit(0)) > 0)
     best = F.max(F.struct(body.alias("_body"), usable.alias("_usable"), "fetched_at", *columns))
     return captures.groupBy("url").agg(best.alias("p")).select("url", *(F.col(f"p.{c}").alias(c) for c in columns))
@@ -108,7 +133,7 @@ def best_capture(captures: DataFrame, columns: list[str]) -> DataFrame:
 def meta_charset(content: Column) -> Column:
     """The charset a page's first 4096 bytes declare in a meta tag, in lower case, else utf-8. content: binary."""
     head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
-    return F.coalesce(F.nullif(F.lower(F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?\s*([\w-]+)", 1)), F.lit("")), F.lit("utf-8"))
+    return F.coalesce(F.nullif(F.lower(F.regexp_extract(head, META_CHARSET, 1)), F.lit("")), F.lit("utf-8"))
 
 
 def decoded(content: Column, charset: Column) -> Column:
@@ -191,6 +216,16 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     return robots.select("origin", F.col("status").cast("int").alias("status"), "text").mapInArrow(run, "origin string, allow boolean, pattern string, size int, rx string")
 
 
+def crawl_delays(robots: DataFrame, agent: str) -> DataFrame:
+    """origin, crawl_delay: the delay each robots.txt (origin, status, text) asks an agent for, the largest if there are several; null without one."""
+
+    @F.pandas_udf(T.DoubleType())
+    def delay(status: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([rules_for(None if pd.isna(t) else t, None if pd.isna(s) else int(s), agent)[1] for s, t in zip(status, text)], dtype="float64")
+
+    return robots.select("origin", delay(F.col("status").cast("int"), F.col("text")).alias("crawl_delay"))
+
+
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url, ...) with allowed: the longest pattern of its origin that matches decides, allow before deny; true without one.
 

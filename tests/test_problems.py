@@ -2,13 +2,16 @@
 
 import datetime as dt
 import json
+import shutil
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta.functions.chains import linked
 from sedimenta.operators import drift, history, increments, nesting, profile
 from sedimenta.plans import problems
+from sedimenta.sources.pointer import Conflict
 from tests.conftest import DATA
 
 LOADS = "load_id bigint, load_run_id bigint, file_name string, loaded_at timestamp_ntz, id bigint, site string, natural_key string, content_hash string, data string, source_url string, first_seen timestamp_ntz, last_seen timestamp_ntz, last_changed timestamp_ntz, run_id bigint, seen_run_id bigint, fetched_at timestamp_ntz, gone_at timestamp_ntz"
@@ -59,10 +62,17 @@ def test_history_sliced_and_touched(spark):
     for chain in by.values():
         chain.sort()
         assert all(x[1] is not None and x[1] <= y[0] for x, y in zip(chain, chain[1:])) and sum(c[2] for c in chain) <= 1
-    some = table.select("site", "natural_key").distinct().limit(3)
-    part = history.rebuild(table, some)
-    keys = {tuple(r) for r in some.collect()}
-    assert rows(part) == [r for r in rows(whole) if r[:2] in keys]
+
+
+def test_slices_are_even_whatever_the_moments(spark):
+    """One row of 1970, all others of one moment: ranges are of rows, not of time."""
+    rows = spark.range(20_000).select(F.lit("s").alias("k"), F.when(F.col("id") == 0, F.lit("1970-01-01")).otherwise(F.lit("2026-05-01")).cast("timestamp_ntz").alias("moment"), "id")
+    got = linked(rows, ["k"], "moment", ["id"], ["id"], hot_rows=1000).withColumn("task", F.spark_partition_id())
+    plan = got._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan or "rangepartitioning" in plan
+    assert got.filter("id > 0 AND _prev.id <> id - 1 OR id > 0 AND _prev IS NULL").count() == 0 and got.count() == 20_000
+    ranged = rows.repartitionByRange(80, "k", "moment", "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).collect()[0][0]
+    assert ranged < 1000
 
 
 def test_history_store_takes_late_rows(spark, tmp_path):
@@ -70,15 +80,33 @@ def test_history_store_takes_late_rows(spark, tmp_path):
     cut = table.agg(F.expr("percentile_approx(load_id, 0.7)")).collect()[0][0]
     early, late = table.filter(F.col("load_id") <= cut), table.filter(F.col("load_id") > cut)
     store = history.HistoryStore(spark, str(tmp_path / "h"), buckets=4)
-    assert store.read() is None
-    store.update(early, early)
-    store.update(table, late)
-    store.update(table, late.limit(0))
+    assert store.read().count() == 0
+    store.update(early)
+    store.update(late)
+    store.update(late.limit(0))
     cols = ["site", "natural_key", "valid_from", "valid_to", "is_current"]
     want = sorted(map(tuple, history.intervals(history.rebuild(table)).select(*cols).collect()), key=repr)
     assert sorted(map(tuple, store.read().select(*cols).collect()), key=repr) == want
-    store.update(table, late)
-    assert store.read().count() == len(want)
+    store.update(late)
+    assert store.read().count() == len(want) and history.HistoryStore(spark, str(tmp_path / "h"), buckets=9).buckets == 4
+    # only the buckets of touched records get new folders
+    before = store.pointer.read()["versions"]
+    one = late.limit(1)
+    store.update(one)
+    after = store.pointer.read()["versions"]
+    assert sum(before[b] != after[b] for b in before) == 1 and store.read().count() == len(want)
+
+
+def test_history_store_of_two_writers(spark, tmp_path):
+    table = loads(spark, [load(1, "a", loaded=5, changed=1)])
+    store = history.HistoryStore(spark, str(tmp_path / "h"), buckets=2)
+    store.update(table)
+    slow = history.HistoryStore(spark, str(tmp_path / "h"))
+    swap = slow.pointer.swap
+    slow.pointer.swap = lambda value, after: (store.update(loads(spark, [load(3, "c", loaded=5, changed=1)])), swap(value, after))
+    with pytest.raises(Conflict):
+        slow.update(loads(spark, [load(2, "b", loaded=5, changed=1)]))
+    assert {r["natural_key"] for r in store.read().collect()} == {"a", "c"}
 
 
 def brute_taken(load_rows, run_rows):
@@ -103,7 +131,7 @@ def test_increments_against_python(spark):
     table, runs = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("item_loads", "runs"))
     want = brute_taken([r.asDict() for r in table.collect()], [tuple(r) for r in runs.select("id", "site", "started_at", "finished_at", "status").collect()])
     for hot in (10**6, 2):
-        got = [tuple(r) for r in increments.taken(table, increments.commits(runs, hot_rows=hot)).collect()]
+        got = [tuple(r) for r in increments.owners(increments.states(table), increments.commits(runs, hot_rows=hot)).filter('run_id IS NOT NULL').select('run_id', 'site', 'natural_key').distinct().collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -112,26 +140,59 @@ def test_increments_awkward(spark):
     rows = [run(1, 10), run(2, 20, " OK "), run(3, 20), run(4, 30, "error"), run(5, None), run(6, 40, "degraded"), run(6, 45), run(None, 50), run(7, 60, None)]
     runs = spark.createDataFrame(rows, RUNS)
     table = loads(spark, [load(1, "a", loaded=5, changed=1), load(2, "a", loaded=6, changed=1), load(3, "b", loaded=10, changed=1), load(4, "c", loaded=11, fetched=1), load(5, "d", loaded=25, changed=1), load(6, "e", loaded=46, changed=1), load(7, "f", loaded=None), load(8, None, loaded=5), load(9, "a", loaded=31, changed=2), load(10, "a", loaded=32, changed=3)])
-    got = sorted(tuple(r)[::2] for r in increments.taken(table, increments.commits(runs)).collect())
+    got = sorted(tuple(r)[::2] for r in increments.replay(table, runs).collect())
     assert got == [(1, "a"), (1, "b"), (2, "c"), (6, "a"), (6, "d")]
-    none = increments.taken(table.limit(0), increments.commits(runs))
-    assert none.count() == 0 and increments.taken(table, increments.commits(runs.limit(0))).count() == 0
+    none = increments.replay(table.limit(0), runs)
+    assert none.count() == 0 and increments.replay(table, runs.limit(0)).count() == 0
 
 
-def test_incremental_reader_neither_skips_nor_repeats(spark, tmp_path, monkeypatch):
+def test_incremental_reader_neither_skips_nor_repeats(spark, tmp_path):
     table, runs = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("item_loads", "runs"))
-    want = sorted(tuple(r) for r in increments.taken(table, increments.commits(runs)).collect())
+    want = sorted(tuple(r) for r in increments.replay(table, runs).collect())
     reader = increments.IncrementalReader(spark, str(tmp_path / "r"))
+    assert reader.process(runs) == 0 and reader.read().count() == 0
     middle = runs.agg(F.expr("percentile_approx(cast(finished_at as timestamp), 0.5)").cast("timestamp_ntz")).collect()[0][0]
-    early = runs.filter(F.col("finished_at") <= F.lit(middle))
-    # what arrived after a run ended can't be there yet
-    assert reader.process(table.filter(F.col("loaded_at") <= F.lit(middle)), early) > 0
-    with monkeypatch.context() as m:
-        m.setattr(reader.pointer, "swap", lambda value: (_ for _ in ()).throw(OSError("lost")))
-        with pytest.raises(OSError):
-            reader.process(table, runs)
-    assert reader.process(table, runs) > 0 and reader.process(table, runs) == 0
-    assert sorted(tuple(r) for r in reader.read().select("run_id", "site", "natural_key").collect()) == want
+    parts = []
+    for i, rows in enumerate((table.filter(F.col("loaded_at") <= F.lit(middle)), table.filter(F.col("loaded_at") > F.lit(middle)))):
+        parts.append(str(tmp_path / f"p{i}"))
+        rows.write.parquet(parts[-1])
+    assert reader.land(parts[0]) == 1 and reader.land(parts[0]) == 1
+    assert reader.process(runs.filter(F.col("finished_at") <= F.lit(middle))) > 0
+    assert reader.land(parts[1]) == 2
+    swap = reader.pointer.swap
+    reader.pointer.swap = lambda value, after: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        reader.process(runs)
+    reader.pointer.swap = swap
+    # what was read before isn't read again: not even there any more
+    shutil.rmtree(parts[0])
+    assert reader.process(runs) > 0 and reader.process(runs) == 0
+    assert sorted(map(tuple, reader.read().select("run_id", "site", "natural_key").collect())) == want
+
+
+def test_incremental_reader_takes_late_rows(spark, tmp_path):
+    run = lambda i, end: (i, "s", at(0), at(end), "ok")
+    reader = increments.IncrementalReader(spark, str(tmp_path / "r"))
+    runs = spark.createDataFrame([run(1, 10), run(2, 20)], RUNS)
+
+    def step(name, rows, runs):
+        loads(spark, rows).write.parquet(str(tmp_path / name))
+        reader.land(str(tmp_path / name))
+        return reader.process(runs)
+
+    assert step("a", [load(1, "a", loaded=5, changed=1), load(2, "w", loaded=25, changed=1)], runs) == 1
+    # landed after the runs it belongs to; one of them is the same state again, one another state of a record that run has
+    late = [load(3, "b", loaded=5, changed=1), load(4, "a", loaded=4, changed=1), load(5, "a", loaded=6, changed=2), load(6, "c", loaded=15, changed=1)]
+    assert step("b", late, runs) == 2
+    assert reader.process(runs) == 0
+    assert reader.process(spark.createDataFrame([run(1, 10), run(2, 20), run(3, 30)], RUNS)) == 1
+    assert sorted((r["run_id"], r["natural_key"]) for r in reader.read().collect()) == [(1, "a"), (1, "b"), (2, "c"), (3, "w")]
+    # folders of a day are joined once there are many
+    fragments, increments.FRAGMENTS = increments.FRAGMENTS, 2
+    for i in range(2):
+        assert step(f"n{i}", [load(100 + i, f"n{i}", loaded=5, changed=1)], runs) == 1
+    increments.FRAGMENTS = fragments
+    assert max(map(len, reader.pointer.read()["records"].values())) <= 2 and reader.read().count() == 6
 
 
 def brute_nodes(body):

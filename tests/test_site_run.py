@@ -7,6 +7,7 @@ import pytest
 from sedimenta.plans.site_run import SiteRun
 from sedimenta.sources import export
 from sedimenta.sources.store import Store
+from sedimenta.sources.web import Captured
 from sedimenta.spec import SpecError, load_site, parse_site
 
 HTML = {
@@ -143,3 +144,68 @@ def test_latest_usable_capture_counts(spark):
     failed = rest + [(u, u, 503, "z", at(1)), (u, u, 404, "a", at(2))]
     r = SiteRun(spark, parse_site(HTML), spark.createDataFrame(failed, "url string, final_url string, status int, html string, fetched_at timestamp_ntz"), now=at(9)).run()
     assert (r.items_new, r.errors) == (1, 1)
+
+
+def test_two_sites_share_no_ids_and_no_runs(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    for name in ("citas", "otras"):
+        assert SiteRun(spark, parse_site(HTML | {"name": name}), frame(spark, site_pages()), store, now=at(1)).run().items_new == 3
+    ids = sorted(i["id"] for i in store.items().collect())
+    assert ids == [1, 2, 3, 4, 5, 6] and sorted(r["id"] for r in store.log("runs").collect()) == [1, 2]
+    assert sorted(map(tuple, store.counts().collect())) == [("citas", 3, 3), ("otras", 3, 3)]
+
+
+def test_two_runs_of_a_site_at_once(spark, tmp_path):
+    store, site = Store(spark, str(tmp_path / "s")), parse_site(HTML)
+    slow = SiteRun(spark, site, frame(spark, site_pages()), store, now=at(2))
+    fetch = slow.source.fetch
+
+    def fetch_late(*a, **k):
+        slow.source.fetch = fetch
+        assert [(r["id"], r["status"]) for r in store.log("runs").collect()] == [(1, "running")]
+        assert SiteRun(spark, site, frame(spark, site_pages()), store, now=at(3)).run().items_new == 3
+        return fetch(*a, **k)
+
+    slow.source.fetch = fetch_late
+    r = slow.run()
+    assert r.status == "error" and store.count_items("citas") == 3
+    assert sorted((r["id"], r["status"]) for r in store.log("runs").collect()) == [(1, "error"), (2, "ok")]
+    assert "Conflict" in store.log("errors").filter("run_id = 1").collect()[0]["message"]
+
+
+def test_runs_that_fail_or_are_stopped(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    for fault in (OSError("disk"), KeyboardInterrupt()):
+        run = SiteRun(spark, parse_site(HTML), frame(spark, site_pages()), store, now=at(1))
+
+        def fail(*a, fault=fault, **k):
+            raise fault
+
+        run.source.fetch = fail
+        if isinstance(fault, OSError):
+            assert run.run().status == "error"
+        else:
+            with pytest.raises(KeyboardInterrupt):
+                run.run()
+    SiteRun(spark, parse_site(HTML), frame(spark, site_pages()), store, dry_run=True, now=at(2)).run()
+    assert [(r["id"], r["status"], r["errors"]) for r in store.log("runs").orderBy("id").collect()] == [(1, "error", 1), (2, "interrupted", 0), (3, "dry-run", 1)]
+    assert store.log("errors").collect()[0]["message"] == "OSError: disk" and store.items().count() == 0
+
+
+def test_breaker_counts_details(spark, tmp_path):
+    """Lists answer, details fail: three in a row end the run at the second item of the second page; robots denials count for nothing."""
+    u = "https://c.example"
+    p1 = cita("Uno", "A", "/a/1") + cita("Dos", "B", "/a/2") + cita("Tres", "C") + "<li class=sig><a href='/p/2'>&gt;</a></li>"
+    p2 = "".join(cita(f"N{i}", "D", f"/a/{i}") for i in range(3, 9)) + "<li class=sig><a href='/p/3'>&gt;</a></li>"
+    p3 = cita("Nunca", "E", "/a/1")
+    rows = [(f"{u}/", None, 200, p1), (f"{u}/p/2", None, 200, p2), (f"{u}/p/3", None, 200, p3), (f"{u}/a/1", None, 200, "<p>x"), (f"{u}/a/2", None, 500, "")]
+    site = parse_site(HTML | {"politeness": {"max_consecutive_errors": 3}})
+    store = Store(spark, str(tmp_path / "s"))
+    r = SiteRun(spark, site, frame(spark, rows), store, now=at(1)).run()
+    # seen: all records of the pages fetched; those whose detail wasn't fetched any more vanish without an error
+    assert (r.status, r.items_seen, r.items_new, r.errors, r.pages) == ("aborted", 9, 2, 4, 4) and r.items_gone == 0
+    robots = spark.createDataFrame([(u, 200, "User-agent: *\nDisallow: /a/\nAllow: /a/1")], "origin string, status int, text string")
+    r = SiteRun(spark, site, Captured(frame(spark, rows), robots), now=at(1)).run()
+    assert (r.status, r.items_seen, r.items_new, r.errors) == ("ok", 10, 3, 7)
+    ignoring = parse_site(HTML | {"politeness": {"max_consecutive_errors": 0, "respect_robots": False}})
+    assert SiteRun(spark, ignoring, Captured(frame(spark, rows), robots), now=at(1)).run().status == "ok"

@@ -11,10 +11,11 @@ from sedimenta.functions.cleaners import moment
 from sedimenta.functions.urls import any_join, join_rooted, path_and_query
 from sedimenta.operators import extract, lifecycle, report
 from sedimenta.plans import reference_queries
-from sedimenta.sources import fetch, pages
-from sedimenta.sources.pointer import Pointer
+from sedimenta.plans.site_run import SiteRun
+from sedimenta.sources import pages, web
+from sedimenta.sources.pointer import Conflict, Pointer
 from sedimenta.sources.store import Store
-from sedimenta.spec import SpecError, java
+from sedimenta.spec import SpecError, java, parse_site
 
 ROBOTS = "# rules\nUser-agent: a\nUser-agent: B/2\nDisallow: /x # no\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /\nAllow: /ok\nAllow: /o%20k*$\nDisallow:\nCrawl-delay: x\nnonsense\nUser-agent: a\nAllow: /x/y\nCrawl-delay: 5\n"
 
@@ -74,7 +75,7 @@ def test_breaker_and_waits(spark):
     assert [r["failures"] for r in got] == [1, 1, 2, 0, 1, 2, 2, 3, 0] and [r["aborted"] for r in got] == [False] * 7 + [True] * 2
     assert not any(r["aborted"] for r in report.circuit_breaker(df, ["g"], ["i"], "o", 0).collect())
     waits = spark.createDataFrame([(1, None), (9, "x"), (2, "500"), (3, "0")], "a int, r string").select(report.retry_wait(F.col("a"), F.col("r"))).collect()
-    assert [r[0] for r in waits] == [2, 30, 120, 8] and [fetch.wait_after(1, None), fetch.wait_after(9, "x"), fetch.wait_after(2, "500"), fetch.wait_after(3, "0")] == [2, 30, 120, 8]
+    assert [r[0] for r in waits] == [2, 30, 120, 8]
     assert report.may_mark_gone(True, True, False, False, "ok", 1, 5) and not report.may_mark_gone(True, True, False, False, "ok", 2, 5)
 
 
@@ -92,11 +93,25 @@ def test_keys_and_regexes(spark):
 
 def test_pointer(spark, tmp_path):
     p = Pointer(spark, str(tmp_path / "P"))
-    assert p.read() is None
-    for value in ({"a": 1}, {"ñ": [1, 2]}):
-        p.swap(value)
-        assert p.read() == value
-    assert [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == ["P"]
+    assert p.read() is None and p.current() == (0, None)
+    for i, value in enumerate(({"a": 1}, {"ñ": [1, 2]})):
+        p.swap(value, i)
+        assert p.current() == (i + 1, value)
+    with pytest.raises(Conflict):
+        p.swap({"late": 1}, 1)
+    assert p.read() == {"ñ": [1, 2]}
+    calls = []
+
+    def add(value):
+        calls.append(value)
+        if len(calls) == 1:
+            p.swap({"other": 1}, 2)
+        return value | {"mine": 1}
+
+    assert p.change(add) == {"other": 1, "mine": 1} == p.read() and len(calls) == 2
+    for i in range(4, 40):
+        p.swap({"n": i}, i)
+    assert not [f for f in tmp_path.iterdir() if f.name.endswith("tmp")] and len([f for f in tmp_path.iterdir() if not f.name.startswith(".")]) < 30
 
 
 class Site(BaseHTTPRequestHandler):
@@ -109,8 +124,12 @@ class Site(BaseHTTPRequestHandler):
             body = b"User-agent: *\nDisallow: /private"
         elif self.path == "/flaky" and n == 1:
             status, headers = 503, {"Retry-After": "0.01"}
-        elif self.path == "/gone":
+        elif self.path == "/busy" and n == 1:
+            status, headers = 429, {"Retry-After": "0.01"}
+        elif self.path.startswith("/gone"):
             status = 404
+        elif self.path == "/list":
+            status, body = (304, b"") if self.headers.get("If-None-Match") == "v1" else (200, b"<li><a href=/same>A</a><li><a href=/latin>B</a><li><a href=/private/z>C</a>")
         elif self.path == "/moved":
             status, headers = 302, {"Location": "/private/x"}
         elif self.path == "/same" and self.headers.get("If-None-Match") == "v1":
@@ -128,18 +147,64 @@ class Site(BaseHTTPRequestHandler):
         pass
 
 
-def test_http_source(spark):
+@pytest.fixture
+def base():
+    Site.hits = {}
     server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    base = f"http://127.0.0.1:{server.server_port}"
-    paths = ["/a", "/private/p", "/flaky", "/gone", "/moved", "/same", "/latin", "/a"]
-    spark.dataSource.register(fetch.HttpSource)
-    options = {"urls_json": json.dumps([base + p for p in paths] + ["http://127.0.0.1:1/x"]), "delay_seconds": "0", "max_retries": "2", "timeout_seconds": "5", "validators_json": json.dumps({f"{base}/same": {"etag": "v1"}})}
-    got = {r["url"].removeprefix(base): r for r in spark.read.format("http_pages").options(**options).load().collect()}
+    yield f"http://127.0.0.1:{server.server_port}"
     server.shutdown()
-    assert {p: got[p]["status"] for p in paths} == {"/a": 200, "/private/p": None, "/flaky": 200, "/gone": 404, "/moved": None, "/same": 304, "/latin": 200}
-    assert got["/a"]["html"] == "<p>/añ</p>" and got["/latin"]["html"] == "<p>ñ</p>" and got["/same"]["from_cache"] and got["/private/p"]["error"].startswith("robots")
-    assert len(got) == 8 and got["http://127.0.0.1:1/x"]["status"] is None
+
+
+def web_site(base, **politeness):
+    return parse_site({"name": "w", "base_url": base, "start_urls": ["/list"], "politeness": {"delay_seconds": 0, "max_retries": 2, "timeout_seconds": 5} | politeness,
+        "list": {"item_selector": "li", "detail_url": "a::attr(href)", "fields": {"t": {"selector": "a", "required": True}}}, "detail": {"fields": {"d": {"selector": "p"}}}, "key": ["t"]})
+
+
+def test_requests(spark, base, tmp_path):
+    paths = ["/a", "/private/p", "/flaky", "/gone", "/moved", "/latin", "/busy"]
+    urls = [base + p for p in paths] + ["http://127.0.0.1:1/x", "nonsense", base + "/a"]
+    asked = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, place int")
+    got = {r["url"].removeprefix(base): r for r in web.Web(spark, web_site(base), str(tmp_path)).fetch(asked, web_site(base)).collect()}
+    assert {p: got[p]["status"] for p in paths} == {"/a": 200, "/private/p": None, "/flaky": 200, "/gone": 404, "/moved": None, "/latin": 200, "/busy": 200}
+    assert got["/a"]["html"] == "<p>/añ</p>" and got["/latin"]["html"] == "<p>ñ</p>" and all(got[p]["error"].startswith("robots") for p in ("/private/p", "/moved"))
+    assert got["http://127.0.0.1:1/x"]["status"] is None and got["nonsense"]["error"] and len(got) == 9
+    assert Site.hits["/robots.txt"] == 1 and Site.hits["/flaky"] == 2 and Site.hits["/busy"] == 2 and "/private/p" not in Site.hits
+    # a host that fails isn't asked for ever: after two failures in a row the rest of it stays unasked
+    Site.hits = {}
+    many = spark.createDataFrame([(f"{base}/gone{i}", i) for i in range(20)], "url string, place int")
+    one = web_site(base, max_consecutive_errors=2, max_concurrency=1)
+    errors = [r["error"] for r in web.Web(spark, one, str(tmp_path)).fetch(many, one).collect()]
+    assert sum(e is None for e in errors) == 2 and sum(bool(e) and e.startswith("stopped") for e in errors) == 18 and len(Site.hits) == 3
+    assert web.Web(spark, one, str(tmp_path)).fetch(many.limit(0), one).count() == 0
+
+
+def test_run_over_the_web(spark, base, tmp_path):
+    site, store, root = web_site(base), Store(spark, str(tmp_path / "s")), str(tmp_path / "c")
+    dry = lambda mode=None, s=site: SiteRun(spark, s, web.Web(spark, s, root, mode), dry_run=True).run()
+    # offline with nothing in the cache: no request at all
+    r = dry("offline")
+    assert (r.status, r.pages, r.errors) == ("ok", 0, 1) and not Site.hits
+    first, again = dry("on"), dry("on")
+    assert (first.pages, first.pages_cached, first.items_new, first.errors) == (3, 0, 2, 1) and (again.pages, again.pages_cached, again.items_new) == (3, 3, 2)
+    hits = dict(Site.hits)
+    r = dry("offline")
+    assert (r.pages, r.pages_cached, r.items_new, r.errors) == (3, 3, 2, 1) and Site.hits == hits
+    # all stale: asked for with validators, and not changed
+    stale = site.model_copy(update={"cache": site.cache.model_copy(update={"ttl_hours": 0.0})})
+    r = dry("on", stale)
+    assert (r.pages, r.pages_cached, r.items_new) == (3, 2, 2) and Site.hits["/same"] == hits["/same"] + 1  # /latin knows no validators
+    # a real run: lists are revalidated, details taken as they are; the forbidden detail is an error that counts for nothing
+    run = lambda s=site, **k: SiteRun(spark, s, web.Web(spark, s, root, "on"), store, **k).run()
+    hits = dict(Site.hits)
+    r = run()
+    assert (r.status, r.pages, r.pages_cached, r.items_seen, r.items_new, r.errors) == ("ok", 3, 3, 3, 2, 1) and Site.hits["/same"] == hits["/same"] and Site.hits["/list"] == hits["/list"] + 1
+    assert [e["kind"] for e in store.log("errors").collect()] == ["robots"]
+    off = SiteRun(spark, site, web.Web(spark, site, root), store).run()
+    assert (off.pages_cached, off.items_unchanged) == (0, 2)
+    closed = site.model_copy(update={"start_urls": ["/private/list"]})
+    r = run(closed)
+    assert (r.status, r.pages, r.errors, r.items_gone) == ("ok", 0, 1, 0)
 
 
 def test_commands(spark, tmp_path, capsys):
