@@ -162,19 +162,21 @@ def conform(item_loads: DataFrame, runs: DataFrame, prints: DataFrame, found: Da
     ruled = began.join(names, "site").filter(F.col("started_at") < F.col("since"))
     ruled = ruled.groupBy("site", "load_run_id", "field").agg(F.min_by("name", "since").alias("name"))
     rules = ruled.groupBy("site", "load_run_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("rules"))
-    rows = item_loads.select("load_id", "site", "natural_key", "load_run_id", "file_name", F.from_json("data", "map<string,string>").alias("had"), *([] if rules_of is None else [F.try_variant_get(F.try_parse_json("data"), "$", "map<string,variant>").alias("values")])).join(rules, ["site", "load_run_id"], "left")
-    entry = F.map_entries(F.coalesce("had", F.create_map().cast("map<string,string>")))
+    rows = item_loads.select("load_id", "site", "natural_key", "load_run_id", "file_name", F.try_variant_get(F.try_parse_json("data"), "$", "map<string,variant>").alias("values")).join(rules, ["site", "load_run_id"], "left")
+    entry = F.map_entries(F.coalesce("values", F.create_map().cast("map<string,variant>")))
+    entry = F.transform(entry, lambda e: F.struct(e["key"], e["value"], F.coalesce(kind_of(e["value"]), F.lit("null")).alias("kind")))
+    text = lambda e: F.when(e["kind"] == "string", F.try_variant_get(e["value"], "$", "string")).when(e["kind"] != "null", F.to_json(e["value"]))
+    entry = F.transform(entry, lambda e: F.struct(e["key"], e["value"], e["kind"], F.when(e["value"].isNotNull(), text(e)).alias("text")))
     to = lambda k: F.coalesce(F.try_element_at("rules", k), k)
-    rank = lambda e: e["value"].isNull().cast("int") * 2 + (to(e["key"]) != e["key"]).cast("int")
+    rank = lambda e: e["text"].isNull().cast("int") * 2 + (to(e["key"]) != e["key"]).cast("int")
     place = lambda e: (to(e["key"]).alias("key"), rank(e).alias("rank"), e["key"].alias("was"))
     if rules_of is None:
-        named = F.transform(entry, lambda e: F.struct(*place(e), e["value"].alias("value")))
+        named = F.transform(entry, lambda e: F.struct(*place(e), e["text"].alias("value")))
     else:
         per_site = rules_of.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("field", "type"))).alias("types"), F.map_from_entries(F.collect_list(F.struct("field", "default"))).alias("defaults"))
         rows = rows.join(cut(per_site), "site", "left")  # fields in half of a load's rows: few
-        typed = F.transform(entry, lambda e: F.struct(*place(e), e["value"].alias("text"), F.try_element_at("values", e["key"]).alias("value"), F.try_element_at("types", to(e["key"])).alias("type")))
-        typed = F.transform(typed, lambda e: F.struct(e.alias("e"), F.when(e["value"].isNotNull(), kind_of(e["value"])).alias("kind")))
-        named = F.transform(typed, lambda t: F.struct(*(t["e"][c].alias(c) for c in ("key", "rank", "was")), cast_text(t["e"]["value"], t["e"]["text"], t["kind"], t["e"]["type"]).alias("value"), t["e"]["text"].alias("text")))
+        typed = lambda e: cast_text(e["value"], e["text"], e["kind"], F.try_element_at("types", to(e["key"])))
+        named = F.transform(entry, lambda e: F.struct(*place(e), typed(e).alias("value"), e["text"].alias("text")))
     rows = rows.withColumn("best", F.sort_array(named))
     keys = F.array_distinct(F.transform("best", lambda e: e["key"]))
     rows = rows.withColumn("first", F.transform(keys, lambda k: F.element_at(F.filter("best", lambda e: e["key"] == k), 1)))

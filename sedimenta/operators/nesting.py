@@ -3,16 +3,17 @@
 A batch of bodies is one array of bytes. Bitmaps mark quotes that no backslash escapes, and from their parity
 what lies inside strings; brackets, colons and commas outside strings give the structure. Depth is a prefix
 sum over the brackets; sorting them by (depth, place) pairs each opening bracket with its end, so spans of
-nodes come out without parsing values. Only names of nodes are ever decoded.
+nodes come out without parsing values. The same arrays tell whether a body is JSON at all: each token must be one
+that its neighbour and its enclosing bracket allow. Only names of nodes, and what else is asked for, are decoded.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 # The levels of a listing and the member that names a node of each.
 LEVELS = {"diario": "numero", "seccion": "codigo", "departamento": "codigo", "epigrafe": "nombre", "item": "identificador", "anexo": "ref"}
 
-NODES = "node_id string, parent_id string, node_level string, name string, depth int, ordinal int, node_path string, node_json string"
+NODES = "node_id string, parent_id string, node_level string, name string, depth int, ordinal int, node_path string, node_json string, fields map<string,string>"
 #: Bytes of text that are indexed at once; a longer body is indexed by itself.
 BLOCK = 8_000_000
 
@@ -31,96 +32,145 @@ _STRUCT = np.zeros(256, bool)
 _STRUCT[[0x5B, 0x5D, 0x7B, 0x7D, 0x3A, 0x2C]] = True
 
 
-def valid(text: str) -> bool:
-    """Whether text is one JSON value; deeper nesting than the parser can hold is checked token by token."""
-    try:
-        json.loads(text, parse_constant=_refuse)
-        return True
-    except RecursionError:
-        return _deep(text)
-    except ValueError:
-        return False
-
-
-def _refuse(name: str):
-    raise ValueError(name)
-
-
-def _deep(text: str) -> bool:
-    """valid() with a stack of its own."""
-    import re
-
-    scalar = json.JSONDecoder(parse_constant=_refuse)
-    space = re.compile(r"[ \t\n\r]*")
-    stack: list[str] = []
-    i, want = space.match(text, 0).end(), "value"
-    try:
-        while i < len(text):
-            c = text[i]
-            if want in ("value", "first") and not (want == "first" and c == "]"):
-                if c == "{":
-                    stack.append("}")
-                    i, want = space.match(text, i + 1).end(), "key0"
-                    continue
-                if c == "[":
-                    stack.append("]")
-                    i, want = space.match(text, i + 1).end(), "first"
-                    continue
-                _, i = scalar.raw_decode(text, i)
-            elif want in ("key", "key0") and c == '"':
-                _, i = scalar.raw_decode(text, i)
-                i = space.match(text, i).end()
-                if text[i] != ":":
-                    return False
-                i, want = space.match(text, i + 1).end(), "value"
-                continue
-            elif want in ("first", "key0", "more") and stack and c == stack[-1]:
-                stack.pop()
-                i += 1
-            elif want == "more" and stack and c == ",":
-                want = "key" if stack[-1] == "}" else "value"
-                i = space.match(text, i + 1).end()
-                continue
-            else:
-                return False
-            want = "more" if stack else "end"
-            i = space.match(text, i).end()
-            if want == "end":
-                return i == len(text)
-    except (ValueError, IndexError):
-        return False
-    return False
-
-
-def _bitmaps(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of quotes that delimit strings and of structural bytes outside strings. Bodies begin at starts, balanced in quotes."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
+_ESCAPED = np.zeros(256, bool)
+_ESCAPED[list(b'"\\/bfnrtu')] = True
+_HEX = np.zeros(256, bool)
+_HEX[list(b"0123456789abcdefABCDEF")] = True
+SCALAR = re.compile(rb"-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|null")
+LONE = re.compile("[\ud800-\udfff]")
+#: Kinds of tokens beside structural bytes: a string, another scalar, the end of a body.
+_STRING, _VALUE, _END = 0x22, 0x30, 0x0A
+
+
+def _escapes(raw: np.ndarray) -> np.ndarray:
+    """Places of backslashes that begin an escape: the first, third ... of each run."""
     back = np.flatnonzero(raw == 0x5C)
-    quotes = np.flatnonzero(raw == 0x22)
-    if len(back):
-        # length of the run of backslashes that ends just before each quote
-        first = np.flatnonzero(np.diff(back, prepend=-2) != 1)
-        run_start = back[first]
-        run_end = back[np.append(first[1:], len(back)) - 1]
-        k = np.searchsorted(run_end, quotes - 1)
-        hit = (k < len(run_end)) & (run_end[np.minimum(k, len(run_end) - 1)] == quotes - 1)
-        k = np.minimum(k, len(run_end) - 1)
-        odd = hit & ((run_end[k] - run_start[k] + 1) % 2 == 1)
-        quotes = quotes[~odd]
-    parity = np.zeros(len(raw) + 1, np.int8)
+    first = np.diff(back, prepend=-2) != 1
+    run = np.maximum.accumulate(np.where(first, np.arange(len(back)), 0))
+    return back[(np.arange(len(back)) - run) % 2 == 0]
+
+
+def _quotes(raw: np.ndarray) -> np.ndarray:
+    """Places of quotes that no escape covers."""
+    quote = raw == 0x22
+    escaped = _escapes(raw) + 1
+    quote[escaped[escaped < len(raw)]] = False
+    return np.flatnonzero(quote)
+
+
+def _per_body(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(starts, at, side="right") - 1
+
+
+def valid(bodies: list[bytes]) -> np.ndarray:
+    """Which bodies are one JSON value each. A body with odd quotes or brackets would shift what follows, so such are left out first."""
+    good = np.array([b"\x00" not in b for b in bodies], bool)
+    for test in (_even_quotes, _balanced, _grammar):
+        at = np.flatnonzero(good)
+        if not len(at):
+            break
+        joined, starts = _join([bodies[i] for i in at])
+        good[at[test(joined, np.frombuffer(joined, np.uint8), starts)]] = False
+    return good
+
+
+def _join(bodies: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """Bodies, each ended by a line feed, and where each starts."""
+    lengths = np.fromiter((len(b) + 1 for b in bodies), np.int64, len(bodies))
+    return b"\n".join(bodies) + b"\n", np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+
+def _even_quotes(joined: bytes, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bodies with an odd number of quotes, or that end in the midst of an escape."""
+    ends = np.append(starts[1:], len(raw)) - 1
+    cut_off = np.isin(ends - 1, _escapes(raw)) & (ends > starts)
+    counts = np.bincount(_per_body(_quotes(raw), starts), minlength=len(starts))
+    return np.flatnonzero((counts % 2 == 1) | cut_off)
+
+
+def _balanced(joined: bytes, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bodies whose brackets outside strings don't pair: more closed than opened somewhere, or in all."""
+    _, struct = _bitmaps(raw)
+    step = _OPEN[raw[struct]].astype(np.int64) - _CLOSE[raw[struct]]
+    total = np.concatenate([[0], np.cumsum(step)])
+    edge = np.searchsorted(struct, np.append(starts, len(raw)))
+    bad = total[edge[1:]] != total[edge[:-1]]
+    body = _per_body(struct, starts)
+    low = np.full(len(starts), 0)
+    np.minimum.at(low, body, total[1:] - total[edge[:-1]][body])
+    return np.flatnonzero(bad | (low < 0))
+
+
+def _grammar(joined: bytes, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bodies in which a token stands where it mustn't, or is none. Quotes and brackets are even in all."""
+    quotes, struct = _bitmaps(raw)
+    wrong = []
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[quotes[0::2]], inside[quotes[1::2]] = 1, -1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)  # from the opening quote up to before the closing one
+    wrong.append(np.flatnonzero(inside & (raw < 0x20)))
+    escapes = _escapes(raw)
+    escapes = escapes[inside[escapes]]
+    wrong.append(escapes[~_ESCAPED[raw[escapes + 1]]])
+    units = escapes[raw[escapes + 1] == 0x75]
+    hexes = np.minimum(units[:, None] + np.arange(2, 6), len(raw) - 1)
+    wrong.append(units[~_HEX[raw[hexes]].all(axis=1)])
+    # scalars: runs of what is neither string, bracket, mark nor space
+    plain = ~inside & ~_STRUCT[raw] & ~_SPACE[raw] & (raw != 0x22)
+    edges = np.diff(np.concatenate([[0], plain.view(np.int8), [0]]))
+    begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    spans = [joined[i:j] for i, j in zip(begin.tolist(), end.tolist())]
+    fits = {t: SCALAR.fullmatch(t) is not None for t in set(spans)}
+    wrong.append(begin[~np.fromiter((fits[t] for t in spans), bool, len(spans))])
+    # all tokens in order, with the end of each body as one
+    ends = np.append(starts[1:], len(raw)) - 1
+    place = np.concatenate([struct, quotes[0::2], begin, ends])
+    kind = np.concatenate([raw[struct], np.full(len(quotes) // 2, _STRING, np.uint8), np.full(len(begin), _VALUE, np.uint8), np.full(len(ends), _END, np.uint8)])
+    order = np.argsort(place, kind="stable")
+    place, kind = place[order], kind[order]
+    opens, closes = _OPEN[kind], _CLOSE[kind]
+    depth = np.cumsum(opens.astype(np.int64) - closes)  # after each token
+    # what encloses each token: the last opening bracket one level up
+    level = np.where(opens, depth - 1, depth) + np.where(closes, 1, 0)
+    around = np.full(len(kind), _END, np.uint8)
+    openings = np.flatnonzero(opens)
+    span = len(kind) + 1
+    keyed = np.sort(depth[openings] * span + openings)
+    k = np.searchsorted(keyed, level * span + np.arange(len(kind))) - 1
+    hit = (level > 0) & (k >= 0)
+    hit[hit] = keyed[k[hit]] // span == level[hit]
+    around[hit] = kind[keyed[k[hit]] % span]
+    before = np.concatenate([[_END], kind[:-1]])
+    start = np.isin(kind, [_STRING, _VALUE, 0x7B, 0x5B])
+    done = np.isin(before, [_STRING, _VALUE, 0x7D, 0x5D])
+    in_object = around == 0x7B
+    key = (kind == _STRING) & in_object & np.isin(before, [0x7B, 0x2C])
+    after_key = np.concatenate([[False], key[:-1]])
+    allowed = np.select(
+        [kind == 0x3A, kind == 0x2C, kind == 0x7D, kind == 0x5D, kind == _END],
+        [after_key, done & ~after_key & (around != _END), in_object & ((before == 0x7B) | done & ~after_key), (around == 0x5B) & ((before == 0x5B) | done), done],
+        key | (start & np.where(in_object, before == 0x3A, np.where(around == 0x5B, np.isin(before, [0x5B, 0x2C]), before == _END))),
+    )
+    wrong.append(place[~allowed])
+    return np.unique(_per_body(np.concatenate(wrong), starts))
+
+
+def _bitmaps(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of quotes that delimit strings and of structural bytes outside strings."""
+    quotes = _quotes(raw)
+    parity = np.zeros(len(raw), np.int8)
     parity[quotes] = 1
-    inside = np.cumsum(parity[:-1], dtype=np.int64) & 1
-    struct = np.flatnonzero(_STRUCT[raw] & (inside == 0))
-    return quotes, struct
+    inside = np.cumsum(parity, dtype=np.int64) & 1
+    return quotes, np.flatnonzero(_STRUCT[raw] & (inside == 0))
 
 
-def index(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], list[str]]:
-    """Nodes of valid bodies, in order of place: body, start, end (in bytes of their join), parent's place in this list or -1, level, name."""
-    coded = [b.encode("utf-8", "surrogatepass") for b in bodies]
-    lengths = np.fromiter((len(c) + 1 for c in coded), np.int64, len(coded))
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    joined = b"\n".join(coded) + b"\n"
+def index(bodies: list[bytes], levels: dict[str, str | None], with_fields: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], list[str], list[dict[str, str | None]]]:
+    """Nodes of valid bodies, in order of place: body, start, end (in bytes of the body), parent's place in this list or -1, level, name, and with_fields their own members."""
+    joined, starts = _join(bodies)
     raw = np.frombuffer(joined, np.uint8)
-    quotes, struct = _bitmaps(raw, starts)
+    quotes, struct = _bitmaps(raw)
     kind = raw[struct]
     step = _OPEN[kind].astype(np.int64) - _CLOSE[kind]
     depth = np.cumsum(step) + _CLOSE[kind]  # of a bracket: the depth of its inside; of others: that of where they stand
@@ -137,11 +187,11 @@ def index(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     def key(a: int, b: int) -> str:
         k = joined[a:b]
         if k not in cache:
-            cache[k] = json.loads(b'"' + k + b'"') if b"\\" in k else k.decode("utf-8", "surrogatepass")
+            cache[k] = LONE.sub("\ufffd", json.loads(b'"' + k + b'"')) if b"\\" in k else k.decode("utf-8", "replace")
         return cache[k]
 
     keys = [key(a, b) for a, b in zip(key_from.tolist(), key_to.tolist())]
-    wanted = np.fromiter((k in LEVELS for k in keys), bool, len(keys))
+    wanted = np.fromiter((k in levels for k in keys), bool, len(keys))
     # the bracket that a key's value opens, if it opens one: the structural byte right after its colon, nothing but space between
     after = np.minimum(colons + 1, len(struct) - 1)
     opens = _OPEN[kind[after]] & (after > colons)
@@ -159,27 +209,44 @@ def index(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         under = (owner >= 0) & (of_array[owner] >= 0) & (kind[braces - 1] != 0x3A)
         level_at[braces[under]] = of_array[owner[under]]
     place = np.flatnonzero(level_at >= 0)
-    place = _last_of_repeated(place, level_at, keys, colons, kind, depth, close_of)
+    owners = _enclosing(kind, depth, close_of, colons)
+    place = _last_of_repeated(place, level_at, keys, colons, kind, owners, close_of)
     colon_no = np.full(len(struct), -1)
     colon_no[colons] = np.arange(len(colons))
-    levels = [keys[i] for i in colon_no[level_at[place]].tolist()]
+    level_of = [keys[i] for i in colon_no[level_at[place]].tolist()]
     start, end = struct[place], struct[close_of[place]] + 1
     # the colons of a node's own members, and among them its name
     names = [""] * len(place)
     by_place = {p: n for n, p in enumerate(place.tolist())}
-    naming = {*LEVELS.values()}
+    naming = {*levels.values()}
+
+    def value(c: int) -> bytes:
+        nxt = colons[c] + 1
+        return joined[struct[colons[c]] + 1 : struct[close_of[nxt]] + 1 if opens[c] else struct[nxt]]
+
     candidates = np.flatnonzero(np.fromiter((k in naming for k in keys), bool, len(keys)))
-    owners = _enclosing(kind, depth, close_of, colons[candidates])
-    for c, o in zip(candidates.tolist(), owners.tolist()):
+    for c, o in zip(candidates.tolist(), owners[candidates].tolist()):
         n = by_place.get(o)
-        if n is not None and LEVELS[levels[n]] == keys[c]:
-            a = struct[colons[c]] + 1
-            nxt = colons[c] + 1
-            b = struct[close_of[nxt]] + 1 if opens[c] else struct[nxt]
-            names[n] = _text(joined[a:b])  # of repeated members the last counts, as they come in order
+        if n is not None and levels[level_of[n]] == keys[c]:
+            names[n] = _text(value(c)) or ""  # of repeated members the last counts, as they come in order
+    fields: list[dict[str, str | None]] = [{} for _ in level_of] if with_fields else []
+    if with_fields and len(place):
+        # of each object: the node it is or belongs to without an array between, and the path from there
+        home: dict[int, tuple[int, str]] = {p: (n, "") for p, n in by_place.items()}
+        before = np.maximum(np.arange(len(struct)) - 1, 0)
+        is_object, is_array = opens & (kind[after] == 0x7B), opens & (kind[after] == 0x5B)
+        for c, o in enumerate(owners.tolist()):
+            at = home.get(o)
+            if at is None or (wanted[c] and opens[c]):
+                continue
+            path = at[1] + keys[c]
+            if is_object[c]:
+                home.setdefault(int(colons[c]) + 1, (at[0], f"{path}."))
+            else:
+                fields[at[0]][path] = value(c).strip().decode("utf-8", "replace") if is_array[c] else _text(value(c))
     parent = _parents(start, end)
-    body = np.searchsorted(starts, start, side="right") - 1
-    return body, start - starts[body], end - starts[body], parent, levels, names
+    body = _per_body(start, starts)
+    return body, start - starts[body], end - starts[body], parent, level_of, names, fields
 
 
 def _enclosing(kind: np.ndarray, depth: np.ndarray, close_of: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -194,10 +261,9 @@ def _enclosing(kind: np.ndarray, depth: np.ndarray, close_of: np.ndarray, at: np
     return np.where(good, found % span, -1)
 
 
-def _last_of_repeated(place, level_at, keys, colons, kind, depth, close_of):
+def _last_of_repeated(place, level_at, keys, colons, kind, owner, close_of):
     """place without nodes that lie under a member whose key the same object repeats later: a JSON object keeps the last."""
     used = np.unique(level_at[place])
-    owner = _enclosing(kind, depth, close_of, colons)
     names = {}
     code = np.fromiter((names.setdefault(k, len(names)) for k in keys), np.int64, len(keys))
     pair = owner * (len(names) + 1) + code
@@ -213,14 +279,14 @@ def _last_of_repeated(place, level_at, keys, colons, kind, depth, close_of):
     return place[np.cumsum(cover)[place] == 0]
 
 
-def _text(raw: bytes) -> str:
-    """A name's value as text: strings decoded, null as '', anything else as its JSON text."""
-    value = json.loads(raw)
-    if value is None:
-        return ""
-    if isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False) if isinstance(value, (dict, list, bool)) else str(value)
+def _text(raw: bytes) -> str | None:
+    """A member's value as text: strings decoded, halves of surrogate pairs as U+FFFD; null as None; anything else as it stands."""
+    raw = raw.strip(b" \t\r\n")
+    if raw == b"null":
+        return None
+    if raw[:1] == b'"':
+        return LONE.sub("\ufffd", json.loads(raw)) if b"\\" in raw else raw[1:-1].decode("utf-8", "replace")
+    return raw.decode("utf-8", "replace")
 
 
 def _parents(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -240,36 +306,33 @@ def _parents(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.where((level > 1) & (k >= 0), found % n, -1)
 
 
-def nodes(bodies: list[str]) -> pd.DataFrame:
-    """One row per node of the bodies that are valid JSON: body, ordinal, parent (an ordinal or -1), node_level, name, depth, node_path, node_json."""
-    clean = [b[1:] if b.startswith("﻿") else b for b in bodies]
-    good = [i for i, b in enumerate(clean) if valid(b)]
-    none = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("body", "int64"), ("ordinal", "int64"), ("parent", "int64"), ("node_level", object), ("name", object), ("depth", "int64"), ("node_path", object), ("node_json", object))})
-    if not good:
-        return none
-    body, start, end, parent, levels, names = index([clean[i] for i in good])
-    if not len(body):
-        return none
-    first = np.searchsorted(body, np.arange(len(good)))
-    ordinal = np.arange(len(body)) - first[body]
+def nodes(bodies: list[str], levels: dict[str, str | None] = LEVELS, with_json: bool = False, with_fields: bool = False) -> dict[str, list | np.ndarray]:
+    """Columns of the nodes of bodies that are valid JSON: body, ordinal, parent (an ordinal or -1), node_level, name, depth, node_path, node_json, fields."""
+    coded = [b.removeprefix("\ufeff").encode("utf-8", "surrogatepass") for b in bodies]
+    good = np.flatnonzero(valid(coded)) if coded else np.zeros(0, np.int64)
+    kept = [coded[i] for i in good]
+    body, start, end, parent, level_of, names, fields = index(kept, levels, with_fields) if kept else (*[np.zeros(0, np.int64)] * 4, [], [], [])
+    ordinal = np.arange(len(body)) - np.searchsorted(body, body)
     paths: list[str] = []
-    depths = np.zeros(len(body), np.int64)
+    depths = np.zeros(len(body), np.int32)
     for n, p in enumerate(parent.tolist()):
         paths.append(names[n] if p < 0 else f"{paths[p]} > {names[n]}")
         depths[n] = 0 if p < 0 else depths[p] + 1
-    coded = [clean[i].encode("utf-8", "surrogatepass") for i in good]
-    text = [coded[b][s:e].decode("utf-8", "replace") for b, s, e in zip(body.tolist(), start.tolist(), end.tolist())]
-    return pd.DataFrame({"body": np.array(good)[body], "ordinal": ordinal, "parent": np.where(parent < 0, -1, ordinal[np.maximum(parent, 0)]), "node_level": levels, "name": names, "depth": depths, "node_path": paths, "node_json": text})
+    text = [kept[b][s:e].decode("utf-8", "replace") for b, s, e in zip(body.tolist(), start.tolist(), end.tolist())] if with_json else None
+    return {"body": good[body] if len(good) else body, "ordinal": ordinal, "parent": np.where(parent < 0, -1, ordinal[np.maximum(parent, 0)]) if len(body) else parent, "node_level": level_of, "name": names, "depth": depths, "node_path": paths, "node_json": text, "fields": fields if with_fields else None}
 
 
-def flatten(df: DataFrame, key: str = "json_id", body: str = "body", with_json: bool = False) -> DataFrame:
-    """Nodes of df.body, each linked to its parent: key, node_id, parent_id (null at the top), node_level, name, depth, ordinal, node_path, node_json.
+def flatten(df: DataFrame, key: str = "json_id", body: str = "body", levels: dict[str, str | None] | None = None, with_json: bool = False, with_fields: bool = False) -> DataFrame:
+    """Nodes of df.body, each linked to its parent: key, node_id, parent_id (null at the top), node_level, name, depth, ordinal, node_path, node_json, fields.
 
+    levels: the keys whose objects are nodes, each with the member that names it, or None for a name of ''; by default LEVELS.
     node_id is '<key>/<ordinal>', ordinals count nodes in the order of the text. Null, empty and invalid bodies
     have no nodes; a leading byte order mark is skipped. An object that repeats a member keeps the last.
-    node_json is null unless with_json.
+    node_json is null unless with_json. fields is null unless with_fields: a map of the node's own members to text, those of
+    objects in it under 'member.member', arrays as JSON; members that are nodes themselves are left out.
     """
     kind = df.schema[key].dataType.simpleString()
+    wanted = LEVELS if levels is None else levels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,30 +344,46 @@ def flatten(df: DataFrame, key: str = "json_id", body: str = "body", with_json:
                 if n is None:
                     continue
                 if block and size + n > BLOCK:
-                    yield from rows(block, ids, texts)
+                    yield rows(block, ids, texts)
                     block, size = [], 0
                 block.append(i)
                 size += n
             if block:
-                yield from rows(block, ids, texts)
+                yield rows(block, ids, texts)
 
-    def rows(block: list[int], ids: list, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        found = nodes([texts[i].as_py() for i in block])
+    def rows(block: list[int], ids: list, texts: pa.Array) -> pa.RecordBatch:
+        found = nodes([texts[i].as_py() for i in block], wanted, with_json, with_fields)
         at = [ids[block[b]] for b in found["body"]]
+        none = [None] * len(at)
         columns = {
             key: pa.array(at, batch_type),
-            "node_id": [f"{a}/{o}" for a, o in zip(at, found["ordinal"])],
-            "parent_id": [None if p < 0 else f"{a}/{p}" for a, p in zip(at, found["parent"])],
-            "node_level": found["node_level"].tolist(),
-            "name": found["name"].tolist(),
-            "depth": pa.array(found["depth"].to_numpy(), pa.int32()),
-            "ordinal": pa.array(found["ordinal"].to_numpy(), pa.int32()),
-            "node_path": found["node_path"].tolist(),
-            "node_json": pa.array(found["node_json"].tolist() if with_json else [None] * len(found), pa.string()),
+            "node_id": [f"{a}/{o}" for a, o in zip(at, found["ordinal"].tolist())],
+            "parent_id": [None if p < 0 else f"{a}/{p}" for a, p in zip(at, found["parent"].tolist())],
+            "node_level": found["node_level"],
+            "name": found["name"],
+            "depth": pa.array(found["depth"], pa.int32()),
+            "ordinal": pa.array(found["ordinal"], pa.int32()),
+            "node_path": found["node_path"],
+            "node_json": found["node_json"] or none,
+            "fields": pa.array([list(f.items()) for f in found["fields"]] if with_fields else none, pa.map_(pa.string(), pa.string())),
         }
-        yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.string()) for k, v in columns.items()})
+        return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.string()) for k, v in columns.items()})
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     batch_type = to_arrow_type(df.schema[key].dataType)
     return df.select(F.col(key), F.col(body)).mapInArrow(run, f"`{key}` {kind}, {NODES}")
+
+
+def level_table(found: DataFrame, level: str, members: list[str], key: str = "json_id") -> DataFrame:
+    """The flat table of one level from flatten(with_fields=True): key, node_id, parent_id, ordinal, name and a column for each of members.
+
+    A member a node lacks is null; a dot in its name is written as an underscore.
+    """
+    own = found.filter(F.col("node_level") == level)
+    return own.select(key, "node_id", "parent_id", "ordinal", "name", *(F.try_element_at("fields", F.lit(m)).alias(m.replace(".", "_")) for m in members))
+
+
+def members(found: DataFrame) -> DataFrame:
+    """node_level, member, nodes: which members the nodes of each level have, from flatten(with_fields=True)."""
+    return found.select("node_level", F.explode(F.map_keys("fields")).alias("member")).groupBy("node_level", "member").agg(F.count(F.lit(1)).alias("nodes"))

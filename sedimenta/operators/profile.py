@@ -7,12 +7,8 @@ medians, dominant and rare masks and the distance between the masks of two loads
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sedimenta.functions.chains import HOT_ROWS, hot_keys, linked
 from sedimenta.functions.fields import fields, loads_of
@@ -31,6 +27,8 @@ OWN_VALUES = 10
 EXACT_LENGTH = 24
 #: Texts with white space beyond this length are prose, with a coarse mask.
 PROSE = 120
+#: Patterns that are compiled once for all rows.
+COMPILED = 64
 #: Numbers are counted by their first digits; where that leaves a median's comparison open, by value.
 DIGITS = 5
 
@@ -82,25 +80,30 @@ def nested_mask(value: Column, kind: Column) -> Column:
     return F.when(kind == "boolean", F.to_json(value)).when(kind == "array", F.concat(schema, F.lit(":"), many)).when(kind == "object", schema).otherwise(kind)
 
 
-@F.pandas_udf(T.StringType())
-def usable(patterns: pd.Series) -> pd.Series:
-    """Patterns that compile, in the dialect of rlike; null for others."""
-
-    def one(p):
-        try:
-            re.compile(p)
-        except (re.error, TypeError, RecursionError, OverflowError):
-            return None
-        return "(?d)" + p.replace("(?P<", "(?<").replace("\\Z", "\\z")
-
-    return patterns.map(one, na_action="ignore").astype(object).where(patterns.notna(), None)
+def usable(pattern: Column) -> Column:
+    """A pattern for rlike, with named groups and ends as Python writes them; null if the engine that runs it can't compile it."""
+    java = F.concat(F.lit("(?d)"), F.replace(F.replace(pattern, F.lit("(?P<"), F.lit("(?<")), F.lit("\\Z"), F.lit("\\z")))
+    return F.when(F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), java).isNotNull(), java)
 
 
 def declared(site_fields: DataFrame) -> DataFrame:
-    """site, field, pattern, min_value, max_value; of fields declared more than once the least non-null values count."""
+    """site, field, pattern, min_value, max_value; of fields declared more than once the least non-null values count. Patterns that can't be run are null."""
     return site_fields.filter(F.col("site").isNotNull() & F.col("field").isNotNull()).groupBy("site", "field").agg(
         F.min("pattern").alias("pattern"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value")
-    ).withColumn("pattern", usable("pattern"))
+    ).withColumn("pattern", usable(F.col("pattern")))
+
+
+def matcher(rules: DataFrame):
+    """A function of text and pattern that tells whether they match. The most used patterns, COMPILED at most, are compiled once for all rows; others with each row."""
+    often = rules.filter("pattern IS NOT NULL").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pattern").limit(COMPILED).collect()
+
+    def matches(text: Column, pattern: Column) -> Column:
+        out = F.rlike(text, pattern)
+        for r in reversed(often):
+            out = F.when(pattern == r["pattern"], text.rlike(r["pattern"])).otherwise(out)
+        return out
+
+    return matches
 
 
 def by_load(item_loads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -119,16 +122,18 @@ def by_load(item_loads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return lanes.repartition("site", "load_run_id", "_lane").select("site", "load_run_id", "data")
 
 
-def mask_counts(item_loads: DataFrame, site_fields: DataFrame, distinct: bool = False, hot_rows: int = HOT_ROWS, spaced: bool = False, nested: bool = False) -> DataFrame:
+def mask_counts(item_loads: DataFrame, site_fields: DataFrame, distinct: bool = False, hot_rows: int = HOT_ROWS, spaced: bool = False, nested: bool = False, exact: bool = True) -> DataFrame:
     """site, run_id, field, mask, bucket, n, empty, strings, bad, numbers, outside, low, high: counts of the values of each load's field, by mask.
 
     empty: null, '' and []. strings: non-empty strings, bad: those that don't match the declared pattern. outside:
     numbers beyond the declared bounds. bucket: the first digits of a number; low and high: the range in the bucket.
-    With distinct also about how many values differ, null left out; arrays, objects and booleans by their canonical
-    JSON. Values of different masks differ, so these add up over masks. With spaced, texts with white space, and with
+    With distinct also how many values differ (unless exact: about how many), null left out; arrays, objects and booleans by
+    their canonical JSON. Values of different masks differ, so these add up over masks. With spaced, texts with white space, and with
     nested, arrays, objects and booleans have masks of their own: for reports of masks, as no other figure needs them.
     """
-    each = fields(by_load(item_loads, hot_rows), "data", "site", "load_run_id").join(declared(site_fields), ["site", "field"], "left")
+    rules = cut(declared(site_fields))
+    matches = matcher(rules)
+    each = fields(by_load(item_loads, hot_rows), "data", "site", "load_run_id").join(rules, ["site", "field"], "left")
     text = F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string"))
     number = F.when(F.col("kind") == "number", F.try_variant_get("value", "$", "double"))
     none = (F.col("kind") == "array") & (F.to_json("value") == "[]")
@@ -140,11 +145,11 @@ def mask_counts(item_loads: DataFrame, site_fields: DataFrame, distinct: bool =
     shape = F.when(F.col("text").isNotNull(), mask(F.col("text"), spaced)).when(F.col("number").isNotNull(), number_mask(F.col("number"))).otherwise(other)
     each = each.withColumn("seen", F.coalesce("text", F.col("number").cast("string"), F.when(F.col("kind") != "null", F.to_json("value")))) if distinct else each
     return each.groupBy("site", "run_id", "field", shape.alias("mask"), bucket.alias("bucket")).agg(
-        *([F.approx_count_distinct("seen").alias("distinct")] if distinct else []),
+        *([(F.count_distinct if exact else F.approx_count_distinct)("seen").alias("distinct")] if distinct else []),
         F.count(F.lit(1)).alias("n"),
         F.count_if((F.col("kind") == "null") | (F.col("text") == "") | F.col("none")).alias("empty"),
         F.count_if(full).alias("strings"),
-        F.count_if(full & ~F.rlike("text", F.col("pattern"))).alias("bad"),
+        F.count_if(full & F.col("pattern").isNotNull() & ~matches(F.col("text"), F.col("pattern"))).alias("bad"),
         F.count("number").alias("numbers"),
         F.count_if((F.col("number") < F.col("min_value")) | (F.col("number") > F.col("max_value"))).alias("outside"),
         F.min("number").alias("low"),
@@ -179,19 +184,26 @@ def field_profile(counts: DataFrame, item_loads: DataFrame, runs: DataFrame, hot
     return held.join(before, ["site", "prev_run", "field"], "left")
 
 
-def column_profile(df: DataFrame, table_name: str) -> DataFrame:
-    """One row per column of any table: table_name, column, type, rows, nulls, null_rate, distinct (about), low and high as text.
+def column_profile(df: DataFrame, table_name: str, exact: bool = True) -> DataFrame:
+    """One row per column of any table: table_name, column, type, rows, nulls, null_rate, distinct, low and high as text.
 
-    One pass of aggregates that combine before they are shuffled; nothing is exploded. Maps have neither distinct values
-    nor a range; arrays and structs have those of their JSON text. An empty table has a null null_rate.
+    One pass of aggregates that combine before they are shuffled. distinct counts 64-bit hashes of the values, which are the
+    only thing that a second pass shuffles, once per column and value; unless exact it is a sketch's estimate, in the first
+    pass. Maps have neither distinct values nor a range; arrays and structs have those of their JSON text. An empty table
+    has a null null_rate.
     """
-    parts = []
+    parts, hashes = [], []
     for f in df.schema:
         c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
-        plain = F.lit(None).cast("string") if kind.startswith("map") else F.to_json(F.struct(c.alias("v"))) if kind.startswith(("array", "struct")) else c
-        figures = [F.count(F.lit(1)).alias("rows"), F.count_if(c.isNull()).alias("nulls"), F.approx_count_distinct(plain).alias("distinct"), F.min(plain).cast("string").alias("low"), F.max(plain).cast("string").alias("high")]
+        plain = F.lit(None).cast("string") if kind.startswith("map") else F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v")))) if kind.startswith(("array", "struct")) else c
+        figures = [F.count(F.lit(1)).alias("rows"), F.count_if(c.isNull()).alias("nulls"), F.min(plain).cast("string").alias("low"), F.max(plain).cast("string").alias("high")]
+        figures.append(F.lit(0).cast("bigint").alias("distinct") if exact else F.approx_count_distinct(plain).alias("distinct"))
         parts.append(F.struct(F.lit(f.name).alias("column"), F.lit(kind).alias("type"), *figures))
+        hashes.append(F.struct(F.lit(f.name).alias("column"), F.when(plain.isNotNull(), F.xxhash64(plain)).alias("h")))
     each = df.agg(F.array(*parts).alias("each")).select(F.explode("each").alias("e")).select("e.*")
+    if exact:
+        seen = df.select(F.explode(F.array(*hashes)).alias("v")).select("v.*").filter("h IS NOT NULL").groupBy("column", "h").agg(F.lit(1).alias("one"))
+        each = each.drop("distinct").join(seen.groupBy("column").agg(F.count(F.lit(1)).alias("distinct")), "column", "left").fillna(0, ["distinct"])
     return each.select(F.lit(table_name).alias("table_name"), "column", "type", "rows", "nulls", (F.col("nulls") / F.nullif("rows", F.lit(0))).alias("null_rate"), "distinct", "low", "high")
 
 

@@ -53,7 +53,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nesting.flatten(table(spark, d, "json_docs"), with_json=True)
+    return nesting.flatten(table(spark, d, "json_docs")).drop("node_json", "fields")
+
+
+#: The levels of the tables below: those of nodes, and the pages of an annex, which have no name. And the members that are their columns.
+TABLES = {
+    "diario": ["numero", "sumario_diario.identificador", "sumario_diario.url_pdf.texto"],
+    "seccion": ["codigo", "nombre"],
+    "departamento": ["codigo", "nombre"],
+    "epigrafe": ["nombre"],
+    "item": ["identificador", "titulo", "url_html", "url_pdf.texto", "url_pdf.pagina_inicial", "anexo"],
+    "anexo": ["ref", "titulo"],
+    "paginas": ["desde", "hasta"],
+}
+
+
+def _level(level: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        found = nesting.flatten(table(spark, d, "json_docs"), levels=nesting.LEVELS | {"paginas": None}, with_fields=True)
+        return nesting.level_table(found, level, TABLES[level])
+
+    return query
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return nesting.members(nesting.flatten(table(spark, d, "json_docs"), with_fields=True)).filter("member NOT LIKE '%.%'")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +114,8 @@ def p6_masks(spark: SparkSession, d: str) -> DataFrame:
     return profile.mask_report(profile.mask_counts(loads, table(spark, d, "site_fields"), spaced=True, nested=True), loads, runs)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_table, p2_versions, p3_found, p3_history, p4_found, p4_nodes, p5_found, p6_found, p6_profile, p6_masks, p6_columns)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_table, p2_versions, p3_found, p3_history, p4_found, p4_nodes, p4_members, p5_found, p6_found, p6_profile, p6_masks, p6_columns)}
+QUERIES |= {f"p4_{level}": _level(level) for level in TABLES}
 
 
 _LOADS = """f AS (SELECT l.load_run_id AS run_id, l.site, l.load_id, l.natural_key, coalesce(l.gone_at, l.last_seen) AS moment, l.loaded_at, e.key AS field, e.value AS value,
@@ -148,3 +173,60 @@ ORACLES["p3_history"] = """WITH st AS (SELECT l.load_id, string_agg(t.fullkey ||
     w AS (SELECT *, lag(gone) OVER c AS prev_gone, lag(state) OVER c AS prev_state FROM o WINDOW c AS (PARTITION BY site, natural_key ORDER BY m, gone, load_id)),
     b AS (SELECT *, lead(m) OVER (PARTITION BY site, natural_key ORDER BY m, gone, load_id) AS valid_to FROM w WHERE (gone AND NOT prev_gone) OR (NOT gone AND (prev_gone IS NULL OR prev_gone OR prev_state <> state)))
     SELECT site, natural_key, m AS valid_from, valid_to, valid_to IS NULL AS is_current FROM b WHERE NOT gone"""
+
+_NAMES = {"diario": "numero", "epigrafe": "nombre", "item": "identificador", "anexo": "ref", "seccion": "codigo", "departamento": "codigo"}
+
+
+def _tree(levels: dict[str, str | None]) -> str:
+    """CTEs: nodes, and up with the place, parent's place, depth and path of each."""
+    name = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in levels.items() if v)
+    return f"""WITH RECURSIVE d AS (SELECT json_id, ltrim(body, chr(65279)) AS body FROM json_docs WHERE json_valid(ltrim(body, chr(65279)))),
+    t AS (SELECT d.json_id, t.id, t.parent, t.key, t.type, t.value FROM d, json_tree(d.body) t),
+    named AS (SELECT t.json_id, t.id, t.parent, t.value, t.type, CASE WHEN p.type = 'ARRAY' THEN p.key ELSE t.key END AS level FROM t LEFT JOIN t p ON p.json_id = t.json_id AND p.id = t.parent),
+    nodes AS (SELECT json_id, id, parent, level, value, coalesce(json_extract_string(value, '$.' || CASE level {name} END), '') AS name, row_number() OVER (PARTITION BY json_id ORDER BY id) - 1 AS ordinal
+        FROM named WHERE type = 'OBJECT' AND level IN ({", ".join(f"'{k}'" for k in levels)})),
+    climb AS (SELECT json_id, id AS node, level, ordinal, name, value, name AS path, parent AS above, 0 AS depth, NULL::BIGINT AS over FROM nodes
+        UNION ALL SELECT c.json_id, c.node, c.level, c.ordinal, c.name, c.value, CASE WHEN n.id IS NULL THEN c.path ELSE n.name || ' > ' || c.path END, t.parent, c.depth + (n.id IS NOT NULL)::INT, coalesce(c.over, n.ordinal)
+        FROM climb c JOIN t ON t.json_id = c.json_id AND t.id = c.above LEFT JOIN nodes n ON n.json_id = c.json_id AND n.id = c.above),
+    up AS (SELECT *, json_id || '/' || ordinal AS node_id, json_id || '/' || over AS parent_id FROM climb WHERE above IS NULL)"""
+
+
+ORACLES["p4_nodes"] = f"{_tree(_NAMES)} SELECT json_id, node_id, parent_id, level AS node_level, name, depth, CAST(ordinal AS INT) AS ordinal, path AS node_path FROM up"
+ORACLES["p4_members"] = f"""{_tree(_NAMES)} SELECT n.level AS node_level, t.key AS member, count(*) AS nodes FROM nodes n JOIN t ON t.json_id = n.json_id AND t.parent = n.id
+    WHERE t.type <> 'OBJECT' AND NOT (t.type = 'ARRAY' AND t.key IN ('diario', 'seccion', 'departamento', 'epigrafe', 'item', 'anexo')) GROUP BY ALL"""
+for _level_name, _members in TABLES.items():
+    _columns = ", ".join(f"CASE WHEN json_type(value, '$.{m}') NOT IN ('ARRAY', 'OBJECT') THEN json_extract_string(value, '$.{m}') END AS {m.replace('.', '_')}" for m in _members)
+    ORACLES[f"p4_{_level_name}"] = f"{_tree(_NAMES | {'paginas': None})} SELECT json_id, node_id, parent_id, CAST(ordinal AS INT) AS ordinal, name, {_columns} FROM up WHERE level = '{_level_name}'"
+
+ORACLES["p2_versions"] = f"""WITH {_LOADS},
+    typed AS (SELECT site, run_id, field, CASE WHEN 2 * top_n > filled THEN top END AS type FROM held),
+    prints AS (SELECT l.site, l.run_id, any_value(l.prev_run) AS prev_run, count(t.field) AS n_fields,
+        md5('[' || coalesce(string_agg('{{"field":' || CAST(to_json(t.field) AS VARCHAR) || coalesce(',"type":"' || t.type || '"', '') || '}}', ',' ORDER BY t.field) FILTER (WHERE t.field IS NOT NULL), '') || ']') AS fingerprint
+        FROM loads l LEFT JOIN typed t ON t.site = l.site AND t.run_id = l.run_id GROUP BY l.site, l.run_id)
+    SELECT p.site, p.run_id, p.fingerprint, b.fingerprint AS prev_fingerprint, CAST(p.n_fields AS INT) AS n_fields FROM prints p LEFT JOIN prints b ON b.site = p.site AND b.run_id = p.prev_run"""
+ORACLES["p6_profile"] = f"""WITH {_LOADS},
+    v AS (SELECT f.*, CASE WHEN f.kind = 'string' THEN json_extract_string(f.value, '$') END AS text, CASE WHEN f.kind = 'number' THEN TRY_CAST(f.value AS DOUBLE) END AS number FROM f)
+    SELECT h.site, h.run_id, h.field, h.rows, h.present, h.rows - count(*) FILTER (WHERE v.kind IS NOT NULL AND coalesce(v.text, 'x') <> '' AND NOT (v.kind = 'array' AND json_array_length(v.value) = 0)) AS empty, empty / h.rows AS null_rate,
+        count(DISTINCT CASE WHEN v.kind IS NOT NULL THEN v.kind || ':' || coalesce(v.text, CAST(v.number AS VARCHAR), CAST(v.value AS VARCHAR)) END) AS distinct,
+        count(*) FILTER (WHERE v.text <> '') AS strings, count(*) FILTER (WHERE v.text <> '' AND NOT regexp_matches(v.text, s.pattern)) AS bad,
+        count(v.number) AS numbers, count(*) FILTER (WHERE v.number < s.min_value OR v.number > s.max_value) AS outside, min(v.number) AS low, max(v.number) AS high
+    FROM held h JOIN v USING (site, run_id, field) LEFT JOIN site_fields s ON s.site = h.site AND s.field = h.field GROUP BY h.site, h.run_id, h.field, h.rows, h.present"""
+
+
+def _columns_of(name: str, columns: dict[str, str]) -> str:
+    def one(c: str, kind: str) -> str:
+        plain = f"CAST(to_json({{'v': {c}}}) AS VARCHAR)" if kind.startswith("array") else c
+        given = f"CASE WHEN {c} IS NOT NULL THEN {plain} END"
+        figures = "0 AS distinct, NULL::VARCHAR AS low, NULL::VARCHAR AS high" if kind.startswith("map") else f"count(DISTINCT {given}) AS distinct, CAST(min({given}) AS VARCHAR) AS low, CAST(max({given}) AS VARCHAR) AS high"
+        return f"SELECT '{name}' AS table_name, '{c}' AS column, '{kind}' AS type, count(*) AS rows, count(*) - count({c}) AS nulls, (count(*) - count({c})) / count(*) AS null_rate, {figures} FROM {name}"
+
+    return " UNION ALL ".join(one(c, k) for c, k in columns.items())
+
+
+_MOMENT, _BIG, _TEXT, _INT = "timestamp_ntz", "bigint", "string", "int"
+_COLUMNS = {
+    "item_loads": {"load_id": _BIG, "load_run_id": _BIG, "file_name": _TEXT, "loaded_at": _MOMENT, "id": _BIG, "site": _TEXT, "natural_key": _TEXT, "content_hash": _TEXT, "data": _TEXT, "source_url": _TEXT, "first_seen": _MOMENT, "last_seen": _MOMENT, "last_changed": _MOMENT, "run_id": _BIG, "seen_run_id": _BIG, "fetched_at": _MOMENT, "gone_at": _MOMENT},
+    "runs": {"id": _BIG, "site": _TEXT, "started_at": _MOMENT, "finished_at": _MOMENT, "status": _TEXT} | {c: _INT for c in ("pages", "pages_cached", "items_new", "items_updated", "items_unchanged", "items_skipped", "items_gone", "errors")} | {"notes": _TEXT},
+    "run_reports": {"run_id": _BIG, "site": _TEXT, "items_seen": _INT, "items_skipped": _INT, "items_invalid": _INT, "items_filtered": _INT, "warnings": "array<string>", "empty_fields": "map<string,bigint>"},
+}
+ORACLES["p6_columns"] = " UNION ALL ".join(_columns_of(n, c) for n, c in _COLUMNS.items())

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import shutil
 from collections import Counter, defaultdict
 
@@ -243,11 +244,47 @@ def test_nesting_against_python(spark):
     assert nesting.flatten(docs.limit(0)).count() == 0
 
 
-def test_nesting_very_deep():
+def is_json(text):
+    def refuse(_):
+        raise ValueError
+
+    try:
+        json.loads(text, parse_constant=refuse)
+        return True
+    except ValueError:
+        return False
+
+
+def test_json_grammar():
+    """Against a parser: awkward texts, and changed ones in one batch, where no text may shift another."""
     deep = '{"item":' * 3000 + "{}" + "}" * 3000
-    assert len(nesting.nodes([deep])) == 3000 and len(nesting.nodes([deep[:-1]])) == 0
-    for text, good in (('"x"', True), ("[1,]", False), ('{"a":1}', True), ("[[1,[]],{}]", True), ("[", False), ('{"a" 1}', False), ("1 2", False)):
-        assert nesting._deep(text) == good, text
+    assert nesting.valid([deep.encode(), deep[:-1].encode(), deep.encode()]).tolist() == [True, False, True]
+    assert len(nesting.nodes([deep])["body"]) == 3000
+    texts = ['"x"', "[1,]", '{"a":1}', "[[1,[]],{}]", "[", '{"a" 1}', "1 2", "", " ", "nul", "01", "-", "1.e1", "1e+5", '"\\', '"\\"', '"a\nb"', '"\\u12g4"', '"\\u00e1"', "[}", '{"a":[}]', '{"a":{"b":1,}}', '{1:2}', '[:1]', '{"a"}', '{"a":}', "[1 2]", '["a" "b"]', "[,1]", "{,}", "][", "\ufeff1", '"\\x"', "tru e", "[1]]", "\x001", "é", '["é", "\t"]', '{"a":1}{"b":2}', "\\", '"a"b', "[1\n,2]"]
+    docs = [json.dumps({"a": [1, -2.5e3, True, None, "x\\y\"z", {"b": []}], "ñ": {"c": "é\n"}}, ensure_ascii=k) for k in (True, False)]
+    rng = random.Random(5)
+    for _ in range(4000):
+        t = list(rng.choice(docs))
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            i = rng.randrange(len(t))
+            t[i : i + rng.randrange(3)] = rng.choice(['"', "\\", "{", "}", "[", "]", ",", ":", "1", " ", "e", "", "\n", "-", ".", "u", "t"])
+        texts.append("".join(t))
+    got = nesting.valid([t.encode() for t in texts]).tolist()
+    want = [is_json(t) for t in texts]
+    assert [t for t, g, w in zip(texts, got, want) if g != w] == [] and 200 < sum(want) < 3000
+
+
+def test_levels_as_tables(spark):
+    body = {"pedido": [{"ref": "A", "cliente": {"nombre": "Núñez", "tags": ["x", "y"]}, "linea": [{"n": 1, "precio": 2.50, "nota": None}, {"n": 2, "nota": "q\"\ud83d"}]}, {"linea": "ninguna"}]}
+    df = spark.createDataFrame([(7, json.dumps(body)), (8, "x"), (9, None)], "json_id bigint, body string")
+    found = nesting.flatten(df, levels={"pedido": "ref", "linea": None}, with_fields=True)
+    orders = nesting.level_table(found, "pedido", ["ref", "cliente.nombre", "cliente.tags", "linea"]).orderBy("ordinal").collect()
+    assert [tuple(r) for r in orders] == [(7, "7/0", None, 0, "A", "A", "Núñez", '["x", "y"]', None), (7, "7/3", None, 3, "", None, None, None, "ninguna")]
+    lines = nesting.level_table(found, "linea", ["n", "precio", "nota"]).orderBy("ordinal").collect()
+    assert [tuple(r)[2:] for r in lines] == [("7/0", 1, "", "1", "2.5", None), ("7/0", 2, "", "2", None, 'q"\ufffd')]
+    assert {tuple(r) for r in nesting.members(found).collect()} == {("pedido", "ref", 1), ("pedido", "cliente.nombre", 1), ("pedido", "cliente.tags", 1), ("pedido", "linea", 1), ("linea", "n", 2), ("linea", "precio", 1), ("linea", "nota", 2)}
+    plain = {tuple(r) for r in nesting.flatten(df, levels={"pedido": "ref", "linea": None}).select("node_json", "fields").collect()}
+    assert plain == {(None, None)}
 
 
 @pytest.mark.parametrize("name", ["p2_found", "p3_found", "p4_found", "p5_found", "p6_found"])
