@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import encoding, mixing, repetition, tokens
+from sedimenta.llm import encoding, likelihood, mixing, repetition, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,7 +48,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p7_ids, p7_offsets, p8_mix, p8_shares, p9_found, p9_shares)}
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return likelihood.repetition_scores(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p7_ids, p7_offsets, p8_mix, p8_shares, p9_found, p9_shares, p9_scores)}
 
 _WHITE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _STRETCHES = rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}{_WHITE}]', '', 'g'), '[{_WHITE}]+'), lambda x: x <> '') AS ws FROM documents),

@@ -39,3 +39,15 @@ def test_whole_tables(spark):
     caps = {r["source"]: r["max_repeats"] for r in targets.collect()}
     assert all(r["copies"] <= caps[r["source"]] for r in mixed.collect())
     assert abs(sum(r["actual_share"] for r in mixing.shares(mixed, targets).collect()) - 1) < 1e-9
+
+
+def test_size_of_ones_own(spark):
+    docs = spark.createDataFrame([(i, "big", "uno dos tres cuatro cinco") for i in range(3000)] + [(9000 + i, "tiny", "uno dos tres cuatro cinco") for i in range(20)], DOCS)
+    targets = spark.createDataFrame([("big", 0.5, 4), ("tiny", 0.5, 2)], TARGETS)
+    size = 2 * sum(r["tokens"] for r in mixing.mix(docs, targets.filter("source = 'big'").withColumn("max_repeats", F.lit(1))).collect())
+    got = {r["source"]: r for r in mixing.shares(mixing.mix(docs, targets, total_tokens=size), targets).collect()}
+    # the scarce source gives all it may, twice each; the other its half of the size
+    assert got["tiny"]["documents"] == 20 and got["tiny"]["most_copies"] == 2 and abs(got["big"]["mixed_tokens"] / (size / 2) - 1) < 0.02
+    assert got["tiny"]["actual_share"] < 0.05
+    small = mixing.shares(mixing.mix(docs, targets), targets).collect()
+    assert abs(small[0]["actual_share"] - 0.5) < 0.1
