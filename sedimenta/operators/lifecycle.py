@@ -33,19 +33,20 @@ def unique_by_url(items: DataFrame) -> DataFrame:
     return items.join(once.drop("n"), ["site", "source_url"], "left_semi")
 
 
-def in_run(records: DataFrame, order: list[str]) -> DataFrame:
+def in_run(records: DataFrame, order: list[str], run: list[str] = ()) -> DataFrame:
     """records (site, natural_key, content_hash, ...) with before, the hash of the record's earlier appearance in the run, and last.
 
-    Appearances are few: a run sees a record a handful of times, so one key's window stays small; rows of other keys don't meet.
+    run: columns that tell runs apart, where records are of several. Appearances are few: a run sees a record a handful of
+    times, so one key's window stays small; rows of other keys don't meet.
     """
-    w = Window.partitionBy("site", "natural_key").orderBy(*order)
+    w = Window.partitionBy("site", "natural_key", *run).orderBy(*order)
     return records.withColumn("before", F.lag("content_hash").over(w)).withColumn("last", F.lead(F.lit(1)).over(w).isNull())
 
 
-def classify(records: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
+def classify(records: DataFrame, stored: DataFrame, order: list[str], run: list[str] = ()) -> DataFrame:
     """records with result: new, updated or unchanged, against the appearance before in the run, or the stored one."""
     had = stored.select("site", "natural_key", F.col("content_hash").alias("stored_hash"))
-    both = in_run(records, order).join(had, ["site", "natural_key"], "left")
+    both = in_run(records, order, run).join(had, ["site", "natural_key"], "left")
     earlier = F.coalesce("before", "stored_hash")
     return both.withColumn("result", F.when(earlier.isNull(), "new").when(earlier != F.col("content_hash"), "updated").otherwise("unchanged")).drop("stored_hash")
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from sedimenta.functions import cleaners as C
 from sedimenta.functions.urls import any_join, join_rooted, origin
 from sedimenta.operators import extract, lifecycle, report
+from sedimenta.plans import scenario
 from sedimenta.plans.problems import table
 from sedimenta.sources import export, pages
-from sedimenta.sources.store import cut_messages
+from sedimenta.sources.store import conform, count_items, cut_messages
 from sedimenta.spec import parse_site
 
 NOW = dt.datetime(2026, 5, 1, 12, 0, 0)
@@ -73,7 +74,9 @@ def date_formats(spark: SparkSession, d: str) -> DataFrame:
         F.date_format(day, "yyyyMMdd"),
     ]
     form = (F.col("l_linenumber") % 6).alias("form")
-    text = F.get(F.array(*forms), F.col("l_linenumber") % 6)
+    text = forms[0]
+    for i, f in enumerate(forms[1:], 1):  # branches, so that each row makes one text
+        text = F.when(F.col("l_linenumber") % 6 == i, f).otherwise(text)
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", form, C.clean_date(text, C.moment(NOW)).alias("day"))
 
 
@@ -174,7 +177,10 @@ def json_listing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_scalar(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))
+    site = parse_site({"name": "t", "base_url": "https://x", "start_urls": ["/"], "fetch": {"format": "json"}, "list": {"item_selector": "$", "fields": {"k": {"selector": "json:k"}}}})
+    rows = table(spark, d, "events").select("event_id", F.lit("https://x/").alias("url"), F.lit(None).cast("string").alias("final_url"), F.col("props").alias("html"))
+    found = extract.with_fields(extract.listing(rows, site).filter("item_pos IS NOT NULL"), site.list.fields, C.moment(NOW))
+    return found.select("event_id", F.col("f_k").alias("k"))
 
 
 # --- filters, fallbacks, joins ---
@@ -187,12 +193,6 @@ def include_exclude(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter(extract.passes(parse_site(_FILTER), prefix="")).select("p_partkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 100")
-def filter_then_limit(spark: SparkSession, d: str) -> DataFrame:
-    """The limit is the feature: the first n records that pass the filters."""
-    return table(spark, d, "orders").filter("o_orderstatus = 'O'").orderBy("o_orderdate", "o_orderkey").limit(100).select("o_orderkey")
-
-
 @query("SELECT id, coalesce(nullif(trim(regexp_replace(json_extract_string(data, '$.titulo'), '\\s+', ' ', 'g')), ''), nullif(trim(json_extract_string(data, '$.puesto')), ''), 'sin titulo') AS title FROM items".replace("'\\s+'", f"'{WHITE}+'"))
 def selector_fallback(spark: SparkSession, d: str) -> DataFrame:
     from sedimenta.spec import FieldSpec
@@ -209,19 +209,6 @@ def required_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.get(extract.missing({"text": FieldSpec(required=True)}, prefix=""), F.lit(0)).alias("missing"))
 
 
-@query("SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
-def list_detail_join(spark: SparkSession, d: str) -> DataFrame:
-    """Each detail once, however many records share it."""
-    details = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").dropDuplicates(["c_custkey"])
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return orders.join(details, orders.o_custkey == details.c_custkey, "left").select("o_orderkey", "c_name", "c_mktsegment")
-
-
-@query("SELECT id, url FROM errors e WHERE NOT EXISTS (SELECT 1 FROM raw_pages p WHERE p.url = e.url)")
-def detail_missing(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "errors").join(table(spark, d, "raw_pages").select("url").distinct(), "url", "left_anti").select("id", "url")
-
-
 # --- keys, hashes, lifecycle ---
 
 
@@ -256,14 +243,8 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
 def upsert_classify(spark: SparkSession, d: str) -> DataFrame:
     """Every load's records against the stored items and their earlier appearances in the load."""
     seen = table(spark, d, "item_loads").filter("gone_at IS NULL").withColumn("content_hash", F.coalesce("content_hash", F.lit("")))
-    stored = _stored(spark, d).select("site", "natural_key", F.col("content_hash").alias("stored_hash"))
-    # a run's rows are classified by lifecycle.classify(); here all runs at once, each with the chain of its own appearances
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("site", "natural_key", "load_run_id").orderBy("loaded_at", "load_id")
-    both = seen.withColumn("before", F.lag("content_hash").over(w)).join(stored, ["site", "natural_key"], "left")
-    earlier = F.coalesce("before", "stored_hash")
-    return both.select("load_id", F.when(earlier.isNull(), "new").when(earlier != F.col("content_hash"), "updated").otherwise("unchanged").alias("result"))
+    stored = _stored(spark, d).select("site", "natural_key", "content_hash")
+    return lifecycle.classify(seen, stored, ["loaded_at", "load_id"], ["load_run_id"]).select("load_id", "result")
 
 
 @query(
@@ -283,14 +264,6 @@ def upsert_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return after.select("site", "natural_key", "first_seen", "last_seen", "gone_at", "content_hash", "run_id")
 
 
-@query(f"SELECT id, CASE WHEN gone_at IS NULL AND (seen_run_id IS NULL OR seen_run_id % 2 = 1) THEN {SQL_NOW} ELSE gone_at END AS gone_at FROM items")
-def mark_gone(spark: SparkSession, d: str) -> DataFrame:
-    items = _stored(spark, d)
-    seen = items.filter("seen_run_id % 2 = 0").select("site", "natural_key").distinct().withColumn("seen", F.lit(True))
-    both = items.join(seen, ["site", "natural_key"], "left")
-    return both.select("id", F.when(F.col("gone_at").isNull() & F.col("seen").isNull(), C.moment(NOW)).otherwise(F.col("gone_at")).alias("gone_at"))
-
-
 @query("SELECT i.id FROM items i JOIN (SELECT site, source_url FROM items WHERE source_url IS NOT NULL GROUP BY ALL HAVING count(*) = 1) u USING (site, source_url)")
 def unique_source_lookup(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.unique_by_url(_stored(spark, d)).select("id")
@@ -306,11 +279,8 @@ def incremental_skip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT load_id, content_hash <> lag(content_hash) OVER (PARTITION BY site, natural_key, load_run_id ORDER BY loaded_at, load_id) AS changed FROM item_loads")
 def inrun_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    loads = table(spark, d, "item_loads")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("site", "natural_key", "load_run_id").orderBy("loaded_at", "load_id")
-    return loads.select("load_id", (F.col("content_hash") != F.lag("content_hash").over(w)).alias("changed"))
+    before = lifecycle.in_run(table(spark, d, "item_loads"), ["loaded_at", "load_id"], ["load_run_id"])
+    return before.select("load_id", (F.col("content_hash") != F.col("before")).alias("changed"))
 
 
 # --- reports ---
@@ -328,12 +298,6 @@ def fill_rates(spark: SparkSession, d: str) -> DataFrame:
     return report.empty_counts(docs, {"text": "str", "lang": "str", "n_chars": "int", "nowhere": "str"}, prefix="").select("field", "empty", report.fill_rate(F.col("empty").cast("double"), F.lit(n)).alias("rate"))
 
 
-@query("SELECT site, sum(pages) AS pages, sum(items_new) AS items_new, sum(items_updated) AS items_updated, sum(items_gone) AS items_gone, sum(errors) AS errors, count(*) FILTER (WHERE status = 'ok') AS ok FROM (SELECT DISTINCT * FROM runs) GROUP BY site")
-def run_metrics(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "runs").distinct()
-    return runs.groupBy("site").agg(*(F.sum(c).alias(c) for c in ("pages", "items_new", "items_updated", "items_gone", "errors")), F.count_if(F.col("status") == "ok").alias("ok"))
-
-
 @query("SELECT id, site, started_at FROM (SELECT DISTINCT id, site, started_at FROM runs) ORDER BY id DESC LIMIT 10")
 def last_runs(spark: SparkSession, d: str) -> DataFrame:
     """The limit is the feature: the last ten runs."""
@@ -342,7 +306,7 @@ def last_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT site, count(*) AS stored, count(*) FILTER (WHERE gone_at IS NULL) AS active FROM items GROUP BY site")
 def stored_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _stored(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("stored"), F.count_if(F.col("gone_at").isNull()).alias("active"))
+    return count_items(_stored(spark, d))
 
 
 @query(
@@ -393,17 +357,9 @@ def date_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_nationkey, p AS page_no, CASE WHEN p = 1 THEN 'https://x/' || n_nationkey ELSE 'https://x/' || n_nationkey || '?p=' || (p + 2) END AS url FROM nation, (SELECT unnest(generate_series(1, 10)) AS p)")
 def page_template(spark: SparkSession, d: str) -> DataFrame:
-    seeds = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("https://x/"), F.col("n_nationkey").cast("string")).alias("url"))
-    return pages.template_pages(seeds.withColumn("t", F.concat("url", F.lit("?p={page}"))), F.col("t"), 3, 10).select("n_nationkey", "page_no", "url")
-
-
-@query("SELECT user_id, page_no FROM (SELECT user_id, page_no, coalesce(bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page_no FROM events)) WHERE NOT done")
-def page_chain(spark: SparkSession, d: str) -> DataFrame:
-    """A listing ends at its first page that fails; each user's events stand for the pages of one listing."""
-    from pyspark.sql import Window
-
-    numbered = table(spark, d, "events").withColumn("page_no", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return pages.stop_at_first(numbered, ["user_id"], F.col("event_type") == "error").select("user_id", "page_no")
+    seeds = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("https://x/"), F.col("n_nationkey").cast("string")).alias("url"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("page_no"))
+    onward = pages.page_url(F.concat("url", F.lit("?p={page}")), 3, F.col("page_no"))
+    return seeds.select("n_nationkey", "page_no", F.when(F.col("page_no") == 1, F.col("url")).otherwise(onward).alias("url"))
 
 
 _ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /listado  # pages of lists\nAllow: /listado?p=1\nDisallow: /*/3$\nDisallow: /doc/\nAllow: /doc/*5\nCrawl-delay: 3\n"
@@ -435,8 +391,10 @@ def cell_truncate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS id, NULL::VARCHAR AS notes, o_orderstatus AS status FROM orders UNION ALL SELECT c_custkey, c_name, NULL FROM customer")
 def schema_evolution(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of two versions, each without a column of the other, as the store reads them."""
+    schema = "id bigint, notes string, status string"
     old = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    return old.unionByName(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("notes")), allowMissingColumns=True)
+    return conform(old, schema).unionByName(conform(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("notes")), schema))
 
 
 @query("SELECT id, run_id, url, kind, substr(message, 1, 30) AS message FROM errors")
@@ -449,3 +407,95 @@ def error_log(spark: SparkSession, d: str) -> DataFrame:
 def error_log_whole(spark: SparkSession, d: str) -> DataFrame:
     """The error log as the store keeps it, with its own limit."""
     return cut_messages(table(spark, d, "errors").select("id", "run_id", "url", "kind", "message"))
+
+
+# --- whole runs: see scenario, whose conditions the SQL states again ---
+
+_STORES: dict = {}
+
+
+def _runs(spark: SparkSession, d: str, limit: int | None = None):
+    """The store and reports of the scenario over a folder's suppliers; run once per session and folder."""
+    key = (spark.sparkContext.applicationId, d, limit)
+    if key not in _STORES:
+        _STORES[key] = scenario.run_all(spark, table(spark, d, "supplier"), limit)
+    return _STORES[key]
+
+
+#: k, name, nation, b, and whether the record passes the filter: a blank name does.
+_S = "s AS (SELECT s_suppkey AS k, s_name AS name, s_nationkey AS nation, round(s_acctbal, 2) AS b, s_acctbal > 9000 OR s_name NOT LIKE '%7' AS passes FROM supplier)"
+_T = [f"TIMESTAMP '2026-05-{d} 12:00:00'" for d in ("01", "06", "11")]
+
+
+@query(
+    f"""WITH {_S}, p AS (SELECT *, b >= -500 AND b < 0 AS twice, b >= 0 AND b < 500 AS away, (b >= 1000 AND b < 3000) AS one, b >= 4000 AND b < 5000 AS two FROM s WHERE passes AND b <= 9000)
+    SELECT CAST(k AS VARCHAR) AS natural_key, k AS key, name, round(b + CASE WHEN one THEN 1 WHEN two THEN 2 ELSE 0 END, 2) AS balance, CAST(nation AS BIGINT) AS nation, '{scenario.BASE}/s/' || k AS source_url,
+        CASE WHEN b < -500 THEN {_T[1]} ELSE {_T[0]} END AS first_seen, {_T[2]} AS last_seen, CASE WHEN two THEN {_T[2]} WHEN b < -500 OR one OR twice THEN {_T[1]} ELSE {_T[0]} END AS last_changed,
+        CASE WHEN two THEN {_T[2]} WHEN away THEN {_T[0]} ELSE {_T[1]} END AS fetched_at, NULL::TIMESTAMP AS gone_at, CASE WHEN two THEN 3 WHEN b < -500 OR one OR twice THEN 2 ELSE 1 END::BIGINT AS run_id, 3::BIGINT AS seen_run_id FROM p"""
+)
+def site_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items after three runs: new, updated, unchanged, listed twice, skipped, gone and back."""
+    v = F.try_parse_json("data")
+    got = lambda k, t: F.try_variant_get(v, f"$.{k}", t).alias(k)
+    return _runs(spark, d)[0].items().select("natural_key", got("key", "bigint"), got("name", "string"), got("balance", "double"), got("nation", "bigint"), "source_url", "first_seen", "last_seen", "last_changed", "fetched_at", "gone_at", "run_id", "seen_run_id")
+
+
+_PAGES = f"""blocks AS (SELECT DISTINCT k // {2 * scenario.PAGE} AS block FROM s), pages AS (SELECT DISTINCT r, k // {2 * scenario.PAGE} AS block, k // {scenario.PAGE} % 2 AS second FROM s, (VALUES (1), (2), (3)) AS t(r) WHERE r = 1 OR b <= 9000 AND (r = 3 OR NOT (b >= 0 AND b < 500))),
+    listing AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE second = 0) AS firsts, count(*) FILTER (WHERE second = 1) AS seconds FROM pages GROUP BY r)"""
+
+
+@query(
+    f"""WITH {_S}, {_PAGES}, c AS (SELECT count(*) FILTER (WHERE passes) + count(*) FILTER (WHERE passes AND b >= -500 AND b < 0) AS seen1, count(*) FILTER (WHERE NOT passes) + count(*) FILTER (WHERE NOT passes AND b >= -500 AND b < 0) AS out1, count(*) FILTER (WHERE b > 9000) AS bad,
+        count(*) FILTER (WHERE passes AND b < -500) AS lost, count(*) FILTER (WHERE passes AND b < -900) AS barred, count(*) FILTER (WHERE passes AND b >= -500 AND b < 0) AS twice, count(*) FILTER (WHERE passes AND b >= 0 AND b < 500) AS away, count(*) FILTER (WHERE NOT passes AND b >= 0 AND b < 500) AS out_away,
+        count(*) FILTER (WHERE passes AND b <= 9000) AS ok, count(*) FILTER (WHERE NOT passes) AS out_, count(*) FILTER (WHERE passes AND b >= 1000 AND b < 3000) AS one, count(*) FILTER (WHERE passes AND b >= 4000 AND b < 5000) AS two FROM s)
+    SELECT 1 AS run, 'ok' AS status, seen1 AS items_seen, out1 AS items_filtered, bad AS items_invalid, bad AS empty_names, n + (firsts - seconds) + ok - lost + bad AS pages, 0 AS pages_cached, ok - lost AS items_new, twice AS items_updated, 0 AS items_unchanged, 0 AS items_skipped, 0 AS items_gone, lost + bad AS errors FROM c, listing WHERE r = 1
+    UNION ALL SELECT 2, 'ok', ok - away, out_ - out_away, 0, 0, n + (firsts - seconds) + ok - away, 0, lost, one + twice, ok - away - lost - one - twice, 0, away, 0 FROM c, listing WHERE r = 2
+    UNION ALL SELECT 3, 'ok', ok, out_, 0, 0, n + (firsts - seconds) + two, 0, 0, two, 0, ok - two, 0, 0 FROM c, listing WHERE r = 3"""
+)
+def site_reports(spark: SparkSession, d: str) -> DataFrame:
+    """What each run reported: records seen, filtered, invalid, new, updated, unchanged, skipped and gone, pages and errors."""
+    return _runs(spark, d)[1]
+
+
+@query(
+    f"""WITH {_S} SELECT 1::BIGINT AS run_id, CASE WHEN b < -900 THEN '{scenario.BASE}/x/' || k WHEN b < -500 THEN '{scenario.BASE}/s/' || k ELSE '{scenario.BASE}/s/' || k END AS url, CASE WHEN b < -900 THEN 'robots' WHEN b < -500 THEN 'fetch' ELSE 'validate' END AS kind,
+    CASE WHEN b < -900 THEN 'robots: forbidden by robots.txt' WHEN b < -500 THEN 'no response' ELSE 'required but empty: name' END AS message FROM s WHERE passes AND (b < -500 OR b > 9000)"""
+)
+def site_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The error log: forbidden pages, pages that aren't there, and records that lack a required field."""
+    return _runs(spark, d)[0].log("errors").select("run_id", "url", "kind", "message")
+
+
+@query(
+    f"""WITH {_S}, {_PAGES}, d AS (SELECT r, k FROM s, (VALUES (1), (2), (3)) AS t(r) WHERE passes AND CASE r WHEN 1 THEN b >= -500 WHEN 2 THEN b <= 9000 AND NOT (b >= 0 AND b < 500) ELSE b >= 4000 AND b < 5000 END)
+    SELECT r::BIGINT AS run_id, '{scenario.BASE}/l/' || block || CASE WHEN second = 1 THEN '/2' ELSE '' END AS url, 'list' AS kind, 200 AS status FROM pages
+    UNION ALL SELECT p.r::BIGINT, '{scenario.BASE}/l/' || block || '/2', 'list', 404 FROM pages p WHERE second = 0 AND NOT EXISTS (SELECT 1 FROM pages q WHERE q.r = p.r AND q.block = p.block AND q.second = 1)
+    UNION ALL SELECT r::BIGINT, '{scenario.BASE}/s/' || k, 'detail', 200 FROM d"""
+)
+def site_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The page log: list pages by their next links, up to a 404 or a page seen before, and each detail page once."""
+    return _runs(spark, d)[0].log("pages").select("run_id", "url", "kind", "status")
+
+
+@query(
+    f"""WITH {_S}, p AS (SELECT *, row_number() OVER (ORDER BY k // {2 * scenario.PAGE}, k // {scenario.PAGE} % 2, k) AS place FROM s WHERE passes), first_ AS (SELECT k, b, sum(CASE WHEN b >= -500 AND b < 0 THEN 2 ELSE 1 END) OVER (ORDER BY place) AS upto FROM p)
+    SELECT k AS natural_key FROM first_ WHERE b >= -500 AND b <= 9000 AND upto - CASE WHEN b < 0 THEN 1 ELSE 0 END <= 30"""
+)
+def site_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The limit is the feature: the records stored of the first 30 that pass the filters, in the order of the listing."""
+    return _runs(spark, d, 30)[0].items().select(F.col("natural_key").cast("bigint").alias("natural_key"))
+
+
+@query(f"WITH {_S} SELECT count(*) AS items, 1::BIGINT AS first, count(*) AS last, count(*) AS ids FROM s WHERE passes AND b <= 9000")
+def site_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids are unique and without gaps, as no run failed."""
+    return _runs(spark, d)[0].items().agg(F.count(F.lit(1)).alias("items"), F.min("id").alias("first"), F.max("id").alias("last"), F.count_distinct("id").alias("ids"))
+
+
+@query("""SELECT id, site, natural_key, CASE WHEN seen_run_id IS NOT NULL AND run_id = seen_run_id THEN NULL WHEN gone_at IS NULL THEN TIMESTAMP '2026-05-01 12:00:00' ELSE gone_at END AS gone_at FROM items""")
+def gone_and_back(spark: SparkSession, d: str) -> DataFrame:
+    """A run that touches the items changed by the last run that saw them, and sees nothing else: those are back, the rest is gone."""
+    items = _stored(spark, d)
+    nothing = lifecycle.classify(items.filter("false").withColumns({"start_pos": F.lit(0), "page_no": F.lit(0), "item_pos": F.lit(0)}), items, ["start_pos", "page_no", "item_pos"])
+    after = lifecycle.upsert(items, nothing, items.filter("run_id = seen_run_id"), 999999, C.moment(NOW), ["start_pos", "page_no", "item_pos"], True)
+    return after.select("id", "site", "natural_key", "gone_at")
