@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.plans.site_run import COUNTERS, SiteRun
-from sedimenta.session import scratch
+from sedimenta.session import cut, scratch
 from sedimenta.sources.store import Store
 from sedimenta.sources.web import Captured
 from sedimenta.spec import Site, parse_site
@@ -73,7 +73,7 @@ def run_all(spark: SparkSession, suppliers: DataFrame, limit: int | None = None)
     robots = spark.createDataFrame([(BASE, 200, ROBOTS)], "origin string, status int, text string")
     told = []
     for run in (1,) if limit is not None else (1, 2, 3):
-        source = Captured(captured(suppliers, run), robots)
+        source = Captured(cut(captured(suppliers, run)), robots)
         r = SiteRun(spark, site(blocks, 30 if run == 3 else None), source, store, limit=limit, now=TIMES[run - 1]).run()
         told.append((run, r.status, r.items_seen, r.items_filtered, r.items_invalid, r.empty_fields.get("name", 0), *(getattr(r, c) for c in COUNTERS)))
     reports = spark.createDataFrame(told, "run int, status string, items_seen int, items_filtered int, items_invalid int, empty_names int, " + ", ".join(f"{c} int" for c in COUNTERS))
