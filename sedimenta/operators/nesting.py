@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ _STRUCT[[0x5B, 0x5D, 0x7B, 0x7D, 0x3A, 0x2C]] = True
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
+_PLAIN = ~(_SPACE | _STRUCT)
+_PLAIN[0x22] = False
 _ESCAPED = np.zeros(256, bool)
 _ESCAPED[list(b'"\\/bfnrtu')] = True
 _HEX = np.zeros(256, bool)
@@ -52,11 +55,10 @@ def _escapes(raw: np.ndarray) -> np.ndarray:
     return back[(np.arange(len(back)) - run) % 2 == 0]
 
 
-def _quotes(raw: np.ndarray) -> np.ndarray:
+def _quotes(raw: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     """Places of quotes that no escape covers."""
     quote = raw == 0x22
-    escaped = _escapes(raw) + 1
-    quote[escaped[escaped < len(raw)]] = False
+    quote[np.minimum(escapes + 1, len(raw) - 1)] = False
     return np.flatnonzero(quote)
 
 
@@ -64,68 +66,83 @@ def _per_body(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, at, side="right") - 1
 
 
-def valid(bodies: list[bytes]) -> np.ndarray:
-    """Which bodies are one JSON value each. A body with odd quotes or brackets would shift what follows, so such are left out first."""
-    good = np.array([b"\x00" not in b for b in bodies], bool)
-    for test in (_even_quotes, _balanced, _grammar):
-        at = np.flatnonzero(good)
-        if not len(at):
-            break
-        joined, starts = _join([bodies[i] for i in at])
-        good[at[test(joined, np.frombuffer(joined, np.uint8), starts)]] = False
-    return good
-
-
-def _join(bodies: list[bytes]) -> tuple[bytes, np.ndarray]:
-    """Bodies, each ended by a line feed, and where each starts."""
-    lengths = np.fromiter((len(b) + 1 for b in bodies), np.int64, len(bodies))
-    return b"\n".join(bodies) + b"\n", np.concatenate([[0], np.cumsum(lengths)[:-1]])
+@dataclass
+class Scan:
+    """Bodies joined, each ended by a line feed: the bytes, where each starts, which are JSON, and of those the places of the quotes that delimit strings and of structural bytes outside strings."""
+
+    joined: bytes
+    raw: np.ndarray
+    starts: np.ndarray
+    good: np.ndarray
+    quotes: np.ndarray
+    struct: np.ndarray
+
 
+def scan(bodies: list[bytes]) -> Scan:
+    """Bitmaps of all bodies at once. One with odd quotes or brackets would shift what follows, so it is blanked before the next step."""
+    lengths = np.fromiter((len(b) + 1 for b in bodies), np.int64, len(bodies))
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    joined = b"\n".join(bodies) + b"\n" if bodies else b""
+    raw = np.frombuffer(joined, np.uint8).copy()
+    ends = starts + lengths - 1
+    good = np.ones(len(bodies), bool)
 
-def _even_quotes(joined: bytes, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The bodies with an odd number of quotes, or that end in the midst of an escape."""
-    ends = np.append(starts[1:], len(raw)) - 1
-    cut_off = np.isin(ends - 1, _escapes(raw)) & (ends > starts)
-    counts = np.bincount(_per_body(_quotes(raw), starts), minlength=len(starts))
-    return np.flatnonzero((counts % 2 == 1) | cut_off)
+    def without(at: np.ndarray) -> np.ndarray:
+        return at[good[_per_body(at, starts)]]
 
+    def blank(bad: np.ndarray) -> None:
+        good[bad] = False
+        for i in bad.tolist():
+            raw[starts[i] : ends[i]] = 0x20
 
-def _balanced(joined: bytes, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The bodies whose brackets outside strings don't pair: more closed than opened somewhere, or in all."""
-    _, struct = _bitmaps(raw)
+    escapes = _escapes(raw)
+    quotes = _quotes(raw, escapes)
+    odd = np.bincount(_per_body(quotes, starts), minlength=len(starts)) % 2 == 1
+    odd[_per_body(escapes[np.isin(escapes + 1, ends)], starts)] = True  # an escape of the line feed after the body
+    odd[_per_body(np.flatnonzero(raw == 0), starts)] = True
+    blank(np.flatnonzero(odd))
+    quotes, escapes = without(quotes), without(escapes)
+    edge = np.zeros(len(raw), np.int8)
+    edge[quotes[0::2]], edge[quotes[1::2]] = 1, -1
+    inside = np.cumsum(edge, dtype=np.int8).view(bool)  # from the opening quote up to before the closing one
+    struct = np.flatnonzero(_STRUCT[raw] & ~inside)
     step = _OPEN[raw[struct]].astype(np.int64) - _CLOSE[raw[struct]]
     total = np.concatenate([[0], np.cumsum(step)])
-    edge = np.searchsorted(struct, np.append(starts, len(raw)))
-    bad = total[edge[1:]] != total[edge[:-1]]
-    body = _per_body(struct, starts)
-    low = np.full(len(starts), 0)
-    np.minimum.at(low, body, total[1:] - total[edge[:-1]][body])
-    return np.flatnonzero(bad | (low < 0))
-
-
-def _grammar(joined: bytes, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The bodies in which a token stands where it mustn't, or is none. Quotes and brackets are even in all."""
-    quotes, struct = _bitmaps(raw)
-    wrong = []
-    inside = np.zeros(len(raw) + 1, np.int8)
-    inside[quotes[0::2]], inside[quotes[1::2]] = 1, -1
-    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)  # from the opening quote up to before the closing one
-    wrong.append(np.flatnonzero(inside & (raw < 0x20)))
-    escapes = _escapes(raw)
+    at = np.searchsorted(struct, np.append(starts, len(raw)))
+    low = np.zeros(len(starts), np.int64)
+    np.minimum.at(low, _per_body(struct, starts), total[1:] - total[at[:-1]][_per_body(struct, starts)])
+    uneven = np.flatnonzero((total[at[1:]] != total[at[:-1]]) | (low < 0))
+    if len(uneven):
+        blank(uneven)
+        for i in uneven.tolist():
+            inside[starts[i] : ends[i]] = False
+        quotes, escapes, struct = without(quotes), without(escapes), without(struct)
+    good[_grammar(joined, raw, starts, ends, good, inside, escapes, quotes, struct)] = False
+    return Scan(joined, raw, starts, good, without(quotes), without(struct))
+
+
+def valid(bodies: list[bytes]) -> np.ndarray:
+    """Which bodies are one JSON value each."""
+    return scan(bodies).good
+
+
+def _grammar(joined: bytes, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, good: np.ndarray, inside: np.ndarray, escapes: np.ndarray, quotes: np.ndarray, struct: np.ndarray) -> np.ndarray:
+    """The bodies in which a token stands where it mustn't, or is none, among those whose quotes and brackets are even."""
+    wrong = [np.flatnonzero(inside & (raw < 0x20))]
     escapes = escapes[inside[escapes]]
     wrong.append(escapes[~_ESCAPED[raw[escapes + 1]]])
     units = escapes[raw[escapes + 1] == 0x75]
     hexes = np.minimum(units[:, None] + np.arange(2, 6), len(raw) - 1)
     wrong.append(units[~_HEX[raw[hexes]].all(axis=1)])
     # scalars: runs of what is neither string, bracket, mark nor space
-    plain = ~inside & ~_STRUCT[raw] & ~_SPACE[raw] & (raw != 0x22)
-    edges = np.diff(np.concatenate([[0], plain.view(np.int8), [0]]))
-    begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    plain = _PLAIN[raw] & ~inside
+    change = np.flatnonzero(np.concatenate([plain[:1], plain[1:] != plain[:-1], plain[-1:]]))
+    begin, end = change[0::2], change[1::2]
     spans = [joined[i:j] for i, j in zip(begin.tolist(), end.tolist())]
     fits = {t: SCALAR.fullmatch(t) is not None for t in set(spans)}
     wrong.append(begin[~np.fromiter((fits[t] for t in spans), bool, len(spans))])
     # all tokens in order, with the end of each body as one
-    ends = np.append(starts[1:], len(raw)) - 1
+    ends = ends[good]
     place = np.concatenate([struct, quotes[0::2], begin, ends])
     kind = np.concatenate([raw[struct], np.full(len(quotes) // 2, _STRING, np.uint8), np.full(len(begin), _VALUE, np.uint8), np.full(len(ends), _END, np.uint8)])
     order = np.argsort(place, kind="stable")
@@ -157,20 +174,9 @@ def _grammar(joined: bytes, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.unique(_per_body(np.concatenate(wrong), starts))
 
 
-def _bitmaps(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of quotes that delimit strings and of structural bytes outside strings."""
-    quotes = _quotes(raw)
-    parity = np.zeros(len(raw), np.int8)
-    parity[quotes] = 1
-    inside = np.cumsum(parity, dtype=np.int64) & 1
-    return quotes, np.flatnonzero(_STRUCT[raw] & (inside == 0))
-
-
-def index(bodies: list[bytes], levels: dict[str, str | None], with_fields: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], list[str], list[dict[str, str | None]]]:
+def index(found: Scan, levels: dict[str, str | None], with_fields: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], list[str], list[dict[str, str | None]]]:
     """Nodes of valid bodies, in order of place: body, start, end (in bytes of the body), parent's place in this list or -1, level, name, and with_fields their own members."""
-    joined, starts = _join(bodies)
-    raw = np.frombuffer(joined, np.uint8)
-    quotes, struct = _bitmaps(raw)
+    joined, raw, starts, quotes, struct = found.joined, found.raw, found.starts, found.quotes, found.struct
     kind = raw[struct]
     step = _OPEN[kind].astype(np.int64) - _CLOSE[kind]
     depth = np.cumsum(step) + _CLOSE[kind]  # of a bracket: the depth of its inside; of others: that of where they stand
@@ -182,16 +188,13 @@ def index(bodies: list[bytes], levels: dict[str, str | None], with_fields: bool
     colons = np.flatnonzero(kind == 0x3A)
     q = np.searchsorted(quotes, struct[colons]) - 1
     key_from, key_to = quotes[q - 1] + 1, quotes[q]
-    cache: dict[bytes, str] = {}
-
-    def key(a: int, b: int) -> str:
-        k = joined[a:b]
-        if k not in cache:
-            cache[k] = LONE.sub("\ufffd", json.loads(b'"' + k + b'"')) if b"\\" in k else k.decode("utf-8", "replace")
-        return cache[k]
-
-    keys = [key(a, b) for a, b in zip(key_from.tolist(), key_to.tolist())]
-    wanted = np.fromiter((k in levels for k in keys), bool, len(keys))
+    numbers: dict[bytes, int] = {}
+    key_no = np.fromiter((numbers.setdefault(joined[a:b], len(numbers)) for a, b in zip(key_from.tolist(), key_to.tolist())), np.int64, len(colons))
+    spelled = [LONE.sub("\ufffd", json.loads(b'"' + k + b'"')) if b"\\" in k else k.decode("utf-8", "replace") for k in numbers]
+    by_text: dict[str, int] = {}
+    same = np.array([by_text.setdefault(k, i) for i, k in enumerate(spelled)], np.int64) if spelled else np.zeros(0, np.int64)
+    key_no = same[key_no]  # keys that are written in different ways are one
+    wanted = np.array([k in levels for k in spelled], bool)[key_no] if spelled else np.zeros(0, bool)
     # the bracket that a key's value opens, if it opens one: the structural byte right after its colon, nothing but space between
     after = np.minimum(colons + 1, len(struct) - 1)
     opens = _OPEN[kind[after]] & (after > colons)
@@ -210,10 +213,10 @@ def index(bodies: list[bytes], levels: dict[str, str | None], with_fields: bool
         level_at[braces[under]] = of_array[owner[under]]
     place = np.flatnonzero(level_at >= 0)
     owners = _enclosing(kind, depth, close_of, colons)
-    place = _last_of_repeated(place, level_at, keys, colons, kind, owners, close_of)
+    place = _last_of_repeated(place, level_at, key_no, colons, kind, owners, close_of)
     colon_no = np.full(len(struct), -1)
     colon_no[colons] = np.arange(len(colons))
-    level_of = [keys[i] for i in colon_no[level_at[place]].tolist()]
+    level_of = [spelled[i] for i in key_no[colon_no[level_at[place]]].tolist()]
     start, end = struct[place], struct[close_of[place]] + 1
     # the colons of a node's own members, and among them its name
     names = [""] * len(place)
@@ -224,10 +227,12 @@ def index(bodies: list[bytes], levels: dict[str, str | None], with_fields: bool
         nxt = colons[c] + 1
         return joined[struct[colons[c]] + 1 : struct[close_of[nxt]] + 1 if opens[c] else struct[nxt]]
 
-    candidates = np.flatnonzero(np.fromiter((k in naming for k in keys), bool, len(keys)))
+    is_node = np.zeros(len(struct) + 1, bool)
+    is_node[place] = True
+    candidates = np.flatnonzero(np.array([k in naming for k in spelled], bool)[key_no] & is_node[owners]) if spelled else np.zeros(0, np.int64)
     for c, o in zip(candidates.tolist(), owners[candidates].tolist()):
-        n = by_place.get(o)
-        if n is not None and levels[level_of[n]] == keys[c]:
+        n = by_place[o]
+        if levels[level_of[n]] == spelled[key_no[c]]:
             names[n] = _text(value(c)) or ""  # of repeated members the last counts, as they come in order
     fields: list[dict[str, str | None]] = [{} for _ in level_of] if with_fields else []
     if with_fields and len(place):
@@ -239,7 +244,7 @@ def index(bodies: list[bytes], levels: dict[str, str | None], with_fields: bool
             at = home.get(o)
             if at is None or (wanted[c] and opens[c]):
                 continue
-            path = at[1] + keys[c]
+            path = at[1] + spelled[key_no[c]]
             if is_object[c]:
                 home.setdefault(int(colons[c]) + 1, (at[0], f"{path}."))
             else:
@@ -261,12 +266,10 @@ def _enclosing(kind: np.ndarray, depth: np.ndarray, close_of: np.ndarray, at: np
     return np.where(good, found % span, -1)
 
 
-def _last_of_repeated(place, level_at, keys, colons, kind, owner, close_of):
+def _last_of_repeated(place, level_at, key_no, colons, kind, owner, close_of):
     """place without nodes that lie under a member whose key the same object repeats later: a JSON object keeps the last."""
     used = np.unique(level_at[place])
-    names = {}
-    code = np.fromiter((names.setdefault(k, len(names)) for k in keys), np.int64, len(keys))
-    pair = owner * (len(names) + 1) + code
+    pair = owner * (key_no.max(initial=0) + 1) + key_no
     last = np.full(len(pair), True)
     order = np.lexsort((np.arange(len(pair)), pair))
     last[order[:-1]] = pair[order[1:]] != pair[order[:-1]]
@@ -309,17 +312,16 @@ def _parents(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def nodes(bodies: list[str], levels: dict[str, str | None] = LEVELS, with_json: bool = False, with_fields: bool = False) -> dict[str, list | np.ndarray]:
     """Columns of the nodes of bodies that are valid JSON: body, ordinal, parent (an ordinal or -1), node_level, name, depth, node_path, node_json, fields."""
     coded = [b.removeprefix("\ufeff").encode("utf-8", "surrogatepass") for b in bodies]
-    good = np.flatnonzero(valid(coded)) if coded else np.zeros(0, np.int64)
-    kept = [coded[i] for i in good]
-    body, start, end, parent, level_of, names, fields = index(kept, levels, with_fields) if kept else (*[np.zeros(0, np.int64)] * 4, [], [], [])
+    found = scan(coded)
+    body, start, end, parent, level_of, names, fields = index(found, levels, with_fields) if found.good.any() else (*[np.zeros(0, np.int64)] * 4, [], [], [])
     ordinal = np.arange(len(body)) - np.searchsorted(body, body)
     paths: list[str] = []
     depths = np.zeros(len(body), np.int32)
     for n, p in enumerate(parent.tolist()):
         paths.append(names[n] if p < 0 else f"{paths[p]} > {names[n]}")
         depths[n] = 0 if p < 0 else depths[p] + 1
-    text = [kept[b][s:e].decode("utf-8", "replace") for b, s, e in zip(body.tolist(), start.tolist(), end.tolist())] if with_json else None
-    return {"body": good[body] if len(good) else body, "ordinal": ordinal, "parent": np.where(parent < 0, -1, ordinal[np.maximum(parent, 0)]) if len(body) else parent, "node_level": level_of, "name": names, "depth": depths, "node_path": paths, "node_json": text, "fields": fields if with_fields else None}
+    text = [coded[b][s:e].decode("utf-8", "replace") for b, s, e in zip(body.tolist(), start.tolist(), end.tolist())] if with_json else None
+    return {"body": body, "ordinal": ordinal, "parent": np.where(parent < 0, -1, ordinal[np.maximum(parent, 0)]) if len(body) else parent, "node_level": level_of, "name": names, "depth": depths, "node_path": paths, "node_json": text, "fields": fields if with_fields else None}
 
 
 def flatten(df: DataFrame, key: str = "json_id", body: str = "body", levels: dict[str, str | None] | None = None, with_json: bool = False, with_fields: bool = False) -> DataFrame:
