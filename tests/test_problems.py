@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.functions.chains import linked
+from sedimenta.functions.fields import fields
 from sedimenta.operators import drift, history, increments, nesting, profile
 from sedimenta.plans import problems
 from sedimenta.sources.pointer import Conflict
@@ -461,3 +462,34 @@ def test_drift_casts_and_defaults(spark):
     assert rows[121]["fields"] == none and rows[122]["fields"] == none and rows[122]["failed"] == {}
     given = rules.withColumn("default", F.when(F.col("field") == "solo", "?"))
     assert {r["load_id"]: r["fields"]["solo"] for r in drift.conform(table, runs, prints, found, given).collect()}.items() >= {103: "s", 203: "?"}.items()
+
+
+def test_repeated_keys_have_their_last_value(spark):
+    """In every problem: as fields, as states, in tables and nodes."""
+    twice = '{"a":1,"b":2,"a":3,"item":{"identificador":"x"},"item":{"identificador":"y"}}'
+    table = loads(spark, [load(1, data=twice, seen=1), load(2, data='{"b":2,"item":{"identificador":"y"},"a":3}', seen=2)])
+    assert {(r["load_id"], r["field"], r["v"]) for r in fields(table.drop("field", "value", "kind"), "data", "load_id").withColumn("v", F.to_json("value")).collect() if r["field"] == "a"} == {(1, "a", "3"), (2, "a", "3")}
+    assert versions(spark, [load(1, data=twice, seen=1), load(2, data='{"b":2,"item":{"identificador":"y"},"a":3}', seen=2)]) == [("k", at(1))]
+    runs = spark.createDataFrame([(1, "s", at(0), at(9), "ok")], RUNS)
+    prints = drift.fingerprints(table, runs)
+    got = {r["load_id"]: r["fields"] for r in drift.conform(table, runs, prints, drift.steps(prints, table)).collect()}
+    assert got[1] == got[2] == {"a": "3", "b": "2", "item": '{"identificador":"y"}'}
+    assert [n["node_path"] for n in nesting.flatten(table.select(F.col("load_id").alias("json_id"), F.col("data").alias("body"))).collect()] == ["y", "y"]
+
+
+def test_patterns_are_checked_where_they_run(spark):
+    patterns = {"a{": None, "[a[b]": None, "(?P<a>x)(?P=a)": None, "(": None, "(?P<y>[0-9]{4})": "(?d)(?<y>[0-9]{4})", "^x\\Z": "(?d)^x\\z", "": "(?d)"}
+    rows = [("s", f"f{i}", p, None, None) for i, p in enumerate(patterns)] + [("s", "none", None, None, None)]
+    declared = spark.createDataFrame(rows, "site string, field string, pattern string, min_value double, max_value double")
+    got = {r["field"]: r["pattern"] for r in profile.declared(declared).collect()}
+    assert [got[f"f{i}"] for i in range(len(patterns))] == list(patterns.values()) and got["none"] is None
+    data = [json.dumps({f"f{i}": v for i in range(len(patterns))}) for v in ("2026", "x", "x\n")]
+    table = loads(spark, [load(i, f"k{i}", d, seen=1) for i, d in enumerate(data)]).drop("field", "value", "kind")
+    few, profile.COMPILED = profile.COMPILED, 1  # the others are compiled with each row
+    try:
+        one = {(r["field"], r["mask"]): r["bad"] for r in profile.mask_counts(table, declared).collect()}
+    finally:
+        profile.COMPILED = few
+    many = {(r["field"], r["mask"]): r["bad"] for r in profile.mask_counts(table, declared).collect()}
+    assert one == many and one["f4", "9999"] == 0 and one["f4", "a"] == 1 and one["f0", "a"] == 0 and one["f5", "a"] == 0
+    assert sum(n for (f, m), n in one.items() if f == "f5") == 2
