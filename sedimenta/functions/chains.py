@@ -63,3 +63,20 @@ def linked(
     across = before.over(Window.partitionBy(*keys, lane).orderBy(*order))
     warm = warm.withColumn("_prev", F.coalesce("_prev", F.when(F.col("_edge"), across))).drop("_edge", "_slice")
     return only(cold).unionByName(only(warm))
+
+
+def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], spread: str, hot_rows: int = HOT_ROWS, how: str = "left") -> DataFrame:
+    """rows joined with small, which has few rows for each of keys; rows of keys with many rows are dealt out by spread over lanes, and small's are copied to each.
+
+    Never a broadcast: small has no bound, and its size on disk, by which it would be chosen, says little about that in memory.
+    """
+    small = small.hint("merge")
+    hot, limit = hot_keys(rows, keys, hot_rows)
+    if not hot:
+        return rows.join(small, keys, how)
+    shape = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    lanes = [(*(r[k] for k in keys), -(-r["_n"] // limit)) for r in hot]
+    few = F.broadcast(rows.sparkSession.createDataFrame(lanes, f"{shape}, _lanes int"))
+    dealt = rows.join(few, keys, "left").withColumn("_lane", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_lanes")), F.lit(0)).cast("int")).drop("_lanes")
+    copied = small.join(few, keys, "left").withColumn("_lane", F.explode(F.sequence(F.lit(0), F.coalesce("_lanes", F.lit(1)) - 1))).drop("_lanes").hint("merge")
+    return dealt.join(copied, [*keys, "_lane"], how).drop("_lane")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.functions.chains import HOT_ROWS, linked
+from sedimenta.functions.chains import HOT_ROWS, join_hot, linked
 from sedimenta.functions.fields import fields, kind_of, loads_of
 from sedimenta.session import cut
 
@@ -74,7 +74,7 @@ def _agreeing(pairs: DataFrame, item_loads: DataFrame) -> DataFrame:
     sides = pairs.select("site", F.col("prev_run").alias("load_run_id"), F.col("field").alias("key")).unionByName(pairs.select("site", F.col("run_id").alias("load_run_id"), F.col("new_field").alias("key")))
     sides = sides.distinct().groupBy("site", "load_run_id").agg(F.collect_list("key").alias("wanted"))
     rows = item_loads.filter(F.col("natural_key").isNotNull()).select("site", "load_run_id", "natural_key", "data", "load_id", "loaded_at", F.coalesce("gone_at", "last_seen").alias("moment"))
-    rows = rows.join(sides, ["site", "load_run_id"])
+    rows = join_hot(rows, sides, ["site", "load_run_id"], "load_id", how="inner")
     parsed = rows.select("site", "load_run_id", "natural_key", F.struct("moment", "loaded_at", "load_id").alias("place"), "wanted", "data")
     latest = parsed.groupBy("site", "load_run_id", "natural_key").agg(F.max_by(F.struct("data", "wanted"), "place").alias("last"))
     latest = latest.select("site", "load_run_id", "natural_key", "last.data", "last.wanted")
@@ -150,7 +150,7 @@ def cast_text(value: Column, text: Column, kind: Column, target: Column) -> Colu
 def conform(item_loads: DataFrame, runs: DataFrame, prints: DataFrame, found: DataFrame, rules_of: DataFrame | None = None) -> DataFrame:
     """All rows in one shape: load_id, site, natural_key, run_id, file_name, fields, and with rules_of (targets()) failed.
 
-    fields maps each field's latest name to its value as text (strings as they are, others as JSON), so a field that
+    fields maps each field's latest name to its value as text (strings as they are, others as canonical JSON), so a field that
     changes its type reads the same everywhere; null values are kept. If two keys of a row end under one name, the one
     that has that name already counts, unless it is null. data that is no JSON object gives an empty map.
 
@@ -162,7 +162,12 @@ def conform(item_loads: DataFrame, runs: DataFrame, prints: DataFrame, found: Da
     ruled = began.join(names, "site").filter(F.col("started_at") < F.col("since"))
     ruled = ruled.groupBy("site", "load_run_id", "field").agg(F.min_by("name", "since").alias("name"))
     rules = ruled.groupBy("site", "load_run_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("rules"))
-    rows = item_loads.select("load_id", "site", "natural_key", "load_run_id", "file_name", F.try_variant_get(F.try_parse_json("data"), "$", "map<string,variant>").alias("values")).join(rules, ["site", "load_run_id"], "left")
+    if rules_of is not None:  # all a load needs comes with one join; fields in half of a load's rows: few
+        per_site = rules_of.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("field", "type"))).alias("types"), F.map_from_entries(F.collect_list(F.struct("field", "default"))).alias("defaults"))
+        rules = item_loads.select("site", "load_run_id").distinct().join(rules, ["site", "load_run_id"], "left").join(per_site, "site", "left")
+    rows = item_loads.select("load_id", "site", "natural_key", "load_run_id", "file_name", "data")
+    rows = join_hot(rows, cut(rules), ["site", "load_run_id"], "load_id")
+    rows = rows.withColumn("values", F.try_variant_get(F.try_parse_json("data"), "$", "map<string,variant>"))
     entry = F.map_entries(F.coalesce("values", F.create_map().cast("map<string,variant>")))
     entry = F.transform(entry, lambda e: F.struct(e["key"], e["value"], F.coalesce(kind_of(e["value"]), F.lit("null")).alias("kind")))
     text = lambda e: F.when(e["kind"] == "string", F.try_variant_get(e["value"], "$", "string")).when(e["kind"] != "null", F.to_json(e["value"]))
@@ -173,8 +178,6 @@ def conform(item_loads: DataFrame, runs: DataFrame, prints: DataFrame, found: Da
     if rules_of is None:
         named = F.transform(entry, lambda e: F.struct(*place(e), e["text"].alias("value")))
     else:
-        per_site = rules_of.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("field", "type"))).alias("types"), F.map_from_entries(F.collect_list(F.struct("field", "default"))).alias("defaults"))
-        rows = rows.join(cut(per_site), "site", "left")  # fields in half of a load's rows: few
         typed = lambda e: cast_text(e["value"], e["text"], e["kind"], F.try_element_at("types", to(e["key"])))
         named = F.transform(entry, lambda e: F.struct(*place(e), typed(e).alias("value"), e["text"].alias("text")))
     rows = rows.withColumn("best", F.sort_array(named))
