@@ -126,7 +126,7 @@ def cast_text(value: Column, text: Column, kind: Column, target: Column) -> Colu
     """A value (variant, its text and kind) as text of the target type, null where it can't be: casts lose nothing.
 
     Strings and JSON texts of numbers and booleans stand for each other if they read as such. A list of one value, or an
-    object of one entry, stands for that value, and a value for a list of it. Where target is null, or the kind already
+    object of one entry, stands for that value, and a value for a list of it; null stays null. Where target is null, or the kind already
     is the target, the text stays.
     """
     elements = F.try_variant_get(value, "$", "array<variant>")
@@ -138,7 +138,7 @@ def cast_text(value: Column, text: Column, kind: Column, target: Column) -> Colu
     scalar = inner_kind.isin("string", "number", "boolean")
     number = plain.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
     return (
-        F.when(target.isNull() | (kind == target), text)
+        F.when(target.isNull() | (kind == target) | (kind == "null"), text)
         .when((target == "string") & scalar, plain)
         .when((target == "number") & scalar & number, plain)
         .when((target == "boolean") & scalar & plain.isin("true", "false"), plain)

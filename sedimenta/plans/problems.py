@@ -25,6 +25,12 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.conform(loads, runs, prints, found, drift.targets(prints, found))
 
 
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """The table of p2_table, a row per load row and field, with the text of a value that can't be cast."""
+    rows = p2_table(spark, d).select("load_id", F.explode("fields").alias("field", "value"), "failed")
+    return rows.select("load_id", "field", "value", F.try_element_at("failed", "field").alias("failed"))
+
+
 def p2_versions(spark: SparkSession, d: str) -> DataFrame:
     prints = drift.fingerprints(table(spark, d, "item_loads"), table(spark, d, "runs"))
     return prints.select("site", "run_id", "fingerprint", F.col("prev.fingerprint").alias("prev_fingerprint"), F.size("held").alias("n_fields"))
@@ -114,7 +120,7 @@ def p6_masks(spark: SparkSession, d: str) -> DataFrame:
     return profile.mask_report(profile.mask_counts(loads, table(spark, d, "site_fields"), spaced=True, nested=True), loads, runs)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_table, p2_versions, p3_found, p3_history, p4_found, p4_nodes, p4_members, p5_found, p6_found, p6_profile, p6_masks, p6_columns)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_table, p2_values, p2_versions, p3_found, p3_history, p4_found, p4_nodes, p4_members, p5_found, p6_found, p6_profile, p6_masks, p6_columns)}
 QUERIES |= {f"p4_{level}": _level(level) for level in TABLES}
 
 
@@ -230,3 +236,24 @@ _COLUMNS = {
     "run_reports": {"run_id": _BIG, "site": _TEXT, "items_seen": _INT, "items_skipped": _INT, "items_invalid": _INT, "items_filtered": _INT, "warnings": "array<string>", "empty_fields": "map<string,bigint>"},
 }
 ORACLES["p6_columns"] = " UNION ALL ".join(_columns_of(n, c) for n, c in _COLUMNS.items())
+
+_KIND = "CASE json_type({0}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' ELSE 'number' END"
+_JSON = """CASE {1} WHEN 'number' THEN CASE WHEN CAST({0} AS VARCHAR) LIKE '%.%' THEN regexp_replace(regexp_replace(CAST({0} AS VARCHAR), '0+$', ''), '[.]$', '') ELSE CAST({0} AS VARCHAR) END
+        WHEN 'object' THEN (SELECT '{{' || coalesce(string_agg(CAST(to_json(o.key) AS VARCHAR) || ':' || CAST(o.value AS VARCHAR), ',' ORDER BY o.key), '') || '}}' FROM json_each({0}) o) ELSE CAST({0} AS VARCHAR) END"""
+ORACLES["p2_values"] = f"""WITH RECURSIVE {ORACLES["p2_found"].removeprefix("WITH ").split("    SELECT site, run_id, 'renamed' AS change_kind")[0].rstrip()},
+    began AS (SELECT id, min(started_at) AS at FROM runs GROUP BY id),
+    hops AS (SELECT r.site, r.field, b.at AS since, min(r.new_field) AS name FROM renamed r JOIN began b ON b.id = r.run_id GROUP BY r.site, r.run_id, r.field, b.at),
+    keys AS (SELECT DISTINCT site, run_id, field AS key FROM f),
+    chain AS (SELECT k.site, k.run_id, k.key, k.key AS name, b.at, 0 AS step FROM keys k JOIN began b ON b.id = k.run_id
+        UNION ALL (SELECT c.site, c.run_id, c.key, h.name, h.since, c.step + 1 FROM chain c JOIN hops h ON h.site = c.site AND h.field = c.name AND h.since > c.at QUALIFY row_number() OVER (PARTITION BY c.site, c.run_id, c.key ORDER BY h.since) = 1)),
+    latest AS (SELECT site, run_id, key, arg_max(name, step) AS name FROM chain GROUP BY ALL),
+    targets AS (SELECT h.site, l.name AS field, last(h.top ORDER BY b.at, h.run_id, h.top) FILTER (WHERE 2 * h.top_n > h.filled) AS target FROM held h JOIN latest l ON l.site = h.site AND l.run_id = h.run_id AND l.key = h.field JOIN began b ON b.id = h.run_id GROUP BY h.site, l.name),
+    v1 AS (SELECT f.load_id, f.site, f.field AS was, l.name, t.target, f.value, {_KIND.format("f.value")} AS k FROM f JOIN latest l ON l.site = f.site AND l.run_id = f.run_id AND l.key = f.field LEFT JOIN targets t ON t.site = f.site AND t.field = l.name),
+    v2 AS (SELECT *, {_JSON.format("value", "k")} AS js, CASE WHEN k = 'array' THEN CASE WHEN json_array_length(value) = 1 THEN json_extract(value, '$[0]') END WHEN k = 'object' THEN CASE WHEN len(json_keys(value)) = 1 THEN (SELECT any_value(o.value) FROM json_each(value) o) END ELSE value END AS inside FROM v1),
+    v3 AS (SELECT *, CASE k WHEN 'string' THEN json_extract_string(value, '$') WHEN 'null' THEN NULL ELSE js END AS text, CASE WHEN inside IS NOT NULL THEN {_KIND.format("inside")} END AS ik FROM v2),
+    v4 AS (SELECT *, CASE WHEN ik = 'string' THEN json_extract_string(inside, '$') ELSE {_JSON.format("inside", "ik")} END AS plain FROM v3),
+    v5 AS (SELECT *, CASE WHEN target IS NULL OR k = target OR k = 'null' THEN text WHEN target = 'string' AND ik IN ('string', 'number', 'boolean') THEN plain WHEN target = 'number' AND ik IN ('string', 'number', 'boolean') AND regexp_matches(plain, '^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?$') THEN plain
+        WHEN target = 'boolean' AND ik IN ('string', 'number', 'boolean') AND plain IN ('true', 'false') THEN plain WHEN target = 'array' AND k <> 'array' THEN '[' || js || ']' WHEN target = 'object' AND k = 'array' AND ik = 'object' THEN plain END AS value_ FROM v4),
+    best AS (SELECT load_id, site, name, value_, text FROM v5 QUALIFY row_number() OVER (PARTITION BY load_id, name ORDER BY (text IS NULL)::INT * 2 + (name <> was)::INT, was) = 1)
+    SELECT load_id, name AS field, value_ AS value, CASE WHEN value_ IS NULL THEN text END AS failed FROM best
+    UNION ALL SELECT l.load_id, t.field, NULL, NULL FROM item_loads l JOIN targets t ON t.site = l.site WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.load_id = l.load_id AND b.name = t.field)"""
