@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.operators import drift, history, increments, nesting, profile
-from sedimenta.session import scratch
+from sedimenta.session import cut, scratch
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,7 +27,8 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_values(spark: SparkSession, d: str) -> DataFrame:
     """The table of p2_table, a row per load row and field, with the text of a value that can't be cast."""
-    rows = p2_table(spark, d).select("load_id", F.explode("fields").alias("field", "value"), "failed")
+    # written first: exploding it as a plan would compute each row again for the filter that comes with an explosion
+    rows = cut(p2_table(spark, d).select("load_id", "fields", "failed")).select("load_id", F.explode("fields").alias("field", "value"), "failed")
     return rows.select("load_id", "field", "value", F.try_element_at("failed", "field").alias("failed"))
 
 
