@@ -285,4 +285,4 @@ def mask_report(counts: DataFrame, item_loads: DataFrame, runs: DataFrame, hot_r
     common = shares.join(before, ["site", "prev_run", "field", "mask"]).groupBy("site", "run_id", "field").agg(F.sum(F.least("share", "was")).alias("common"))
     had = before.select("site", "prev_run", "field").distinct().withColumn("had", F.lit(True))
     joined = shares.join(common, ["site", "run_id", "field"], "left").join(had, ["site", "prev_run", "field"], "left")
-    return joined.select("site", "run_id", "field", "mask", "n", "share", "dominant", "rare", F.when(F.col("had"), F.round(1 - F.coalesce("common", F.lit(0.0)), 6)).alias("divergence"))
+    return joined.select("site", "run_id", "field", "mask", "n", "share", "dominant", "rare", F.when(F.col("had"), F.abs(F.round(1 - F.coalesce("common", F.lit(0.0)), 6))).alias("divergence"))

@@ -258,3 +258,26 @@ ORACLES["p2_values"] = f"""WITH RECURSIVE {ORACLES["p2_found"].removeprefix("WIT
     best AS (SELECT load_id, site, name, value_, text FROM v5 QUALIFY row_number() OVER (PARTITION BY load_id, name ORDER BY (text IS NULL)::INT * 2 + (name <> was)::INT, was) = 1)
     SELECT load_id, name AS field, value_ AS value, CASE WHEN value_ IS NULL THEN text END AS failed FROM best
     UNION ALL SELECT l.load_id, t.field, NULL, NULL FROM item_loads l JOIN targets t ON t.site = l.site WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.load_id = l.load_id AND b.name = t.field)"""
+
+_SHAPE = "CASE json_type({0}) WHEN 'VARCHAR' THEN 'STRING' WHEN 'BOOLEAN' THEN 'BOOLEAN' WHEN 'NULL' THEN 'VOID' ELSE 'NUMBER' END"
+ORACLES["p6_masks"] = rf"""WITH {_LOADS},
+    t AS (SELECT site, run_id, field, kind, value, CASE WHEN kind = 'string' THEN json_extract_string(value, '$') END AS t, CASE WHEN kind = 'number' THEN TRY_CAST(value AS DOUBLE) END AS x FROM f),
+    each AS (SELECT site, run_id, field, CASE WHEN kind IS NULL THEN 'null' WHEN t = '' THEN ''
+        WHEN length(t) > 120 AND regexp_matches(t, '[ \t\n\x0B\f\r]') THEN 'text:' || CASE WHEN regexp_matches(t, '[0-9]') THEN '9' ELSE '' END || CASE WHEN regexp_matches(t, '[^\p{{L}}0-9 \t\n\x0B\f\r]') THEN '.' ELSE '' END || length(bin(length(t)))
+        WHEN length(t) > 24 THEN '+' || regexp_replace(regexp_replace(regexp_replace(t, '\p{{Nd}}+', '9', 'g'), '\p{{Lu}}+', 'A', 'g'), '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]+', 'a', 'g')
+        WHEN kind = 'string' THEN regexp_replace(regexp_replace(regexp_replace(t, '\p{{Nd}}', '9', 'g'), '\p{{Lu}}', 'A', 'g'), '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]', 'a', 'g')
+        WHEN kind = 'number' THEN '#' || CASE WHEN x < 0 THEN '-' ELSE '' END || CASE WHEN x = 0 THEN '0' ELSE CAST(CAST(floor(log10(abs(x))) AS BIGINT) AS VARCHAR) END || CASE WHEN x <> floor(x) THEN '.' ELSE '' END
+        WHEN kind = 'boolean' THEN CAST(value AS VARCHAR)
+        WHEN kind = 'array' THEN 'ARRAY<' || CASE WHEN json_array_length(value) = 0 THEN 'VOID' ELSE {_SHAPE.format("json_extract(value, '$[0]')")} END || '>:' || CASE WHEN json_array_length(value) > 9 THEN '2^' || (length(bin(json_array_length(value))) - 1) ELSE CAST(json_array_length(value) AS VARCHAR) END
+        ELSE 'OBJECT<' || (SELECT string_agg(o.key || ': ' || {_SHAPE.format("o.value")}, ', ' ORDER BY o.key) FROM json_each(value) o) || '>' END AS mask FROM t),
+    by_mask AS (SELECT site, run_id, field, mask, count(*) AS n FROM each GROUP BY ALL),
+    at_site AS (SELECT site, field, mask, sum(n) AS site_n FROM by_mask GROUP BY ALL),
+    site_total AS (SELECT site, field, sum(site_n) AS site_total, max(site_n) AS site_top_n, first(mask ORDER BY site_n DESC, mask) AS site_top FROM at_site GROUP BY ALL),
+    here AS (SELECT b.*, l.prev_run FROM by_mask b JOIN loads l USING (site, run_id)),
+    total AS (SELECT site, run_id, field, sum(n) AS total, max(n) AS top_n, first(mask ORDER BY n DESC, mask) AS dominant FROM here GROUP BY ALL),
+    shares AS (SELECT h.site, h.run_id, h.prev_run, h.field, h.mask, h.n, h.n / t.total AS share, t.dominant, t.dominant <> h.mask AND t.top_n >= 0.9 * t.total AS in_load, s.site_top <> h.mask AND s.site_top_n >= 0.9 * s.site_total AS in_site, a.site_n < 0.01 * s.site_total OR a.site_n = 1 AS few
+        FROM here h JOIN total t USING (site, run_id, field) JOIN at_site a USING (site, field, mask) JOIN site_total s USING (site, field)),
+    had AS (SELECT s.site, s.run_id, s.field, sum(least(s.share, p.share)) AS common FROM shares s JOIN shares p ON p.site = s.site AND p.run_id = s.prev_run AND p.field = s.field AND p.mask = s.mask GROUP BY ALL)
+    SELECT s.site, s.run_id, s.field, s.mask, s.n, s.share, s.dominant, (in_load AND s.share < 0.01 OR (in_load OR in_site) AND few) AND NOT (s.mask = s.dominant AND s.n >= 10) AS rare,
+        CASE WHEN EXISTS (SELECT 1 FROM total p WHERE p.site = s.site AND p.run_id = s.prev_run AND p.field = s.field) THEN abs(round(1 - coalesce(h.common, 0), 6)) END AS divergence
+    FROM shares s LEFT JOIN had h ON h.site = s.site AND h.run_id = s.run_id AND h.field = s.field"""
