@@ -39,20 +39,20 @@ def observations(loads: DataFrame) -> DataFrame:
 def boundaries(sightings: DataFrame, source: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The sightings that begin a version (begins) or end one without beginning another (gone).
 
-    Rows of one moment are taken in the order seen before gone, then load_id; a repeated row changes nothing.
+    Rows of one moment are taken in the order seen before gone, then load_id, then state; a repeated row changes nothing.
     source: a cheaper table with the records of the same rows.
     """
     prev = F.col("_prev")
     begins = ~F.col("gone") & (prev.isNull() | prev["gone"] | (prev["state"] != F.col("state")))
     ends = F.col("gone") & prev.isNotNull() & ~prev["gone"]
-    found = linked(sightings, ENTITY, "moment", ["gone", "load_id"], ["state", "gone"], source, hot_rows, kept=begins | ends)
+    found = linked(sightings, ENTITY, "moment", ["gone", "load_id", "state"], ["state", "gone"], source, hot_rows, kept=begins | ends)
     return found.withColumn("begins", begins).drop("_prev")
 
 
 def intervals(bounds: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions from boundaries: valid_from, valid_to (exclusive; null while valid), is_current, and the load_id that began each."""
     bounds = cut(bounds)  # it is read three times: to find long chains, their threshold, and the intervals
-    after = linked(bounds, ENTITY, "moment", ["gone", "load_id"], ["moment"], None, hot_rows, backwards=True)
+    after = linked(bounds, ENTITY, "moment", ["gone", "load_id", "state"], ["moment"], None, hot_rows, backwards=True)
     return after.filter("begins").select(
         *ENTITY, "load_id", F.col("moment").alias("valid_from"), F.col("_prev.moment").alias("valid_to"), F.col("_prev").isNull().alias("is_current"), F.hex("state").alias("state")
     )
@@ -99,7 +99,7 @@ class HistoryStore:
         return self.spark.read.parquet(*sorted(folders.values())).select(*VERSIONS)
 
     def update(self, arrived: DataFrame, hot_rows: int = HOT_ROWS) -> None:
-        """arrived: raw rows, new, late or corrected. Repeating an update changes nothing, as rows already seen are left out by load_id."""
+        """arrived: raw rows, new, late or corrected. Repeating an update changes nothing, as sightings already kept are left out."""
         version, manifest = self.pointer.current()
         manifest = manifest or {"of": self.buckets, "versions": {}, "sightings": {}}
         with cuts(self.spark):
@@ -114,8 +114,8 @@ class HistoryStore:
             if seen:
                 had = self.spark.read.parquet(*seen).select(*SIGHTINGS)
                 had = cut(had.join(touched, same(had), "left_semi"))
-                known = had.select(F.col("load_id").alias("_load"), *(F.col(c).alias(f"_t_{c}") for c in ENTITY))
-                fresh = cut(fresh.join(known, [fresh["load_id"].eqNullSafe(F.col("_load")), *same(fresh)], "left_anti"))
+                known = had.select(*(F.col(c).alias(f"_s_{c}") for c in SIGHTINGS))
+                fresh = cut(fresh.join(known, [fresh[c].eqNullSafe(F.col(f"_s_{c}")) for c in SIGHTINGS], "left_anti"))
                 whole = had.unionByName(fresh)
             versions = intervals(boundaries(whole, whole.select(*ENTITY), hot_rows), hot_rows)
             old = [manifest["versions"][b] for b in hit if b in manifest["versions"]]

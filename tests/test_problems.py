@@ -99,6 +99,17 @@ def test_history_store_takes_late_rows(spark, tmp_path):
     assert sum(before[b] != after[b] for b in before) == 1 and store.read().count() == len(want)
 
 
+def test_history_store_with_nulls_anywhere(spark, tmp_path):
+    """Rows that lack a load_id, a key or a moment are told apart by all they have; in parts they give what they give at once."""
+    rows = [load(None, "a", '{"v":1}', seen=1), load(None, "a", '{"v":2}', seen=2), load(None, None, "x", seen=1), load(None, None, "y", seen=3), load(5, "a", None, seen=None), load(5, "a", None, seen=None), load(5, "a", '{"v":9}', seen=4), load(6, "a", gone=5), load(None, "a", '{"v":1}', seen=1)]
+    store = history.HistoryStore(spark, str(tmp_path / "h"), buckets=2)
+    for part in (rows[:1], rows[1:3], rows[3:6], rows[6:]):
+        store.update(loads(spark, part))
+    columns = ["site", "natural_key", "valid_from", "valid_to", "is_current"]
+    whole = history.intervals(history.rebuild(loads(spark, rows)))
+    assert sorted(map(tuple, store.read().select(columns).collect()), key=repr) == sorted(map(tuple, whole.select(columns).collect()), key=repr)
+
+
 def test_history_store_of_two_writers(spark, tmp_path):
     table = loads(spark, [load(1, "a", loaded=5, changed=1)])
     store = history.HistoryStore(spark, str(tmp_path / "h"), buckets=2)
