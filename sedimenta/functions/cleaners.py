@@ -156,14 +156,20 @@ def _date_by_pattern(low: Column, now: Column) -> Column:
         (D_MONTH_Y, lambda m: _named(group(m, D_MONTH_Y, 3), group(m, D_MONTH_Y, 2), group(m, D_MONTH_Y, 1))),
         (MONTH_D_Y, lambda m: _named(group(m, MONTH_D_Y, 3), group(m, MONTH_D_Y, 1), group(m, MONTH_D_Y, 2))),
     ]
-    out = _relative(low, now)["moment"].cast("date")
-    for pattern, day in reversed(forms):
-        out = _if_found(low, pattern, day, out)
-    return out
+    named = _relative(low, now)["moment"].cast("date")
+    for pattern, day in reversed(forms[2:]):
+        named = _if_found(low, pattern, day, named)
+    # dates in digits need a mark between them: most texts without one are spared two searches
+    marked = low.contains("-") | low.contains("/") | low.contains(".")
+    digits = named
+    for pattern, day in reversed(forms[:2]):
+        digits = _if_found(low, pattern, day, digits)
+    return F.when(marked, digits).otherwise(named)
 
 
 def _if_found(text: Column, pattern: str, body: Callable[[Column], Column], other: Column) -> Column:
-    return _let(F.regexp_substr(text, F.lit(pattern)), lambda m: F.when(m.isNotNull(), body(m)).otherwise(other))
+    """body of the first match, which is never empty, or other."""
+    return _let(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", body(m)).otherwise(other))
 
 
 def _named(year: Column, month: Column, day: Column) -> Column:
