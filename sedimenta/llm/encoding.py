@@ -44,7 +44,7 @@ PAIRED = 0.7
 #: Sources and mapped signs up to which the mappings are broadcast.
 BROADCAST_ROWS = 100_000
 
-#: Rows of the model, of each kind, up to which neighbours are told apart by case and sign; beyond, by FEW_SIDES classes.
+#: Rows of the model that come to the driver at once; a larger one comes partition by partition, and is the same.
 MODEL_ROWS = 2_000_000
 #: Copies of each mapping where mappings are too many to be broadcast: the texts of a large source spread over as many tasks.
 SALTS = 32
@@ -243,15 +243,15 @@ def fold(c: str) -> str:
 
 @functools.lru_cache(20_000)
 def fold_more(c: str) -> str:
-    """fold() with case and punctuation left out: FEW_SIDES sides at most."""
-    c = fold(c).lower()
+    """fold() with punctuation left out, and of letters with marks all but the case: FEW_SIDES sides at most. The sides of the model, whatever its size."""
+    c = fold(c)
     if c[:1] == "\x04":
-        return "\x04"
+        return "\x04A" if c[1:].isupper() else "\x04a"
     return c if c.isalpha() or c in ("", " ", "0") or c[0] == "\x03" else "."
 
 
-#: Sides of fold_more(): letters of ASCII, categories, letters with marks, "", " ", "0" and ".".
-FEW_SIDES = 42
+#: Sides of fold_more(): 52 letters of ASCII, 7 categories and their mark, letters with marks of either case, "", " ", "0" and ".".
+FEW_SIDES = 66
 
 
 def _side(c: str) -> str:
@@ -282,10 +282,10 @@ def spread(left: str, run: str, right: str) -> list[tuple[str, str, str]]:
 class Model:
     """What signs stand for (mapping), and counts of letters between sides: left (side before, letter), right (letter, side after), pair (side, letter, side).
 
-    side: the class of a neighbour, fold or fold_more.
+    side: the class of a neighbour.
     """
 
-    def __init__(self, mapping: dict[str, dict[str, float]], left: dict, right: dict, pair: dict, side=fold):
+    def __init__(self, mapping: dict[str, dict[str, float]], left: dict, right: dict, pair: dict, side=fold_more):
         self.mapping, self.left, self.right, self.pair, self.side = mapping, left, right, pair, side
         self.total: dict[str, float] = defaultdict(float)
         for (letter, _), n in right.items():
@@ -331,11 +331,11 @@ class Model:
         return [(f[0], f[1] / whole, f[2], f[3]) for f in found]
 
 
-def _first(side, before: str, sign: str, after: str) -> list[tuple[str, float, str, str]]:
+def _first(before: str, sign: str, after: str) -> list[tuple[str, float, str, str]]:
     """The first E step: a single sign stands for itself, one of several characters mostly for a letter; neighbours for themselves."""
-    if len(sign) == 1:
-        return [(sign, 1.0, side(before), side(after))]
-    return [(x, p, side(before), side(after)) for x, p in Model({}, {}, {}, {}).options(sign)]
+    none = Model({}, {}, {}, {})
+    options = [(sign, 1.0)] if len(sign) == 1 else none.options(sign)
+    return [(x, p, none.side(before), none.side(after)) for x, p in options]
 
 
 def count_contexts(values: DataFrame) -> DataFrame:
@@ -358,8 +358,8 @@ def count_contexts(values: DataFrame) -> DataFrame:
     return parts.groupBy("source", "before", "sign", "after").agg(F.sum("n").alias("n"))
 
 
-def _m_step(counts: DataFrame, model, side) -> Model | None:
-    """One round of EM over counts (before, sign, after, n) of cipher signs and their letters; model: a broadcast Model, or None for the first. None if there would be over MODEL_ROWS."""
+def _m_step(counts: DataFrame, model) -> Model:
+    """One round of EM over counts (before, sign, after, n) of cipher signs and their letters; model: a broadcast Model, or None for the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[tuple[str, str, str, str], float] = defaultdict(float)
@@ -367,7 +367,7 @@ def _m_step(counts: DataFrame, model, side) -> Model | None:
             for before, sign, after, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if sign not in candidates():
                     continue
-                for letter, p, x, y in model.value.weigh(before, sign, after) if model is not None else _first(side, before, sign, after):
+                for letter, p, x, y in model.value.weigh(before, sign, after) if model is not None else _first(before, sign, after):
                     if p > 1e-4:
                         w = n * p
                         out["l", x, letter, ""] += w
@@ -381,31 +381,26 @@ def _m_step(counts: DataFrame, model, side) -> Model | None:
 
     parts = counts.select("before", "sign", "after", "n").mapInArrow(run, "kind string, a string, b string, c string, w double")
     rows = cut(parts.groupBy("kind", "a", "b", "c").agg(F.sum("w").alias("w")))
-    if rows.count() > MODEL_ROWS and side is not fold_more:
-        return None
-    # letters are of candidates() and sides of FEW_SIDES classes at last, so what comes to the driver has a bound whatever the texts
+    # letters are of candidates() and sides of FEW_SIDES classes, so what comes to the driver has a bound whatever the texts
     tables: dict[str, dict] = {k: {} for k in "lrpm"}
-    for kind, a, b, c, w in rows.toPandas().itertuples(index=False):
+    for kind, a, b, c, w in rows.toPandas().itertuples(index=False) if rows.count() <= MODEL_ROWS else rows.toLocalIterator():
         tables[kind][(a, b, c) if kind == "p" else (a, b)] = w
     mapping: dict[str, dict[str, float]] = defaultdict(dict)
     for (sign, letter), w in tables["m"].items():
         mapping[sign][letter] = w
     mapping = {s: {x: w / sum(m.values()) for x, w in m.items()} for s, m in mapping.items()}
-    return Model(mapping, tables["l"], tables["r"], tables["p"], side)
+    return Model(mapping, tables["l"], tables["r"], tables["p"])
 
 
 def learn(counts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """The model of all sources from count_contexts(); its size is checked in each round, and where it is too large learned with fewer sides."""
+    """The model of all sources from count_contexts(), by the same sides for tables of any size."""
     pooled = counts.filter(F.length("sign") > 0).groupBy("before", "sign", "after").agg(F.sum("n").alias("n"))
     pooled = cut(pooled)
     sc = counts.sparkSession.sparkContext
-    for side in (fold, fold_more):
-        model = _m_step(pooled, None, side)
-        for _ in range(rounds):
-            model = model and _m_step(pooled, sc.broadcast(model), side)
-        if model is not None:
-            return model
-    raise AssertionError("a model of few sides has a bound")
+    model = _m_step(pooled, None)
+    for _ in range(rounds):
+        model = _m_step(pooled, sc.broadcast(model))
+    return model
 
 
 def _latin(sign: str) -> bool:

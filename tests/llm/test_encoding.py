@@ -144,3 +144,22 @@ def test_model_has_a_bound(spark):
         assert encoding.learn(encoding.count_contexts(latin), 1).side is encoding.fold_more
     finally:
         encoding.MODEL_ROWS = few
+
+
+def test_size_of_the_model_changes_nothing(spark):
+    """Capital letters of other languages stay, and the model is the same, however its rows come to the driver."""
+    rows, _, _ = corpus(5)
+    rows += [("t", 5000 + i, "f", "s1", f"ÐAl{'tb'[i % 2]}irga Þór") for i in range(20)]
+    values = spark.createDataFrame(rows, SCHEMA)
+    counts = encoding.count_contexts(values)
+    models, got = [], []
+    few = encoding.MODEL_ROWS
+    try:
+        for encoding.MODEL_ROWS in (few, 10):
+            models.append(encoding.learn(counts, 2))
+            got.append({r["row_id"]: r["restored"] for r in encoding.repair(values).collect()})
+    finally:
+        encoding.MODEL_ROWS = few
+    a, b = models
+    assert a.side is b.side and a.pair == pytest.approx(b.pair) and a.left == pytest.approx(b.left) and a.right == pytest.approx(b.right)
+    assert got[0] == got[1] and not any(i >= 5000 for i in got[0])
